@@ -37,7 +37,7 @@ class Rule:
 RULES = (
     Rule("word_length", 60, two_sided=True),  # code points of 100 words
     Rule("symbol_share", 150),  # of 10,000 code points in words
-    Rule("dup_line_share", 1000),  # of 10,000 lines
+    Rule("dup_line_share", 2000),  # of 10,000 lines
     Rule("repeat_share", 1000),  # of 10,000 words
 )
 
@@ -190,7 +190,7 @@ u as (select *, sum(n) over (partition by lv, lang, source, signal order by buck
 q0 as (select lv, lang, source, signal, max(total) as total, min(case when upto * 4 >= total then bucket end) as b1, min(case when upto * 4 >= total * 3 then bucket end) as b3 from u group by all),
 q as (select *, case when b1 < 32 then b1 else (b1 % 32 + 32) << (b1 // 32 - 1) end as q1, case when b3 < 32 then b3 else (b3 % 32 + 32) << (b3 // 32 - 1) end as q3 from q0),
 f as (
-  select lv, lang, source, signal, total, q3 + 3 * greatest(q3 - q1, case signal when 'word_length' then 60 when 'symbol_share' then 150 else 1000 end) as hi,
+  select lv, lang, source, signal, total, q3 + 3 * greatest(q3 - q1, case signal when 'word_length' then 60 when 'symbol_share' then 150 when 'dup_line_share' then 2000 else 1000 end) as hi,
          case when signal = 'word_length' then q1 - 3 * greatest(q3 - q1, 60) else 0 end as lo from q),
 j as (
   select v.doc_id, v.signal, v.v, f.hi, f.lo, f.lv, row_number() over (partition by v.doc_id, v.signal order by case when f.lv = 0 or f.total >= 100 then f.lv else -1 end desc) as pick
