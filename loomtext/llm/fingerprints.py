@@ -111,7 +111,7 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     n = store.partitions(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id")
     follows = store.table(next_of(docs), "next")
-    ends = base.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("cut"))
+    ends = docs.groupBy("doc_id").agg(F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 3)).alias("cut"))
     asked = store.table(follows.join(ends, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "cut"), "asked")
     given = base.join(asked, "doc_id").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("cut").cast("int")).alias("part"), sketch(F.col("text"), scale).alias("s")).alias("g"))
     given = given.groupBy("asker").agg(F.min("g").alias("g")).withColumnRenamed("asker", "doc_id")
