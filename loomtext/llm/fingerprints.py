@@ -109,13 +109,15 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     table gives an empty result.
     """
     n = store.partitions(docs.sparkSession)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.where("doc_id is not null").repartition(n, "doc_id")  # one exchange, used by both joins
     follows = store.table(next_of(docs), "next")
-    ends = docs.groupBy("doc_id").agg(F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 3)).alias("cut"))
+    ends = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("cut"))
     asked = store.table(follows.join(ends, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "cut"), "asked")
     given = base.join(asked, "doc_id").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("cut").cast("int")).alias("part"), sketch(F.col("text"), scale).alias("s")).alias("g"))
     given = given.groupBy("asker").agg(F.min("g").alias("g")).withColumnRenamed("asker", "doc_id")
-    both = base.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    nameless = docs.where("doc_id is null").withColumn("g", F.lit(None).cast(given.schema["g"].dataType))
+    both = base.join(given, "doc_id", "left").unionByName(nameless).withColumn("n_chars", F.length("text").cast("long"))
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     part = F.substring(F.coalesce(F.col("g.part"), F.lit("")), F.lit(1), F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep.cast("int")), part)
