@@ -26,55 +26,87 @@ from loomtext.llm import store
 #: Tokens of a window and the id that ends a document.
 WINDOW = 4096
 END = 2
-PIECE = re.compile(r"[^ \t-\r]+")
-#: Words whose ids a Python worker remembers at most; it starts anew beyond that.
-REMEMBERED = 400_000
-#: Texts are tokenised in groups of about so many characters.
+#: Words whose ids a Python worker remembers, about; the rest are encoded as they come.
+REMEMBERED = 250_000
+#: Texts are tokenised in groups of about so many bytes.
 GROUP = 1_000_000
 
 _known: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, once per Python worker, with its memory of words and its id type."""
+    """The tokenizer of a file, once per Python worker, with its memories of words and of their parts and its id type."""
     if path not in _known:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        _known[path] = made, {}, np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
+        _known[path] = made, ({}, {}), np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
     return _known[path]
 
 
-def learn(path: str, words: list[str]) -> None:
-    """Remember the ids of words, which are tokenised as one text and split by offsets."""
+def byte_letters() -> dict[int, int]:
+    """How byte-level tokenizers write the bytes that have no printable character: 256 and up, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+LETTERS = byte_letters()
+#: A word of letters, then punctuation: two pre-tokens. No apostrophe (contractions) and no bracket (special tokens).
+SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|#$%&*\-]*)")
+
+
+def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
+    """The ids of words, as bytes of the id type.
+
+    Simple words of Latin letters go to the model at once, in lower case; the
+    tokenizer takes the others together, as one text that offsets split again.
+    """
     made, memory, kind = tokenizer(path)
-    if len(memory) + len(words) > REMEMBERED:
-        memory.clear()
-    for i in range(0, len(words), 2000):
-        some = words[i : i + 2000]
-        starts = np.cumsum([0] + [len(w) + 1 for w in some[:-1]])
-        got = made.encode(" ".join(some), add_special_tokens=False)
-        ids = np.array(got.ids, dtype=kind)
+    model, parts, out, odd = made.model, memory[1], {}, []
+
+    def part(s: str) -> bytes:
+        got = parts.get(s)
+        if got is None:
+            got = np.array([t.id for t in model.tokenize(s.encode().decode("latin-1").translate(LETTERS))], dtype=kind).tobytes()
+            if len(parts) < REMEMBERED:
+                parts[s] = got
+        return got
+
+    for w in words:
+        text = w.decode()
+        m = SIMPLE.fullmatch(text)
+        if m and max(m[1]) < "\u0100" and m[1].isalpha():
+            out[w] = part(m[1].lower()) + part(m[2]) if m[2] else part(m[1].lower())
+        else:
+            odd.append((w, text))
+    for i in range(0, len(odd), 2000):
+        some = odd[i : i + 2000]
+        starts = np.cumsum([0] + [len(t) + 1 for _, t in some[:-1]])
+        got = made.encode(" ".join(t for _, t in some), add_special_tokens=False)
+        raw = np.array(got.ids, dtype=kind).tobytes()
         owner = np.searchsorted(starts, np.array([a for a, _ in got.offsets], dtype=np.int64), side="right")
-        cuts = np.searchsorted(owner, np.arange(1, len(some) + 2))
-        for k, w in enumerate(some):
-            memory[w] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        cuts = (np.searchsorted(owner, np.arange(1, len(some) + 2)) * kind.itemsize).tolist()
+        for k, (w, _) in enumerate(some):
+            out[w] = raw[cuts[k] : cuts[k + 1]]
+    return out
 
 
-def encode(path: str, texts: list[str | None]) -> list[bytes]:
-    """The ids of each text, END added, as little-endian bytes of the tokenizer's id type.
+def encode(path: str, texts: list[bytes | None]) -> list[bytes]:
+    """The ids of each text (UTF-8), END added, as little-endian bytes of the tokenizer's id type.
 
     White space separates pre-tokens in this kind of tokenizer, so a text's ids are those of its words in turn.
     """
     _, memory, kind = tokenizer(path)
+    whole = memory[0]
     end = np.array([END], dtype=kind).tobytes()
-    split = [PIECE.findall(t or "") for t in texts]
-    missing = list({w for ws in split for w in ws if w not in memory})
-    if missing:
-        learn(path, missing)
-        if any(w not in memory for ws in split for w in ws):  # the memory started anew
-            learn(path, list({w for ws in split for w in ws}))
-    return [b"".join([memory[w] for w in ws]) + end for ws in split]
+    split = [(t or b"").split() for t in texts]
+    needed = set().union(*split)
+    known = {w: whole[w] for w in needed if w in whole}
+    new = encode_words(path, [w for w in needed if w not in known])
+    known.update(new)
+    if len(whole) < REMEMBERED:
+        whole.update(new)
+    return [b"".join([known[w] for w in ws]) + end for ws in split]
 
 
 def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
@@ -83,7 +115,7 @@ def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = tokenizer(path)[2].itemsize
         for b in batches:
-            texts, done = b.column("text").to_pylist(), 0
+            texts, done = b.column("text").cast(pa.binary()).to_pylist(), 0
             sizes = np.cumsum([len(t or "") for t in texts])
             while done < len(texts):
                 upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + GROUP)))
