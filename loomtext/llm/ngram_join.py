@@ -29,8 +29,8 @@ from loomtext.llm import graph, repeats, store
 SHINGLE = 5
 #: Two documents link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
-#: Members of a group, about.
-MEMBERS = 64
+#: Members of a group, about, and tokens of a group's prefixes that are listed in its rows of the matrix.
+MEMBERS, LISTED = 64, 512
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -85,17 +85,25 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, doc_id) for the least tokens of each set: two linked sets share at least one of them."""
+    """(token, doc_id, n) for the rarest tokens of each set: two linked sets share at least one of them.
+
+    A token's rarity is the number of sets that hold it, ties by its hash. Of n
+    tokens the first n / 4 + 1 count; those that no other set holds come first
+    and are left out, as nothing can meet them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [np.frombuffer(raw, dtype="<i8") for raw in b.column("tokens").to_pylist()]
-            cut = [t[: most_missing(len(t)) + 1] for t in got]
-            sizes = [len(t) for t in cut]
-            ids = np.repeat(b.column("doc_id").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut) if cut else []).cast(pa.int64()), pa.array(ids, pa.int64())], ["token", "doc_id"])
+            at = np.repeat(np.arange(len(got)), [len(t) for t in got])
+            same = b.select(["doc_id", "n", "sid"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else [], pa.int64()), *same.columns], ["token", "doc_id", "n", "sid"])
 
-    return sets.select("doc_id", "tokens").mapInArrow(run, "token bigint, doc_id bigint")
+    each = sets.select("doc_id", "n", "tokens", F.xxhash64("tokens").alias("sid")).mapInArrow(run, "token bigint, doc_id bigint, n bigint, sid bigint")
+    held = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = each.join(held, "token").groupBy("doc_id", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))  # one set
+    take = F.floor(F.col("n") * (SHARE[1] - SHARE[0]) / SHARE[1]) + 1 - (F.col("n") - F.size("met"))
+    return met.where(take > 0).select(F.explode(F.slice("met", F.lit(1), take.cast("int"))).alias("m"), "doc_id", "n").select("m.token", "doc_id", "n")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,10 +139,25 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def leader_pairs(tokens: DataFrame, rounds: int = 3) -> DataFrame:
     """Distinct pairs of a document and a leader of one of its tokens; leaders are least by ``rounds`` orders."""
-    leads = [F.min(F.struct(F.xxhash64("doc_id", F.lit(r)) if r else F.col("doc_id"), F.col("doc_id").alias("d")))["d"].alias(f"l{r}") for r in range(rounds)]
+    leads = [F.min(F.struct((F.xxhash64("doc_id", F.lit(r)) if r else F.col("doc_id")).alias("k"), F.col("doc_id").alias("d"), "n")).alias(f"l{r}") for r in range(rounds)]
     led = store.table(tokens.groupBy("token").agg(F.count("*").alias("n"), *leads).where("n > 1").drop("n"), "leaders")
-    each = tokens.join(led, "token").select("doc_id", F.explode(F.array_distinct(F.array(*[f"l{r}" for r in range(rounds)]))).alias("b"))
-    return each.where("doc_id <> b").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    each = tokens.join(led, "token").select("doc_id", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"l{r}.d", f"l{r}.n") for r in range(rounds)]))).alias("l"))
+    near = SHARE[1] * F.least("n", "l.n") >= SHARE[0] * F.greatest("n", "l.n")
+    return each.where(near).select("doc_id", F.col("l.d").alias("b")).where("doc_id <> b").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+
+
+def enough(c, n, lo, hi):
+    """Whether c shared prefix tokens allow a link of a set of n tokens to one of a group with lo to hi.
+
+    Of two sets with m and n tokens one has its whole prefix before any other
+    shared token, so they share at most c and what follows the longer rest;
+    they must share 75 (m + n) / 175. The difference is least at the ends of the
+    sizes that can link.
+    """
+    rest = lambda m: m - F.floor(m * (SHARE[1] - SHARE[0]) / SHARE[1]) - 1
+    need = lambda m: F.ceil(SHARE[0] * (m + n) / (SHARE[0] + SHARE[1])) - F.greatest(rest(n), rest(m))
+    first, last = F.greatest(lo, F.ceil(n * SHARE[0] / SHARE[1])), F.least(hi, F.floor(n * SHARE[1] / SHARE[0]))
+    return (first <= last) & (c >= F.least(need(first), need(last)))
 
 
 def group_unions(sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -175,7 +198,7 @@ def join(docs: DataFrame) -> DataFrame:
     row; a null doc_id gives a row without component. Equal texts are one class.
     Extra columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     found = repeats.find(docs, "text", half_universe, "shingles", with_refs=False)
     info = repeats.info(found)
     classes = store.table(info.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -185,22 +208,36 @@ def join(docs: DataFrame) -> DataFrame:
     fewer = store.table(able(again).select("doc_id").distinct(), "able")
     sets = store.table(store.join_small(sets, fewer, "doc_id", "inner"), "sets")
     tokens = store.table(prefixes(sets), "prefixes")
+    store.release(spark)
 
     edges = store.table(verified(leader_pairs(tokens), sets), "links")
     known = graph.components(edges)
-    place = store.table(sets.select("doc_id").distinct().join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "places")
+    place = store.table(sets.select("doc_id", "n").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")), "places")
+    store.release(spark)
     sizes = place.groupBy("comp").agg(F.count("*").alias("size"))
-    members = place.join(sizes, "comp").select("doc_id", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("sub"))
-    members = store.table(members, "members")
+    parted = place.join(sizes, "comp").select("doc_id", "n", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("sub"))
+    members = store.table(parted, "members")
 
-    placed = tokens.join(members, "doc_id")
+    own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.count("*").alias("k"))  # one prefix
+    placed = tokens.join(members.drop("n"), "doc_id")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_tokens = store.table(placed.join(mixed, "token", "left_semi"), "open")
-    matrix = open_tokens.select("token", F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).distinct()
-    met = open_tokens.select("token", "doc_id", "comp").join(matrix, "token").where("comp < g_comp")
-    candidates = store.table(met.select("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).distinct(), "candidates")
+    open_tokens = store.table(placed.join(mixed, "token", "left_semi").join(own, "doc_id"), "open")
+    group = [F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")]
+    whole = own.join(members.drop("n").distinct(), "doc_id").groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("u"))  # about MEMBERS prefixes
+    whole = whole.select("g_comp", "g_sub", F.when(F.size("u") <= LISTED, F.col("u")).alias("g_prefix"))
+    matrix = open_tokens.groupBy("token", *group).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("k").alias("g_k")).join(whole, ["g_comp", "g_sub"])
+    near = (SHARE[1] * F.col("n") >= SHARE[0] * F.col("lo")) & (SHARE[1] * F.col("hi") >= SHARE[0] * F.col("n"))
+    sizes = F.col("n"), F.col("lo"), F.col("hi")
+    both = F.array_intersect("prefix", "g_prefix")
+    # Where the group's prefix tokens are listed, a pair is met at its first shared token only, and only if they share enough.
+    once = F.col("g_prefix").isNull() | ((F.get(both, F.lit(0)) == F.col("token")) & enough(F.size(both), *sizes))
+    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near & enough(F.least("k", "g_k"), *sizes) & once)
+    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.sum(F.when(F.col("g_prefix").isNull(), 1).otherwise(F.size(both))).alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    candidates = store.table(counted.where(enough(F.col("c"), F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "comp", "sub"), "candidates")
+    members = members.drop("n").distinct()
     unions = group_unions(sets, members.join(candidates.select("comp", "sub").distinct(), ["comp", "sub"], "left_semi"))
     more = store.table(opened(candidates, sets, members, unions), "links")
+    store.release(spark)
     final = graph.components(edges.unionByName(more))
 
     named = final.withColumnRenamed("node", "rep").withColumnRenamed("comp", "component_id")
