@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import store
 
-#: Keys of a chunk, about; documents that a worker takes from Arrow at once follow Spark's own setting.
-CHUNK = 1_500_000
+#: Keys of a chunk, about, and documents turned into Python objects at once.
+CHUNK, SLICE = 600_000, 250
 #: Words whose hashes a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Odd multipliers for combining word hashes, from the golden ratio.
 MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(32)]
 
@@ -36,12 +36,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > REMEMBERED:
         _words.clear()
     try:
-        return np.array([_words[w] for w in words], dtype=np.uint64)
+        return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
         for w in set(words):
             if w not in _words:
                 _words[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([_words[w] for w in words], dtype=np.uint64)
+        return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -156,16 +156,17 @@ def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name:
         total = 0
         empty = np.empty(0, dtype=np.uint64)
         for b in batches:
-            for d, raw in zip(b.column("doc_id").to_pylist(), b.column(column).cast(pa.binary()).to_pylist()):
-                found = extract(raw)
-                if found.identity in seen:
-                    found = Found(found.n, found.size, found.identity, empty, empty)
-                seen.add(found.identity)
-                held.append((d, found))
-                total += len(found.keys)
-                if total > CHUNK:
-                    yield from flush()
-                    held, seen, total = [], set(), 0
+            for part in (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE)):
+                for d, raw in zip(part.column("doc_id").to_pylist(), part.column(column).cast(pa.binary()).to_pylist()):
+                    found = extract(raw)
+                    if found.identity in seen:
+                        found = Found(found.n, found.size, found.identity, empty, empty)
+                    seen.add(found.identity)
+                    held.append((d, found))
+                    total += len(found.keys)
+                    if total > CHUNK:
+                        yield from flush()
+                        held, seen, total = [], set(), 0
         if held:
             yield from flush()
 
