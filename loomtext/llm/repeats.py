@@ -114,7 +114,7 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name: str, with_refs: bool) -> DataFrame:
     """Stored rows about docs (doc_id, ``column``): kind INFO has n, size, identity; kind HIT has hits and refs.
 
-    HIT rows of a document add up; refs are little-endian 32-bit places. Within a
+    A document has one HIT row at most; refs are its little-endian 32-bit places. Within a
     chunk a document whose identity has been seen adds no keys: its copies are
     told by identity.
     """
@@ -138,9 +138,9 @@ def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name:
             keys, at, refs = keys[order], at[order], refs[order]
             starts, length = runs(keys)
             again = length > 1
-            doc, hits, places = by_doc(at[again], refs[again])
-            if len(doc):
-                yield rows(SENT, kind=[HIT] * len(doc), bucket=spread[doc], doc_id=ids[doc], n=hits, refs=places if with_refs else [None] * len(doc))
+            if again.any():
+                one = int(spread[0])  # any bucket will do: these are settled
+                yield rows(SENT, kind=[HIT], bucket=[one], n=[int(again.sum())], docs=[planes(ids[at[again]])], refs=[planes(refs[again]) if with_refs else None])
             keys, at, refs, again = keys[starts], at[starts], refs[starts], again[starts]
             cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(48 - bits))
             cuts = np.r_[cuts, len(keys)]
@@ -172,26 +172,48 @@ def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[tuple] = []
+        hit: list[tuple] = []
         for b in batches:
             kind = b.column("kind").to_numpy()
             if (some := np.flatnonzero(kind == INFO)).size:
-                got = b.take(pa.array(some))
-                yield rows(GOT, kind=[INFO] * len(some), **{c: got.column(c) for c in ("doc_id", "n", "size", "identity")})
-            if (some := np.flatnonzero(kind == HIT)).size:
-                got = b.take(pa.array(some))
-                yield rows(GOT, kind=[HIT] * len(some), doc_id=got.column("doc_id"), hits=got.column("n"), refs=got.column("refs"))
-            for i in np.flatnonzero(kind == BLOCK):
+                yield b.take(pa.array(some))
+            for i in np.flatnonzero(kind != INFO):
                 n = b.column("n")[i].as_py()
                 raw = {c: b.column(c)[i].as_py() for c in ("keys", "docs", "more", "refs")}
+                doc = unplanes(raw["docs"], n, "<i8")
                 refs = unplanes(raw["refs"], n, "<i4") if with_refs else np.zeros(n, dtype="<i4")
-                blocks.append((unplanes(raw["keys"], n, "<u8"), unplanes(raw["docs"], n, "<i8"), np.unpackbits(np.frombuffer(raw["more"], dtype=np.uint8), count=n).astype(bool), refs))
+                if kind[i] == HIT:
+                    hit.append((doc, refs))
+                else:
+                    blocks.append((unplanes(raw["keys"], n, "<u8"), doc, np.unpackbits(np.frombuffer(raw["more"], dtype=np.uint8), count=n).astype(bool), refs))
         if blocks:
             keys, doc, again, refs = (np.concatenate([x[i] for x in blocks]) for i in range(4))
             del blocks
             order = np.argsort(keys, kind="stable")
             keys, doc, again, refs = keys[order], doc[order], again[order], refs[order]
-            hit = (runs(keys)[1] > 1) & ~again
-            doc, hits, places = by_doc(doc[hit], refs[hit])
+            new = (runs(keys)[1] > 1) & ~again
+            hit.append((doc[new], refs[new]))
+        if hit:
+            doc, refs = (np.concatenate([x[i] for x in hit]) for i in range(2))
+            to = (doc.astype(np.uint64) * np.uint64(MIX[3]) >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            doc, refs, to = doc[order], refs[order], to[order]
+            starts, _ = runs(to)
+            cuts = [slice(x, y) for x, y in zip(starts, np.r_[starts[1:], len(to)])]
+            yield rows(SENT, kind=[HIT] * len(cuts), bucket=[int(to[c.start]) for c in cuts], n=[c.stop - c.start for c in cuts], docs=[planes(doc[c]) for c in cuts], refs=[planes(refs[c]) if with_refs else None for c in cuts])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit: list[tuple] = []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            if (some := np.flatnonzero(kind == INFO)).size:
+                got = b.take(pa.array(some))
+                yield rows(GOT, kind=[INFO] * len(some), **{c: got.column(c) for c in ("doc_id", "n", "size", "identity")})
+            for i in np.flatnonzero(kind == HIT):
+                n = b.column("n")[i].as_py()
+                hit.append((unplanes(b.column("docs")[i].as_py(), n, "<i8"), unplanes(b.column("refs")[i].as_py(), n, "<i4") if with_refs else np.zeros(n, dtype="<i4")))
+        if hit:
+            doc, hits, places = by_doc(*(np.concatenate([x[i] for x in hit]) for i in range(2)))
             for a in range(0, len(doc), 50_000):
                 s = slice(a, a + 50_000)
                 yield rows(GOT, kind=[HIT] * len(doc[s]), doc_id=doc[s], hits=hits[s], refs=places[s] if with_refs else [None] * len(doc[s]))
@@ -199,7 +221,8 @@ def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name:
     sent = "kind int, bucket int, doc_id bigint, n bigint, size bigint, identity binary, keys binary, docs binary, more binary, refs binary"
     got = "kind int, doc_id bigint, n bigint, size bigint, identity binary, hits bigint, refs binary"
     moved = docs.where("doc_id is not null").select("doc_id", column).mapInArrow(send, sent).repartition(n_parts, "bucket")
-    out = store.table(moved.mapInArrow(settle, got), name)
+    settled = moved.mapInArrow(settle, sent).repartition(n_parts, "bucket")
+    out = store.table(settled.mapInArrow(gather, got), name)
     store.release(spark)
     return out
 
