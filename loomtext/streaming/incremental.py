@@ -1,0 +1,31 @@
+"""Incremental state in tables, and streaming forms of the session operators (additions of this library)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def refresh(cached: DataFrame, live: DataFrame, key: str, order: str) -> DataFrame:
+    """Live rows not yet cached first, then the cached ones, in order; ``is_new`` tells them apart."""
+    new = live.join(cached.select(key), key, "left_anti").withColumn("is_new", F.lit(True))
+    return new.unionByName(cached.withColumn("is_new", F.lit(False)), allowMissingColumns=True).orderBy(F.desc("is_new"), order)
+
+
+def stale(stamp: Column, now: Column, hours: int) -> Column:
+    return stamp < now - F.make_interval(hours=F.lit(hours))
+
+
+def reuse_reason(rules: Column, current: int, moved: Column, lost: Column, most_lost: float = 0.2) -> Column:
+    """Why a cached row is not reused; null if it is."""
+    return F.when(rules < current, "rules").when(moved, "range").when(lost >= most_lost, "lost")
+
+
+def sessions(stream: DataFrame, key: str, at: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Event-time sessions of a stream by key, closed by ``gap`` and a watermark."""
+    return stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def land(stream: DataFrame, path: str, checkpoint: str):
+    """Write what is there now and stop; a rerun with the same checkpoint takes only what is new."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(path)
