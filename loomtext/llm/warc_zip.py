@@ -55,7 +55,7 @@ class Archive:
         tail_at = max(0, self.size - 22 - FULL16)
         tail = self.read_at(tail_at, self.size - tail_at)
         at = tail.rfind(END_SIG)
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):
             at = tail.rfind(END_SIG, 0, at)  # the signature may stand in a comment
         if at < 0:
             raise ValueError("no end of central directory: not a ZIP archive, or a truncated one")
