@@ -24,6 +24,10 @@ NOISE = re.compile(r"[#*$%&|<>!]")
 #: Bounds of training: labelled rows and vocabulary.
 MOST_ROWS, MOST_WORDS = 8_000, 400
 FOLDS = 3
+#: A category is found from the out-of-fold probability that this share of its negatives exceeds, within these bounds.
+CLEAN_LOST, CUTS = 0.002, (0.25, 0.5)
+#: Least chi-square of a word of the vocabulary, and the ridge of the models.
+LEAST_GAIN, RIDGE = 10.0, 0.3
 
 
 @dataclass
@@ -33,6 +37,7 @@ class Chain:
     categories: list[str]
     vocabulary: list[str] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
+    cuts: list[float] = field(default_factory=list)
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
         """Probabilities of each text, a column for each category. Null texts are empty."""
@@ -97,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
 
     best = []
     for c, p in zip(categories, positives):
-        best += [r["word"] for r in counts.orderBy(gain(c, p).desc(), "word").limit(most_words // len(categories)).collect()]
+        best += [r["word"] for r in counts.where(gain(c, p) * n >= LEAST_GAIN).orderBy(gain(c, p).desc(), "word").limit(most_words // len(categories)).collect()]
     vocabulary = sorted(set(best))
     indexed = rows.select("fold", "noise", "caps", *categories, F.filter("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)).alias("words")).orderBy("fold", *categories, "words", "noise", "caps").toPandas()
     at = {w: i for i, w in enumerate(vocabulary)}
@@ -105,15 +110,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
     for i, found in enumerate(indexed["words"]):
         x[i, [at[w] for w in found]] = 1.0
     x[:, -2], x[:, -1] = indexed["noise"], indexed["caps"]
-    fold, weights = indexed["fold"].to_numpy(), []
+    fold, weights, cuts = indexed["fold"].to_numpy(), [], []
     for c in categories:
         y = indexed[c].to_numpy(dtype=float)
         outside = np.zeros(len(y))
         for k in range(FOLDS):
-            outside[fold == k] = linear.predict(x[fold == k], linear.fit(x[fold != k], y[fold != k]))
-        weights.append(linear.fit(x, y))
+            outside[fold == k] = linear.predict(x[fold == k], linear.fit(x[fold != k], y[fold != k], RIDGE))
+        weights.append(linear.fit(x, y, RIDGE))
+        clean = outside[y == 0]
+        cuts.append(float(np.clip(np.quantile(clean, 1 - CLEAN_LOST), *CUTS)) if len(clean) else CUTS[1])
         x = np.hstack([x, outside[:, None]])
-    return Chain(list(categories), vocabulary, weights)
+    return Chain(list(categories), vocabulary, weights, cuts)
 
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
@@ -132,8 +139,8 @@ def categories_of(labels: DataFrame) -> DataFrame:
 CATEGORIES = ["poor", "toxic", "poor_toxic"]
 
 
-def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Score documents and reject those whose toxic probability reaches ``cut``.
+def judge(docs: DataFrame, labels: DataFrame, cut: float | None = None) -> DataFrame:
+    """Score documents and reject those whose toxic probability reaches ``cut``, by default the chain's own.
 
     Returns the documents' columns, p_poor, p_toxic, p_poor_toxic, and toxic. A
     null or empty text has no words; repeated rows are scored alike; an empty
@@ -141,5 +148,6 @@ def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """
     chain = train(docs, categories_of(labels), CATEGORIES)
     scored = score(docs, chain)
+    cut = chain.cuts[CATEGORIES.index("toxic")] if cut is None else cut
     verdict = (F.col("p_toxic") >= cut) if chain.vocabulary else F.lit(False)
     return scored.withColumn("toxic", verdict)

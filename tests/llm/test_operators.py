@@ -157,7 +157,7 @@ def test_reference_removal(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     train, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     judged = toxicity.judge(docs.drop("toxic"), train).select("doc_id", F.col("toxic").alias("said")).join(rest, "doc_id").groupBy("said", "toxic").count().collect()
