@@ -12,8 +12,11 @@ equal anchors, and the windows of an anchor form one span. Spans whose anchor
 occurs once cannot repeat. The others meet by anchor: there each distinct span
 is streamed through the automaton of the earlier ones and then added to it.
 Equal spans are merged before they meet, so a passage that a third of all
-documents share reaches its shard once. Copies of whole documents are told by
-the hash of their words. Automata of a fixed reference of bounded size are
+documents share reaches its shard once. An anchor with more than MOST_SPANS
+distinct spans would make an automaton without bound in one task: the windows
+of its spans (13 at most in each) are grouped by their words instead, by
+partial aggregation, with the same result. Copies of whole documents are told
+by the hash of their words. Automata of a fixed reference of bounded size are
 broadcast, in ``remove_reference``.
 """
 
@@ -33,6 +36,8 @@ WINDOW = 20
 GRAM = 8
 #: Words of a broadcast reference shard at most; a larger reference takes several shards, each in a pass of its own.
 SHARD_WORDS = 200_000
+#: Distinct spans of an anchor that one automaton takes; the windows of wider anchors are grouped by their words.
+MOST_SPANS = 500
 
 
 class SuffixAutomaton:
@@ -156,6 +161,16 @@ def stream(spans: DataFrame) -> DataFrame:
     return spans.select("anchor", "doc_id", "lo", "words").mapInArrow(run, "doc_id bigint, lo int, mask binary")
 
 
+def grouped(spans: DataFrame) -> DataFrame:
+    """What ``stream`` finds, for anchors with many distinct spans: each window that starts earlier in another span, by itself."""
+    windows = F.octet_length("words") / 4 - (WINDOW - 1)
+    each = spans.select("doc_id", "lo", "words", F.explode(F.sequence(F.lit(0), windows.cast("int") - 1)).alias("i"))
+    each = store.table(each.select("doc_id", (F.col("lo") + F.col("i")).alias("lo"), F.substring("words", 4 * F.col("i") + 1, F.lit(4 * WINDOW)).alias("window")), "windows")
+    first = each.groupBy("window").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
+    later = each.join(first, "window").where(F.struct("doc_id", "lo") > F.col("first"))
+    return later.select("doc_id", "lo", F.lit(b"\x80").alias("mask"))
+
+
 def covered(n: int, spans: list[tuple[int, int, bytes | None]]) -> np.ndarray:
     """Which of n words lie in a repeated window, from spans (lo, windows, mask; no mask: all windows)."""
     edge = np.zeros(n + 1, dtype=np.int32)
@@ -182,9 +197,10 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = store.partitions(spark)
     distinct = spans.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n"))
     distinct = store.table(distinct.select("anchor", "first.doc_id", "first.lo", "words", F.xxhash64("words").alias("key"), "n"), "distinct")
-    met = distinct.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
+    wide = store.table(distinct.groupBy("anchor").count().where(F.col("count") > MOST_SPANS).select("anchor"), "wide")
+    met = store.join_small(distinct, wide, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
     windows = F.floor(F.octet_length("words") / 4 - (WINDOW - 1)).cast("int")
-    partly = store.table(stream(met), "streamed")
+    partly = store.table(stream(met), "streamed").unionByName(grouped(store.join_small(distinct, wide, "anchor", "left_semi")))
     # A span that occurs again is repeated whole, wherever it is not its first occurrence.
     again = distinct.where("n > 1").select("anchor", "key", F.col("doc_id").alias("d0"), F.col("lo").alias("lo0"))
     wholly = spans.select("anchor", "key", "doc_id", "lo", windows.alias("count")).join(again, ["anchor", "key"]).where("doc_id > d0 or (doc_id = d0 and lo > lo0)")

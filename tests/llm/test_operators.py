@@ -149,6 +149,12 @@ def test_automaton():
     assert list(a.matching(text)) == want
 
 
+def test_wide_anchors(spark, monkeypatch):
+    want = sorted(map(tuple, substring_dedup.digest(spark.read.parquet(f"{SF}/documents.parquet")).collect()))
+    monkeypatch.setattr(substring_dedup, "MOST_SPANS", 1)
+    assert sorted(map(tuple, substring_dedup.digest(spark.read.parquet(f"{SF}/documents.parquet")).collect())) == want
+
+
 def test_reference_removal(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(["x", *words[:30], "y"])), (2, "short text"), (3, None)], "doc_id long, text string")
