@@ -125,7 +125,7 @@ def marked_blocks(spark: SparkSession, path: str) -> DataFrame:
     parts = whole(spark, path).select(F.posexplode(F.split("text", r"(?m)^(?=<!-- src: )")).alias("ord", "part")).where(F.col("part").startswith("<!-- src: "))
     mark = r"^<!-- src: (.*?)(?: \[(\d+)/(\d+)\])? -->"
     g = lambda i: F.regexp_extract("part", mark, i)
-    return parts.select("ord", g(1).alias("title"), g(2).try_cast("int").alias("done"), g(3).try_cast("int").alias("total"), F.trim(F.regexp_replace("part", mark + r"\s*", "")).alias("body"))
+    return parts.select("ord", g(1).alias("title"), g(2).try_cast("int").alias("done"), g(3).try_cast("int").alias("total"), F.regexp_replace("part", mark + r"\s*|\s+$", "").alias("body"))
 
 
 def scenes(spark: SparkSession, path: str) -> DataFrame:
