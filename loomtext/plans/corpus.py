@@ -105,10 +105,21 @@ def token_cost(t):
     return t.documents.groupBy("lang").agg(tokens.alias("tokens"), F.round(tokens * 0.0000025, 6).alias("usd"))
 
 
+def once(value, use):
+    """``use`` of a value that is worked out once, however often a lambda in ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def grams(words, n):
     """The n-grams of a word array, joined by a space; none where it is shorter."""
-    size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    each = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return once(words, each)
+
+
+def n_repeated(values):
+    """How many distinct values of an array occur in it more than once."""
+    starts = lambda s: F.filter(s, lambda x, i: (i + 1 < F.size(s)) & (x == F.get(s, i + 1)) & ((i == 0) | (x != F.coalesce(F.get(s, i - 1), F.lit("")))))
+    return once(F.sort_array(values), lambda s: F.size(starts(s)).cast("long"))
 
 
 GRAM = "select {id}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n}-1], ' '))) as g from (select {id}, " + LETTER.replace("{", "{{").replace("}", "}}") + " as w from {table})"
@@ -128,9 +139,9 @@ def dropped_runs_ngram(t):
 
 @query(f"with d as ({GRAM.format(id='doc_id', n=12, table='documents')}), n as (select doc_id, g, count(*) as n from d group by all) select doc_id, count(*) as repeated from n where n > 1 group by 1")
 def repeated_runs_ngram(t):
-    w = t.documents.select("doc_id", c.letter_words(F.col("text")).alias("w")).withColumn("g", grams(F.col("w"), 12))
-    counts = w.where(F.size(F.array_distinct("g")) < F.size("g")).select("doc_id", F.explode("g").alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
-    return counts.where("n > 1").groupBy("doc_id").agg(F.count("*").alias("repeated"))
+    """Counted inside each document, without a shuffle of its runs."""
+    some = F.filter(F.array(n_repeated(grams(c.letter_words(F.col("text")), 12))), lambda n: n > 0)
+    return t.documents.select("doc_id", F.explode(some).alias("repeated"))
 
 
 @query()
