@@ -41,6 +41,8 @@ def test_folds():
     assert folds.respelled("The THE the", {"the": "ye"}) == "Ye YE ye"
     assert folds.wrapped("aa bb cc dd", 6) == ["aa  bb", "cc dd"]
     assert folds.merged_runs([[1, 0], [1, 0.01], [0, 1]], 0.9) == [1, 1, 2]
+    assert folds.anchors(["alpha beta", "gamma delta", "common beta", "extraordinary"], [(0, "no"), (1, "Alphas betas x"), (2, "gamma only"), (3, "extraordinary!"), (4, "gamma delta")], [(0, "n"), (1, "first one"), (4, "last one")]) == ["", "last one", "", ""]
+    assert folds.anchors(["alpha bravo", "extraordinary"], [(0, "alpha"), (1.4, "Alphas and bravo"), (2, "extraordinary!")], [(0, "n"), (1, "a b c d e f g h i"), (3, "z")]) == ["a b c d e f g h", "a b c d e f g h i".rsplit(" ", 1)[0]]
     assert folds.portion([[("a" * 3000, True)] * 4], 50)[0] == (0, 2)
     assert folds.portion([[("short", True)]], 10) == [(0, 1)]
     with pytest.raises(ValueError):
