@@ -23,6 +23,8 @@ from loomtext.llm import store
 
 #: Keys of a chunk, about, and documents turned into Python objects at once.
 CHUNK, SLICE = 600_000, 250
+#: Documents of an Arrow batch between the JVM and Python: whole texts are held on both sides, outside the heap.
+BATCH = 1_000
 #: Words whose hashes a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 200_000
 #: Odd multipliers for combining word hashes, from the golden ratio.
@@ -222,7 +224,8 @@ def find(docs: DataFrame, column: str, extract: Callable[[object], Found], name:
     got = "kind int, doc_id bigint, n bigint, size bigint, identity binary, hits bigint, refs binary"
     moved = docs.where("doc_id is not null").select("doc_id", column).mapInArrow(send, sent).repartition(n_parts, "bucket")
     settled = moved.mapInArrow(settle, sent).repartition(n_parts, "bucket")
-    out = store.table(settled.mapInArrow(gather, got), name)
+    with store.batches_of(spark, BATCH):
+        out = store.table(settled.mapInArrow(gather, got), name)
     store.release(spark)
     return out
 
