@@ -66,10 +66,15 @@ def whole_universe(raw: bytes) -> repeats.Found:
 
 
 def able(found: DataFrame) -> DataFrame:
-    """Documents that may have a link: at most a quarter of their tokens occur nowhere else."""
+    """The doc_ids that may have a link: at most a quarter of their tokens occur nowhere else.
+
+    Of the copies in a chunk only the first one read has hits; they count for the smallest doc_id of the copies too.
+    """
     shared = repeats.hits(found).groupBy("doc_id").agg(F.sum("hits").alias("hits"))
     missing = F.floor(F.col("n") * (SHARE[1] - SHARE[0]) / SHARE[1])
-    return repeats.info(found).where("n > 0").join(shared, "doc_id", "left").where(F.col("size") - F.coalesce("hits", F.lit(0)) <= missing)
+    each = repeats.info(found).where("n > 0").join(shared, "doc_id", "left").select("doc_id", "n", "size", "identity", F.coalesce("hits", F.lit(0)).alias("hits"))
+    copies = each.groupBy("identity", "n", "size").agg(F.min("doc_id").alias("doc_id"), F.max("hits").alias("hits"))
+    return each.unionByName(copies.select(*each.columns)).where(F.col("size") - F.col("hits") <= missing).select("doc_id").distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -203,9 +208,9 @@ def join(docs: DataFrame) -> DataFrame:
     info = repeats.info(found)
     classes = store.table(info.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     chosen = able(found).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = sets_of(docs, store.table(chosen.select("doc_id"), "able"))
+    sets = sets_of(docs, store.table(chosen, "able"))
     again = repeats.find(sets, "tokens", whole_universe, "tokens", with_refs=False)
-    fewer = store.table(able(again).select("doc_id").distinct(), "able")
+    fewer = store.table(able(again), "able")
     sets = store.table(store.join_small(sets, fewer, "doc_id", "inner"), "sets")
     tokens = store.table(prefixes(sets), "prefixes")
     store.release(spark)

@@ -188,8 +188,11 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = repeats.info(found).where(F.col("n") >= WINDOW)
     first = info.groupBy("identity").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     several = store.table(first.where("first < last").drop("last"), "copied")
-    copies = store.table(store.join_small(info, several, "identity", "inner").where("doc_id > first").select("doc_id").distinct(), "copies")
-    marks = repeats.hits(found).groupBy("doc_id").agg(F.collect_list("refs").alias("refs"))
+    copied = store.table(store.join_small(info, several, "identity", "inner").where("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    copies = copied.select("doc_id").distinct()
+    # Of the copies in a chunk only the first one read has hits; all go to the smallest doc_id of the copies, whose words are the same.
+    marks = repeats.hits(found).join(copied, "doc_id", "left").select(F.coalesce("first", "doc_id").alias("doc_id"), "refs")
+    marks = marks.groupBy("doc_id").agg(F.collect_set("refs").alias("refs"))  # copies that have hits in several chunks have the same ones
     marks = store.table(marks.join(copies, "doc_id", "left_anti"), "marks")
     spans = store.table(spans_of(docs.select("doc_id", "text").join(marks, "doc_id")), "spans").withColumn("key", F.xxhash64("words"))
     store.release(spark)
