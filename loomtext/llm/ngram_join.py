@@ -195,6 +195,28 @@ def opened(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: D
     return verified(pairs, sets)
 
 
+def candidates(tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """The groups of other components that a document may have a link into, (doc_id, comp, sub), by the matrix of prefix tokens and groups."""
+    own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.count("*").alias("k"))  # one prefix
+    placed = tokens.join(members.drop("n"), "doc_id")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    open_tokens = store.table(placed.join(mixed, "token", "left_semi").join(own, "doc_id"), "open")
+    group = [F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")]
+    whole = own.join(members, "doc_id").groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("u"), F.min("n").alias("w_lo"), F.max("n").alias("w_hi"), F.max("k").alias("w_k"))  # about MEMBERS prefixes
+    listed = F.size("u") <= LISTED
+    whole = whole.select("g_comp", "g_sub", F.when(listed, F.col("u")).alias("g_prefix"), *[F.when(listed, F.col(c)).alias(c) for c in ("w_lo", "w_hi", "w_k")])
+    matrix = open_tokens.groupBy("token", *group).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("k").alias("g_k")).join(whole, ["g_comp", "g_sub"])
+    # Where the group's prefix tokens are listed, a pair is met at its first shared token only, so the bounds there are those of all members.
+    matrix = matrix.select("token", "g_comp", "g_sub", "g_prefix", *[F.coalesce(w, c).alias(c) for w, c in (("w_lo", "lo"), ("w_hi", "hi"), ("w_k", "g_k"))])
+    near = (SHARE[1] * F.col("n") >= SHARE[0] * F.col("lo")) & (SHARE[1] * F.col("hi") >= SHARE[0] * F.col("n"))
+    sizes = F.col("n"), F.col("lo"), F.col("hi")
+    both = F.array_intersect("prefix", "g_prefix")
+    once = F.col("g_prefix").isNull() | ((F.get(both, F.lit(0)) == F.col("token")) & enough(F.size(both), *sizes))
+    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near & enough(F.least("k", "g_k"), *sizes) & once)
+    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.sum(F.when(F.col("g_prefix").isNull(), 1).otherwise(F.size(both))).alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return counted.where(enough(F.col("c"), F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "comp", "sub")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Shingle-set size and component of every document (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -223,25 +245,10 @@ def join(docs: DataFrame) -> DataFrame:
     parted = place.join(sizes, "comp").select("doc_id", "n", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("sub"))
     members = store.table(parted, "members")
 
-    own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.count("*").alias("k"))  # one prefix
-    placed = tokens.join(members.drop("n"), "doc_id")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_tokens = store.table(placed.join(mixed, "token", "left_semi").join(own, "doc_id"), "open")
-    group = [F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")]
-    whole = own.join(members.drop("n").distinct(), "doc_id").groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("u"))  # about MEMBERS prefixes
-    whole = whole.select("g_comp", "g_sub", F.when(F.size("u") <= LISTED, F.col("u")).alias("g_prefix"))
-    matrix = open_tokens.groupBy("token", *group).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("k").alias("g_k")).join(whole, ["g_comp", "g_sub"])
-    near = (SHARE[1] * F.col("n") >= SHARE[0] * F.col("lo")) & (SHARE[1] * F.col("hi") >= SHARE[0] * F.col("n"))
-    sizes = F.col("n"), F.col("lo"), F.col("hi")
-    both = F.array_intersect("prefix", "g_prefix")
-    # Where the group's prefix tokens are listed, a pair is met at its first shared token only, and only if they share enough.
-    once = F.col("g_prefix").isNull() | ((F.get(both, F.lit(0)) == F.col("token")) & enough(F.size(both), *sizes))
-    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near & enough(F.least("k", "g_k"), *sizes) & once)
-    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.sum(F.when(F.col("g_prefix").isNull(), 1).otherwise(F.size(both))).alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    candidates = store.table(counted.where(enough(F.col("c"), F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "comp", "sub"), "candidates")
+    met = store.table(candidates(tokens, members), "candidates")
     members = members.drop("n").distinct()
-    unions = group_unions(sets, members.join(candidates.select("comp", "sub").distinct(), ["comp", "sub"], "left_semi"))
-    more = store.table(opened(candidates, sets, members, unions), "links")
+    unions = group_unions(sets, members.join(met.select("comp", "sub").distinct(), ["comp", "sub"], "left_semi"))
+    more = store.table(opened(met, sets, members, unions), "links")
     store.release(spark)
     final = graph.components(edges.unionByName(more))
 

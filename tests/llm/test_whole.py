@@ -26,3 +26,11 @@ def test_copies_read_out_of_order(spark):
     assert sorted(map(tuple, joined.collect())) == oracle(rows, ngram_join.ORACLE)
     assert [r["doc_id"] for r in ngram_join.keep_one(docs).collect()] == [1]
     assert sorted(map(tuple, substring_dedup.digest(docs).collect())) == oracle(rows, substring_dedup.ORACLE)
+
+
+def test_first_shared_token_of_another_size(spark):
+    """Document 1 may link to 2; the token that it meets their group at first is held by the far larger 3."""
+    held = {1: (100, [1, 2, 3]), 2: (110, [2, 3]), 3: (140, [1, 4])}
+    tokens = spark.createDataFrame([(t, i, n) for i, (n, ts) in held.items() for t in ts], "token long, doc_id long, n long")
+    members = spark.createDataFrame([(1, 100, 1, 0), (2, 110, 2, 0), (3, 140, 2, 0)], "doc_id long, n long, comp long, sub int")
+    assert sorted(map(tuple, ngram_join.candidates(tokens, members).collect())) == [(1, 2, 0)]
