@@ -16,6 +16,7 @@ The result is exact: the components of all links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from loomtext.llm import graph, repeats, store
 SHINGLE = 5
 #: Two documents link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
+#: Sizes after which the rounding of a prefix's length starts over.
+PERIOD = SHARE[1] // math.gcd(*SHARE)
 #: Members of a group, about, and tokens of a group's prefixes that are listed in its rows of the matrix.
 MEMBERS, LISTED = 64, 512
 
@@ -156,13 +159,14 @@ def enough(c, n, lo, hi):
 
     Of two sets with m and n tokens one has its whole prefix before any other
     shared token, so they share at most c and what follows the longer rest;
-    they must share 75 (m + n) / 175. The difference is least at the ends of the
-    sizes that can link.
+    they must share 75 (m + n) / 175. Of the sizes that can link, the difference is
+    least at the first one or, as rounding lets it rise by one between them, at
+    one of the last PERIOD.
     """
     rest = lambda m: m - F.floor(m * (SHARE[1] - SHARE[0]) / SHARE[1]) - 1
     need = lambda m: F.ceil(SHARE[0] * (m + n) / (SHARE[0] + SHARE[1])) - F.greatest(rest(n), rest(m))
     first, last = F.greatest(lo, F.ceil(n * SHARE[0] / SHARE[1])), F.least(hi, F.floor(n * SHARE[1] / SHARE[0]))
-    return (first <= last) & (c >= F.least(need(first), need(last)))
+    return (first <= last) & (c >= F.least(need(first), *[need(F.greatest(first, last - i)) for i in range(PERIOD)]))
 
 
 def group_unions(sets: DataFrame, members: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomtext.llm import ngram_join, substring_dedup
 
@@ -34,3 +35,14 @@ def test_first_shared_token_of_another_size(spark):
     tokens = spark.createDataFrame([(t, i, n) for i, (n, ts) in held.items() for t in ts], "token long, doc_id long, n long")
     members = spark.createDataFrame([(1, 100, 1, 0), (2, 110, 2, 0), (3, 140, 2, 0)], "doc_id long, n long, comp long, sub int")
     assert sorted(map(tuple, ngram_join.candidates(tokens, members).collect())) == [(1, 2, 0)]
+
+
+def test_least_need_of_inner_sizes(spark):
+    """A group may be opened with as few shared prefix tokens as any size from lo to hi needs."""
+    rest = lambda m: m - m // 4 - 1
+    need = lambda m, n: -(-3 * (m + n) // 7) - max(rest(n), rest(m))
+    triples = [(n, lo, hi) for n in (*range(1, 26), 99, 100, 101) for lo in range(-(-3 * n // 4), 4 * n // 3 + 1) for hi in range(lo, 4 * n // 3 + 1)]
+    rows = [(*t, min(need(m, t[0]) for m in range(t[1], t[2] + 1))) for t in triples]
+    df = spark.createDataFrame(rows, "n long, lo long, hi long, least long")
+    says = lambda c: ngram_join.enough(c, F.col("n"), F.col("lo"), F.col("hi"))
+    assert df.where(~says(F.col("least")) | says(F.col("least") - 1)).count() == 0
