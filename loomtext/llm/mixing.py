@@ -1,9 +1,10 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Method: each source has a weight schedule over training time 0..1. Its integral
-gives the cumulative token demand; inverting that at a document's place in its
-source's queue gives the document's training position, and rows are range-sorted
-by position. DataFrame functions only.
+gives the cumulative token demand; inverting that at the place of each use of a
+document in its source's queue, passes one after the other, gives the training
+position of the use, and rows are range-sorted by position. DataFrame functions
+only.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, schedule=None) -> Da
     """How much of each document the mix takes, and where in training.
 
     Takes doc_id, text, source; returns doc_id, source, size (words), source_size,
-    target (the source's), taken (words, repeats counted) and position (0..1, of
-    its first use). A source passes whole through its queue as often as its
+    target (the source's), taken (words, repeats counted), position (0..1, of
+    its first use) and positions (of all its uses). A source passes whole through its queue as often as its
     target holds its size; the last pass stops at the target, inside a document
     if need be. Queues run in the order of the md5 of doc_id, so reruns agree
     whatever the partitioning. ``schedule(rank)`` gives the start and end weight
@@ -96,24 +97,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, schedule=None) -> Da
     left = goal - full * F.col("source_size")
     first, last = schedule or (lambda rank: F.when(rank % 2 == 0, 1.5).otherwise(0.5), lambda rank: F.when(rank % 2 == 0, 0.5).otherwise(1.5))
     placed = joined.withColumn("start", start).withColumn("passes", full.cast("long")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start"))).cast("long"))
-    share = F.coalesce(F.least((F.col("start") + F.col("size") / 2) / F.nullif(goal, F.lit(0)), F.lit(1.0)), F.lit(1.0))
-    out = placed.withColumn("position", position(share, first(F.col("rank")), last(F.col("rank"))))
-    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "passes", "extra", F.round("position", 9).alias("position"))
+    share = lambda at: F.coalesce(F.least(at / F.nullif(goal, F.lit(0)), F.lit(1.0)), F.lit(1.0))
+    when = lambda at: F.round(position(share(at), first(F.col("rank")), last(F.col("rank"))), 9)
+    middle = lambda p: p * F.col("source_size") + F.col("start") + F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("extra")) / 2
+    n_uses = F.col("passes") + (F.col("extra") > 0).cast("int")
+    positions = F.when(n_uses > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_uses - 1), lambda p: when(middle(p)))).otherwise(F.array().cast("array<double>"))
+    out = placed.withColumn("position", when(F.col("start") + F.col("size") / 2)).withColumn("positions", positions)
+    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "passes", "extra", "position", "positions")
     return out.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them; the last use may end inside a document.
+    """The documents that the mix takes, as often as it takes them, range-sorted by the position of each use; the last use may end inside a document.
 
     A cut copy is the prefix of the text that holds the words taken, white space kept.
     """
-    plan = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes", "extra")
+    plan = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes", "extra", "positions")
     sized = docs.withColumn("_n", text.count_words(F.col("text")))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
-    joined = sized.join(plan.groupBy("_id", "_src", "_size").agg(F.max("passes").alias("passes"), F.max("extra").alias("extra")), on)
+    joined = sized.join(plan.groupBy("_id", "_src", "_size").agg(F.max("passes").alias("passes"), F.max(F.struct("extra", "positions")).alias("last")).select("_id", "_src", "_size", "passes", "last.extra", "last.positions"), on)
     uses = F.concat(F.array_repeat(F.col("_n"), F.col("passes").cast("int")), F.when(F.col("extra") > 0, F.array(F.col("extra"))).otherwise(F.array().cast("array<bigint>")))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    each = joined.withColumn("_take", F.explode(uses))
+    placed = joined.withColumn("_use", F.explode(F.arrays_zip(uses.alias("take"), F.col("positions").alias("at")))).withColumn("_take", F.col("_use.take")).withColumn("_at", F.col("_use.at"))
+    order = ["_at", "doc_id", "_take"]
+    each = placed.repartitionByRange(store.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     cut = F.when(F.col("_take") < F.col("_n"), F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.lit(1), F.col("_take").cast("int"))), "")).otherwise(F.col("text"))
     out = each.withColumn("text", cut)
     if "n_chars" in docs.columns:

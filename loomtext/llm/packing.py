@@ -109,8 +109,21 @@ def encode(path: str, texts: list[bytes | None]) -> list[bytes]:
     return [b"".join([known[w] for w in ws]) + end for ws in split]
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Add ``uid``, which numbers the rows of a DataFrame read from Parquet by file name, then by place in the file.
+
+    What was written range-sorted has that order in its files, but Spark reads large files first.
+    """
+    files = store.table(docs.select(F.col("_metadata.file_path").alias("_file")).distinct(), "files")  # a row for each file
+    numbers = store.table(files.withColumn("_part", F.row_number().over(Window.orderBy("_file")) - 1), "numbers")
+    named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    joined = store.join_small(named, numbers, "_file", "inner")
+    return joined.withColumn("uid", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row")).select(*docs.columns, "uid")
+
+
 def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
-    """A stored row for each document: uid, part, doc_id, source, n (tokens with END) and ids."""
+    """A stored row for each document: uid (that of docs, else by read order), part, doc_id, source, n (tokens with END) and ids."""
+    own = ["uid"] if "uid" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = tokenizer(path)[2].itemsize
@@ -121,12 +134,12 @@ def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
                 upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + GROUP)))
                 ids = encode(path, texts[done:upto])
                 some = b.slice(done, len(ids))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
                 done += len(ids)
 
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary"
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text").mapInArrow(run, kinds)
-    uid = F.monotonically_increasing_id()
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary" + ", uid bigint" * len(own)
+    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *own).mapInArrow(run, kinds)
+    uid = F.col("uid") if own else F.monotonically_increasing_id()
     return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
 
 

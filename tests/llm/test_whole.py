@@ -1,11 +1,14 @@
 """The training-data operators against plain versions, where copies, sizes and the order of reading are mixed."""
 
+import hashlib
+import math
 import random
 
 import duckdb
 from pyspark.sql import functions as F
 
-from loomtext.llm import ngram_join, substring_dedup
+import corpus_pipeline
+from loomtext.llm import mixing, ngram_join, packing, substring_dedup
 
 
 def oracle(rows, sql):
@@ -46,3 +49,30 @@ def test_least_need_of_inner_sizes(spark):
     df = spark.createDataFrame(rows, "n long, lo long, hi long, least long")
     says = lambda c: ngram_join.enough(c, F.col("n"), F.col("lo"), F.col("hi"))
     assert df.where(~says(F.col("least")) | says(F.col("least") - 1)).count() == 0
+
+
+def test_training_order(spark, tmp_path):
+    """Every use has its place in the curriculum, and packing keeps it, though large files are read first."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng, rng.randrange(5, 40))), "abc"[min(i % 7, 2)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    goals = {r["source"]: (r["source_size"], int(r["target"] + 0.5)) for r in mixing.mix(docs).collect()}
+    want = []
+    for rank, (source, (size, goal)) in enumerate(sorted(goals.items())):
+        s, e = (1.5, 0.5) if rank % 2 == 0 else (0.5, 1.5)
+        at, queue = 0, sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, x in rows if x == source)
+        while at < goal:
+            for _, i, n in queue:
+                take = min(n, goal - at)
+                if take > 0:
+                    share = (at + take / 2) / goal
+                    want.append((round((math.sqrt(s * s + 2 * (e - s) * share) - s) / (e - s), 9), i, take, source))
+                    at += take
+    want.sort()
+    assert any(goal > size for size, goal in goals.values())
+    mixing.mixed_documents(docs).write.parquet(str(tmp_path / "mixed"))
+    mixed = packing.in_file_order(spark.read.parquet(str(tmp_path / "mixed")))
+    assert [(r["doc_id"], len(r["text"].split())) for r in mixed.orderBy("uid").collect()] == [x[1:3] for x in want]
+    pieces = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").where("start = 0").orderBy("sequence_id", "offset").collect()
+    for source in goals:
+        assert [r["doc_id"] for r in pieces if r["source"] == source] == [x[1] for x in want if x[3] == source]
