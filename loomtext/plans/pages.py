@@ -65,7 +65,7 @@ def anchors_and_headings(t):
 
 @query(r"""select page_id, try_cast(regexp_replace(regexp_extract(url, '[0-9]+', 0), '[^0-9]', '', 'g') as bigint) as number, case when length(html) < 1024 then length(html) || ' B' else printf('%.1f KB', length(html) / 1024.0) end as size, try_cast(regexp_extract(url, 'page=([a-z0-9]+)', 1) as double) as page from pages where length(html) < 1000000""")
 def count_and_size_text(t):
-    return t.pages.where(F.length("html") < 1000000).select("page_id", c.count_text(F.regexp_extract("url", "[0-9]+", 0)).alias("number"), c.human_size(F.length("html").cast("double")).alias("size"), F.regexp_extract("url", "page=([a-z0-9]+)", 1).try_cast("double").alias("page"))
+    return t.pages.select("page_id", c.count_text(F.regexp_extract("url", "[0-9]+", 0)).alias("number"), c.human_size(F.length("html").cast("double")).alias("size"), F.regexp_extract("url", "page=([a-z0-9]+)", 1).try_cast("double").alias("page"))
 
 
 @query("select conv_id, turn, '[' || row_number() over (partition by conv_id order by turn) || '/' || count(*) over (partition by conv_id) || '] ' || upper(role) as header from conversations")
