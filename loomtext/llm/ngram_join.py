@@ -265,9 +265,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; documents without words all stay."""
+    """One document of each component, that with the smallest doc_id; documents without words or without a doc_id all stay."""
     chosen = join(docs).where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi")
+    return docs.join(chosen, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 #: The same in DuckDB's SQL.

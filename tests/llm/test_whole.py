@@ -76,3 +76,8 @@ def test_training_order(spark, tmp_path):
     pieces = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").where("start = 0").orderBy("sequence_id", "offset").collect()
     for source in goals:
         assert [r["doc_id"] for r in pieces if r["source"] == source] == [x[1] for x in want if x[3] == source]
+
+
+def test_null_ids_stay(spark):
+    docs = spark.createDataFrame([(2, "one two"), (1, "one two"), (None, "no id"), (3, "")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in ngram_join.keep_one(docs).collect()) == [("1", "one two"), ("3", ""), ("None", "no id")]
