@@ -1,19 +1,24 @@
 """Mixture-controlled packing into fixed windows.
 
-Method: deficit round-robin over source queues. In each round a source earns
-tokens in proportion to its target share and sends the documents that its
-deficit covers; what is left carries over. A document that ends at token E of
-its source's queue therefore leaves in round floor((E - 1) / quantum), which
-running sums give without any state passing between windows or partitions. The
-stream in round order is cut every WINDOW tokens; the rest is cut into powers
-of two, so nothing is padded.
+Method: deficit round-robin over source queues. A round is one window long. In
+each round a source earns its target share of the window; it sends what it has
+earned, cutting a document where its deficit ends, and the fraction of a token
+left is carried over. A source that earns less than LEAST tokens saves up over
+several rounds, so that pieces don't get too small. Token t of a source's queue
+therefore leaves in the turn floor(t / quantum), which running sums give
+without any state passing between windows or partitions: deficits carry across
+both. The stream in order of rounds is cut every WINDOW tokens, so every window
+holds the sources in their target proportions; the rest at the end is cut into
+powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +31,14 @@ from loomtext.llm import store
 #: Tokens of a window and the id that ends a document.
 WINDOW = 4096
 END = 2
-#: Words whose ids a Python worker remembers, about; the rest are encoded as they come.
+#: Tokens that a source sends at once, at least (where its document and queue have as many).
+LEAST = 64
+#: Words, and parts of words, whose ids a Python worker remembers; the rest are encoded as they come.
 REMEMBERED = 250_000
 #: Texts are tokenised in groups of about so many bytes.
 GROUP = 1_000_000
 
-_known: dict[str, tuple] = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer of a file, once per Python worker, with its memories of words and of their parts and its id type."""
-    if path not in _known:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(path)
-        _known[path] = made, ({}, {}), np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
-    return _known[path]
+_known: dict[str, Words] = {}
 
 
 def byte_letters() -> dict[int, int]:
@@ -52,61 +49,109 @@ def byte_letters() -> dict[int, int]:
 
 LETTERS = byte_letters()
 #: A word of letters, then punctuation: two pre-tokens. No apostrophe (contractions) and no bracket (special tokens).
+PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:|#$%&*\-]*)")
 SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|#$%&*\-]*)")
+#: What a tokenizer must encode alike by words and as a whole, and by the model's own parts, for the quick ways to be taken.
+PROBE = "  Ab, ba!? déjà-Vu É. x1 2y ... a.b it's <|x|> [y] 'Zz' Straße; ñandú:\t\nﬁn ωμέγα #tag $5 k*%& e\u0301a ab "
 
 
-def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
-    """The ids of words, as bytes of the id type.
+class Words:
+    """A tokenizer in one Python worker, with the ids of words and of their parts that it has met.
 
-    Simple words of Latin letters go to the model at once, in lower case; the
-    tokenizer takes the others together, as one text that offsets split again.
+    Two quick ways depend on the tokenizer and are tried on PROBE first: ids of a
+    text are those of its words in turn (``by_words``), and a word of Latin letters
+    and punctuation is two pre-tokens in lower case that the model takes byte by
+    byte (``by_parts``). Where one doesn't hold, the tokenizer itself is called.
     """
-    made, memory, kind = tokenizer(path)
-    model, parts, out, odd = made.model, memory[1], {}, []
 
-    def part(s: str) -> bytes:
-        got = parts.get(s)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.made = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.made.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        whole = self.raw(self.made.encode(PROBE, add_special_tokens=False).ids)
+        split = PROBE.encode().split()
+        self.by_words = whole == b"".join(self.raw(self.made.encode(w.decode(), add_special_tokens=False).ids) for w in split)
+        self.by_parts = False
+        if self.by_words:
+            try:
+                self.by_parts = True
+                got = self.of_words(split)
+                self.by_parts = whole == b"".join(got[w] for w in split)
+            except Exception:  # noqa: BLE001  a model that can't take single parts
+                self.by_parts = False
+            if not self.by_parts:
+                got = self.of_words(split)
+                self.by_words = whole == b"".join(got[w] for w in split)
+            self.parts.clear()
+
+    def raw(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def part(self, s: bytes) -> bytes:
+        """The ids of one pre-token (UTF-8, lower case)."""
+        got = self.parts.get(s)
         if got is None:
-            got = np.array([t.id for t in model.tokenize(s.encode().decode("latin-1").translate(LETTERS))], dtype=kind).tobytes()
-            if len(parts) < REMEMBERED:
-                parts[s] = got
+            letters = s.decode() if s.isascii() else s.decode("latin-1").translate(LETTERS)
+            got = self.raw([t.id for t in self.made.model.tokenize(letters)])
+            if len(self.parts) < REMEMBERED:
+                self.parts[s] = got
         return got
 
-    for w in words:
-        text = w.decode()
-        m = SIMPLE.fullmatch(text)
-        if m and max(m[1]) < "\u0100" and m[1].isalpha():
-            out[w] = part(m[1].lower()) + part(m[2]) if m[2] else part(m[1].lower())
-        else:
-            odd.append((w, text))
-    for i in range(0, len(odd), 2000):
-        some = odd[i : i + 2000]
-        starts = np.cumsum([0] + [len(t) + 1 for _, t in some[:-1]])
-        got = made.encode(" ".join(t for _, t in some), add_special_tokens=False)
-        raw = np.array(got.ids, dtype=kind).tobytes()
-        owner = np.searchsorted(starts, np.array([a for a, _ in got.offsets], dtype=np.int64), side="right")
-        cuts = (np.searchsorted(owner, np.arange(1, len(some) + 2)) * kind.itemsize).tolist()
-        for k, (w, _) in enumerate(some):
-            out[w] = raw[cuts[k] : cuts[k + 1]]
-    return out
-
-
-def encode(path: str, texts: list[bytes | None]) -> list[bytes]:
-    """The ids of each text (UTF-8), END added, as little-endian bytes of the tokenizer's id type.
-
-    White space separates pre-tokens in this kind of tokenizer, so a text's ids are those of its words in turn.
-    """
-    _, memory, kind = tokenizer(path)
-    whole = memory[0]
-    end = np.array([END], dtype=kind).tobytes()
-    split = [(t or b"").split() for t in texts]
-    needed = set().union(*split)
-    known = {w: whole[w] for w in needed if w in whole}
-    new = encode_words(path, [w for w in needed if w not in known])
-    known.update(new)
-    if len(whole) < REMEMBERED:
-        whole.update(new)
-    return [b"".join([known[w] for w in ws]) + end for ws in split]
+    def of_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of words; those that aren't simple go to the tokenizer together, as one text that offsets split again."""
+        out: dict[bytes, bytes] = {}
+        odd: list[bytes] = []
+        part, known = self.part, self.parts
+        for w in words if self.by_parts else ():
+            m = PLAIN.fullmatch(w)
+            if m:
+                a, b = m.groups()
+                a = a.lower()
+                ids = known.get(a) or part(a)
+                out[w] = ids + (known.get(b) or part(b)) if b else ids
+                continue
+            text = w.decode()
+            m = SIMPLE.fullmatch(text)
+            if m and max(m[1]) < "\u0100" and m[1].isalpha() and unicodedata.is_normalized("NFC", text):
+                out[w] = part(m[1].lower().encode()) + (part(m[2].encode()) if m[2] else b"")
+            else:
+                odd.append(w)
+        odd = odd if self.by_parts else list(words)
+        for i in range(0, len(odd), 2000):
+            some = [w.decode() for w in odd[i : i + 2000]]
+            starts = np.cumsum([0] + [len(t) + 1 for t in some[:-1]])
+            got = self.made.encode(" ".join(some), add_special_tokens=False)
+            ids = self.raw(got.ids)
+            owner = np.searchsorted(starts, np.array([a for a, _ in got.offsets], dtype=np.int64), side="right")
+            cuts = (np.searchsorted(owner, np.arange(1, len(some) + 2)) * self.kind.itemsize).tolist()
+            out.update((w, ids[cuts[k] : cuts[k + 1]]) for k, w in enumerate(odd[i : i + 2000]))
+        return out
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text (UTF-8), END added, as little-endian bytes of the id type."""
+        end = self.raw([END])
+        if not self.by_words:
+            return [self.raw(self.made.encode((t or b"").decode(), add_special_tokens=False).ids) + end for t in texts]
+        split = [(t or b"").split() for t in texts]
+        words = self.words
+        new = self.of_words(set().union(*split).difference(words))
+        words.update(new)
+        out = [b"".join(map(words.__getitem__, ws)) + end for ws in split]
+        if len(words) > REMEMBERED:
+            for w in new:
+                del words[w]
+        return out
+
+
+def tokenizer(path: str) -> Words:
+    """The tokenizer of a file, once per Python worker."""
+    if path not in _known:
+        _known[path] = Words(path)
+    return _known[path]
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
@@ -126,13 +171,14 @@ def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
     own = ["uid"] if "uid" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = tokenizer(path)[2].itemsize
+        made = tokenizer(path)
+        width = made.kind.itemsize
         for b in batches:
             texts, done = b.column("text").cast(pa.binary()).to_pylist(), 0
             sizes = np.cumsum([len(t or "") for t in texts])
             while done < len(texts):
                 upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + GROUP)))
-                ids = encode(path, texts[done:upto])
+                ids = made.encode(texts[done:upto])
                 some = b.slice(done, len(ids))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
                 done += len(ids)
@@ -143,11 +189,12 @@ def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
     return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
 
 
-def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """Where each document begins in the packed stream, (uid, begin), and the stream's length.
+def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW, least: int = LEAST) -> tuple[DataFrame, int]:
+    """Where the pieces of each document begin in the packed stream, (uid, pieces: array of (at, n, begin)), and the stream's length.
 
     ``shares`` are target proportions by source; a source not named gets, as all
-    do by default, its own share of the tokens. Queues keep the order of uid.
+    do by default, its own share of the tokens. Queues keep the order of uid; a
+    source whose queue has ended leaves its place to the others.
     """
     narrow = tokens.select("uid", "part", "source", "n")
     parts = store.table(narrow.groupBy("source", "part").agg(F.sum("n").alias("sum")), "parts")
@@ -157,16 +204,25 @@ def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window:
         named = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
         own = F.coalesce(F.try_element_at(named, F.col("source")), own)
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("part")) - F.col("sum")
-    known = store.table(parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), before.alias("before"), (own * window).alias("quantum")), "queues")
+    known = parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), before.alias("before"), (own * window).alias("earned"))
+    known = known.withColumn("every", F.ceil(least / F.col("earned"))).withColumn("quantum", F.col("earned") * F.col("every"))
+    known = store.table(known.withColumn("phase", F.pmod(F.xxhash64("_s"), F.col("every"))).drop("earned"), "queues")
     queued = store.join_small(narrow, known, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
     end = F.col("before") + F.sum("n").over(Window.partitionBy("part", "source").orderBy("uid"))
-    rounds = queued.withColumn("end", end).select("uid", "n", "source", "end", F.floor((F.col("end") - 1) / F.col("quantum")).alias("round"))
-    order = ["round", F.col("source").asc_nulls_last(), "end", "uid"]
-    blocks = store.ordered_blocks(rounds, [F.col(x) if isinstance(x, str) else x for x in order], "rounds")
+    queued = queued.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    turn = lambda t: F.floor(t / F.col("quantum"))
+    turns = queued.withColumns({"first": turn(F.col("start")), "last": turn(F.col("end") - 1)}).withColumn("turn", F.explode(F.sequence("first", "last")))
+    edge = lambda k: F.ceil(k * F.col("quantum"))
+    frm = F.when(F.col("turn") == F.col("first"), F.col("start")).otherwise(edge(F.col("turn")))
+    to = F.when(F.col("turn") == F.col("last"), F.col("end")).otherwise(edge(F.col("turn") + 1))
+    cut = turns.select("uid", "source", (F.col("turn") * F.col("every") + F.col("phase")).alias("round"), frm.alias("from"), (frm - F.col("start")).alias("at"), (to - frm).alias("n")).where("n > 0")
+    order = ["round", F.col("source").asc_nulls_last(), "from"]
+    blocks = store.ordered_blocks(cut, [F.col(x) if isinstance(x, str) else x for x in order], "rounds")
     sums = store.table(blocks.groupBy("blk").agg(F.sum("n").alias("sum")), "blocks")  # a row for each block
     offsets = store.table(sums.select("blk", (F.sum("sum").over(Window.orderBy("blk")) - F.col("sum")).alias("offset")), "offsets")
     inner = F.sum("n").over(Window.partitionBy("blk").orderBy(*order)) - F.col("n")
-    return store.join_small(blocks.withColumn("inner", inner), offsets, "blk").select("uid", (F.col("offset") + F.col("inner")).alias("begin")), int(total)
+    placed = store.join_small(blocks.withColumn("inner", inner), offsets, "blk").select("uid", F.struct("at", "n", (F.col("offset") + F.col("inner")).alias("begin")).alias("p"))
+    return placed.groupBy("uid").agg(F.array_sort(F.collect_list("p")).alias("pieces")), int(total)  # the pieces of one document
 
 
 def boundaries(total: int, window: int = WINDOW) -> np.ndarray:
@@ -180,7 +236,7 @@ def boundaries(total: int, window: int = WINDOW) -> np.ndarray:
 
 
 def cut(begin: int, n: int, full: int, tail: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """The pieces (start, length, sequence, offset) of a document at ``begin`` of the stream."""
+    """The parts (start, length, sequence, offset) of a piece of n tokens at ``begin`` of the stream."""
     out, at, end = [], begin, begin + n
     while at < end:
         if at < full:
@@ -198,9 +254,11 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
     """Pack all documents into sequences of at most ``window`` tokens; a row for each piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
-    A null or empty text is the one token END; null sources are a queue of their
-    own, the last; repeated rows are documents of their own; an empty table
-    gives an empty result. ``window`` is a power of two.
+    A null or empty text is the one token END; a very long text is cut over as
+    many windows as its source's share needs; null sources are a queue of their
+    own, the last; repeated rows are documents of their own, as are rows that
+    share a doc_id; other columns are ignored, whatever their names; an empty
+    table gives an empty result. ``window`` is a power of two.
     """
     tokens = tokenize(docs, path, source)
     begins, total = schedule(tokens, shares, window)
@@ -211,16 +269,24 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
             rows: list[int] = []
-            ids, ns, begin = b.column("ids"), b.column("n").to_pylist(), b.column("begin").to_pylist()
-            for i, (n, at) in enumerate(zip(ns, begin)):
+            ids, ns, pieces = b.column("ids"), b.column("n").to_pylist(), b.column("pieces")
+            for i, n in enumerate(ns):
                 raw = ids[i].as_buffer()
                 whole = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for start, length, seq, offset in cut(at, n, full, tail, window):
-                    rows.append(i)
-                    for c, v in zip(cols, (start, length, zlib.crc32(whole[start : start + length].tobytes()), n, seq, offset)):
-                        c.append(v)
+                ps = pieces[i].values
+                joined: list[list[int]] = []  # pieces that follow one another in the stream too are one
+                for at, m, begin in zip(*(ps.field(c).to_pylist() for c in ("at", "n", "begin"))):
+                    if joined and joined[-1][2] + joined[-1][1] == begin:
+                        joined[-1][1] += m
+                    else:
+                        joined.append([at, m, begin])
+                for at, m, begin in joined:
+                    for start, length, seq, offset in cut(begin, m, full, tail, window):
+                        rows.append(i)
+                        for c, v in zip(cols, (at + start, length, zlib.crc32(whole[at + start : at + start + length].tobytes()), n, seq, offset)):
+                            c.append(v)
             picked = b.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:6]], picked.column("source")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    placed = tokens.select("uid", "doc_id", "source", "n", "ids").join(begins, "uid")
+    placed = tokens.select("uid", "doc_id", "source", "n", "ids").join(begins, "uid").select("doc_id", "source", "n", "ids", "pieces")
     return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
