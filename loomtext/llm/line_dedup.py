@@ -1,8 +1,10 @@
 """Line deduplication by distinct-site spread.
 
-Method: one HyperLogLog sketch of sites for each line hash, merged by
-aggregation. Lines whose estimate is far from the threshold are decided by it;
-near the threshold the sites are counted exactly. A line on enough sites is
+Method: a HyperLogLog sketch of sites for each line hash, made from the lines
+themselves and merged by aggregation (map-side first, so a line that a third of
+all documents hold reaches its merge once per task). The sketch decides the
+lines whose estimate is far from the threshold; only lines in the band around
+it have their distinct sites counted exactly. A line on enough sites is
 boilerplate and stays only in the document with the smallest doc_id.
 """
 
@@ -21,37 +23,43 @@ BAND = 0.1
 SITES = 10
 
 
+def line_hash(line: Column) -> list[Column]:
+    """128 bits that stand for a line, as two columns."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("h2")]
+
+
+KEY = ["h", "h2"]
+
+
 def site_counts(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """Lines (hash ``h``) on at least ``sites`` distinct sites, from rows (h, site, doc_id): h, first_doc.
+    """Lines (hash ``h``, ``h2``) on at least ``sites`` distinct sites, from rows (h, h2, site, doc_id): h, h2, first_doc.
 
-    Lines on one site never need a sketch: their least and greatest site are equal.
+    Lines on one site need no sketch: their least and greatest site are equal.
     """
-    spread = lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("doc_id").alias("first_doc"))
-    wide = store.table(spread.where("lo <> hi").select("h", "first_doc"), "wide")
-    pairs = lines.join(wide.select("h"), "h", "left_semi")
-    # A row for each line and site: what each sketch takes in, however often a hot line occurs.
-    pairs = store.table(pairs.groupBy("h", "site").agg(F.count("*").alias("n")).select("h", "site"), "pairs")
-    estimate = pairs.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(REGISTERS))).alias("est"))
+    spread = lines.groupBy(*KEY).agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("doc_id").alias("first_doc"))
+    wide = store.table(spread.where("lo <> hi").select(*KEY, "first_doc"), "wide")
+    met = store.join_small(lines, wide.select(*KEY), KEY, "left_semi")
+    estimate = met.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(REGISTERS))).alias("est"))
     estimate = store.table(estimate.where(F.col("est") >= sites * (1 - BAND)), "estimates")
-    near = estimate.where(F.col("est") <= sites * (1 + BAND))
-    exact = pairs.join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("exact")).where(F.col("exact") >= sites)
-    chosen = estimate.where(F.col("est") > sites * (1 + BAND)).select("h").unionByName(exact.select("h"))
-    return wide.join(chosen, "h")
+    near = store.table(estimate.where(F.col("est") <= sites * (1 + BAND)).select(*KEY), "near")
+    exact = store.join_small(lines, near, KEY, "left_semi").groupBy(*KEY, "site").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.count("*").alias("exact"))
+    chosen = estimate.where(F.col("est") > sites * (1 + BAND)).select(*KEY).unionByName(exact.where(F.col("exact") >= sites).select(*KEY))
+    return wide.join(chosen, KEY)
 
 
 def removals(docs: DataFrame, sites: int = SITES, site: str = "source", least_chars: int = 10) -> DataFrame:
-    """(doc_id, row key ``_k``, drop: array of line positions) of documents that lose lines."""
+    """(doc_id, drop: array of line positions) of documents that lose lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    each = docs.select("doc_id", F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(lines).alias("at", "line"))
+    each = docs.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(lines).alias("at", "line"))
     each = each.where(F.length(text.squeezed(F.col("line"))) >= least_chars)
-    hashed = store.table(each.select("doc_id", "site", "at", F.xxhash64("line").alias("h")), "lines")
-    common = store.table(site_counts(hashed.select("h", "site", "doc_id"), sites), "boilerplate")
-    hits = store.join_small(hashed, common, "h", "inner")
+    hashed = store.table(each.select("doc_id", "site", "at", *line_hash(F.col("line"))), "lines")
+    common = store.table(site_counts(hashed.select(*KEY, "site", "doc_id"), sites), "boilerplate")
+    hits = store.join_small(hashed, common, KEY, "inner")
     # In its first document a line keeps its first place.
-    firsts = hits.where("doc_id = first_doc").groupBy("h").agg(F.min("at").alias("first_at"))
-    kept = store.join_small(hits, store.table(firsts, "firsts"), "h", "left")
+    firsts = hits.where("doc_id = first_doc").groupBy(*KEY).agg(F.min("at").alias("first_at"))
+    kept = store.join_small(hits, store.table(firsts, "firsts"), KEY, "left")
     lost = kept.where(~((F.col("doc_id") == F.col("first_doc")) & (F.col("at") == F.coalesce("first_at", F.lit(-1)))))
-    return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("drop"))
+    return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("drop"))  # the lines of one document
 
 
 def without(lines: Column, drop: Column) -> Column:
@@ -62,18 +70,20 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source"
     """Remove cross-site boilerplate lines: the documents' columns with new text, n_lines and n_removed.
 
     Lines are compared whole, split at \\n; those with fewer than ten characters
-    in words are left alone. Null sites count as one site, null texts are empty
-    and stay null, a null doc_id never loses lines. Rows that share a doc_id are
-    treated as one document. Every row is kept, even if no line is left; an
-    empty table gives an empty result.
+    in words are left alone. Null sites count as one site (that of the empty
+    name), null texts are empty and stay null, a null doc_id never loses lines.
+    Rows that share a doc_id are treated as one document. Very long texts are
+    taken whole. Every row is kept, even if no line is left; of the caller's
+    columns only ``n_lines`` and ``n_removed`` are replaced, others with any name
+    stay as they are; an empty table gives an empty result.
     """
-    lost = removals(docs, sites, site)
-    clash = [c for c in ("n_lines", "n_removed", "drop") if c in docs.columns]
-    joined = docs.drop(*clash).join(lost, "doc_id", "left")
-    lines = F.split("text", "\n")
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size(F.array_intersect("drop", F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(lines, F.col("drop"))))
-    return out.drop("drop")
+    lost = removals(docs.select("doc_id", "text", site), sites, site).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
+    joined = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("_row")).join(lost, F.col("_row.doc_id") == F.col("_id"), "left")
+    lines, drop = F.split(F.col("_row.text"), "\n"), F.col("_drop")
+    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.array_intersect(drop, F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long").alias("n_removed")]
+    kept = F.when(drop.isNull(), F.col("_row.text")).otherwise(without(lines, drop))
+    own = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*own, *counts)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and one machine runs all, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomtext.shared.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("loomtext.shared.dir", found)
