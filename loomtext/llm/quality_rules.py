@@ -3,8 +3,10 @@
 Method: every signal of every document goes into a mergeable quantile sketch
 (counts in buckets of bounded relative width, so sketches merge by addition and
 do not depend on how rows are split). Sketches exist per language and source
-and, merged, per language and overall; quartiles read from them give fences,
-and documents are filtered by joining the fences back.
+and, merged, per language and overall. Each is pooled with its parent's, which
+counts as PRIOR documents: a large source is judged by its own quartiles, a
+sparse one leans on its language, without a size at which that changes. The
+quartiles give fences, and documents are filtered by joining the fences back.
 DataFrame functions only.
 """
 
@@ -22,6 +24,8 @@ from loomtext.llm import store, text
 SYMBOLS = "[#*$%&|<>]"
 #: Buckets for each doubling of a value: a quantile is off by 1/32 of its value at most.
 STEPS = 32
+#: Documents that the parent's sketch counts as beside a sketch's own.
+PRIOR = 100
 
 
 @dataclass(frozen=True)
@@ -112,53 +116,69 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], reach: int, rules=RULES) -> DataFrame:
-    """Quartiles of every sketch and the fences they imply: keys, n_docs, and lo_/hi_ for each signal."""
-    w = Window.partitionBy(*keys, "signal").orderBy("bucket")
-    run = sketches.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "signal")))
-    quart = run.groupBy(*keys, "signal").agg(
-        F.max("total").alias("total"),
-        *[bucket_low(F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))).alias(f"q{k}") for k in (1, 3)],
+def cumulated(sketches: DataFrame, grid: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``grid`` (keys, signal, bucket, ...) with the sketch's counts up to each bucket (``name``) and in all (``n_<name>``)."""
+    own = sketches.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "signal", "bucket")], "n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "signal", "bucket")]
+    met = grid.join(own, same, "left").drop(*[f"_{k}" for k in (*keys, "signal", "bucket")]).withColumn("n", F.coalesce("n", F.lit(0)))
+    group = Window.partitionBy(*keys, "signal")
+    return met.withColumn(name, F.sum("n").over(group.orderBy("bucket"))).withColumn(f"n_{name}", F.sum("n").over(group)).drop("n")
+
+
+def pooled(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The sketch of every language and source pooled with those of its language and of all: lang, source, signal, bucket, n_docs, upto, total.
+
+    A sketch has at most STEPS buckets for each bit of a 64-bit number, so the
+    buckets of all documents, a few thousand, are broadcast to every group.
+    """
+    n_docs = lambda keys: merge(sketches, keys)
+    every = store.table(n_docs([]), "overall")
+    whole = cumulated(every, every.select("signal", "bucket"), [], "c_all")
+    langs = sketches.select("lang", "signal").distinct().join(F.broadcast(whole), "signal")
+    langs = store.table(cumulated(n_docs(["lang"]), langs, ["lang"], "c_lang"), "languages")
+    groups = sketches.select("lang", "source", "signal").distinct().withColumnRenamed("lang", "_lang").withColumnRenamed("signal", "_signal")
+    grid = store.join_small(groups, langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("signal") == F.col("_signal")), "inner").drop("_lang", "_signal")
+    own = cumulated(sketches, grid, ["lang", "source"], "c_own")
+    k = F.lit(float(prior))
+    of_lang = F.col("c_lang") + k * F.col("c_all") / F.col("n_c_all")
+    return own.select("lang", "source", "signal", "bucket", F.col("n_c_own").alias("n_docs"), (F.col("c_own") + k * of_lang / (F.col("n_c_lang") + k)).alias("upto"), (F.col("n_c_own") + k).alias("total"))
+
+
+def fences(sketches: DataFrame, reach: int, rules=RULES, prior: int = PRIOR) -> DataFrame:
+    """Quartiles of every pooled sketch and the fences they imply: lang, source, n_docs, and lo_/hi_ for each signal."""
+    quart = pooled(sketches, prior).groupBy("lang", "source", "signal").agg(
+        F.max("n_docs").alias("n_docs"),
+        *[bucket_low(F.min(F.when(F.col("upto") * 4 >= F.col("total") * (k - 1e-9), F.col("bucket")))).alias(f"q{k}") for k in (1, 3)],
     )
     at = lambda c, r: F.max(F.when(F.col("signal") == r.signal, F.col(c)))
-    wide = [F.max("total").alias("n_docs")]
+    wide = [F.max("n_docs").alias("n_docs")]
     for r in rules:
         spread = F.greatest(at("q3", r) - at("q1", r), F.lit(r.least_spread).cast("long")) * reach
         wide += [(at("q3", r) + spread).alias(f"hi_{r.signal}"), (at("q1", r) - spread if r.two_sided else F.lit(0).cast("long")).alias(f"lo_{r.signal}")]
-    return quart.groupBy(*keys).agg(*wide)
+    return quart.groupBy("lang", "source").agg(*wide)
 
 
-def apply_rules(docs: DataFrame, least_docs: int = 100, reach: int = 3, rules=RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, reach: int = 3, rules=RULES, prior: int = PRIOR) -> DataFrame:
     """Judge every document by the base rules and the fences of its language and source.
 
     Takes doc_id, text, lang, source; returns doc_id, the counts, base_failed,
-    kept and ``level``, the sketch that judged it: its language and source, or
-    where these have fewer than ``least_docs`` documents the language's, or else
-    the one of all documents. Null languages and sources are groups of their
-    own. A null or empty text has no words and fails the base rules. Repeated
-    rows are judged alike; other columns are ignored; an empty table gives an
-    empty result.
+    kept and n_group, the documents of its language and source. Null languages
+    and sources are groups of their own. A null or empty text has no words and
+    fails the base rules; very long texts are read whole. Repeated rows are
+    judged alike and tied values share a bucket; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     rows = store.table(signals(docs.select("doc_id", "lang", "source", "text")).drop("text"), "signals")
     fine = store.table(sketch(rows, ["lang", "source"], rules), "sketch")
-    cuts = [store.table(fences(fine, ["lang", "source"], reach, rules), "fences"), fences(merge(fine, ["lang"]), ["lang"], reach, rules)]
-    overall = fences(merge(fine, []), [], reach, rules)
-    names = [c for c in cuts[1].columns if c != "lang"]
-    pick = lambda d, level, keys: d.select(*keys, F.struct(*[F.col(c) for c in names], F.lit(level).alias("level")).alias(level))
-    groups = cuts[0].select("lang", "source", F.struct(*[F.col(c) for c in names], F.lit("source_cut").alias("level")).alias("source_cut"))
-    langs = pick(cuts[1], "lang_cut", ["lang"]).withColumnRenamed("lang", "_l")
-    row = overall.first() or {}
-    whole = F.struct(*[F.lit(row[c]).cast("long").alias(c) for c in names], F.lit("all_cut").alias("level"))  # one row of numbers
-    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("_l")), "left").withColumn("all_cut", whole)
-    chosen = F.when(F.col("source_cut.n_docs") >= least_docs, F.col("source_cut")).when(F.col("lang_cut.n_docs") >= least_docs, F.col("lang_cut")).otherwise(F.col("all_cut"))
-    table = store.table(joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), chosen.alias("cut")), "cuts")
+    cuts = fences(fine, reach, rules, prior)
+    table = store.table(cuts.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*[c for c in cuts.columns if c not in ("lang", "source")]).alias("cut")), "cuts")
     on = rows["lang"].eqNullSafe(table["_lang"]) & rows["source"].eqNullSafe(table["_source"])
     inside = F.lit(True)
     for r in rules:
         inside = inside & F.col(r.signal).between(F.col(f"cut.lo_{r.signal}"), F.col(f"cut.hi_{r.signal}"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return store.join_small(rows, table, on).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.coalesce(inside, F.lit(False))).alias("kept"), F.col("cut.level").alias("level")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.coalesce(inside, F.lit(False))).alias("kept"), F.col("cut.n_docs").alias("n_group")
     )
 
 
@@ -182,23 +202,25 @@ m as (
   from s),
 v as (unpivot (select doc_id, lang, source, word_length, symbol_share, dup_line_share, repeat_share from m) on word_length, symbol_share, dup_line_share, repeat_share into name signal value v),
 b as (select lang, source, signal, case when v < 32 then v else 32 * (length(bin(v)) - 5) + (v >> (length(bin(v)) - 6)) - 32 end as bucket from v),
-k as (
-  select 2 as lv, lang, source, signal, bucket, count(*) as n from b group by all
-  union all select 1, lang, null, signal, bucket, count(*) from b group by all
-  union all select 0, null, null, signal, bucket, count(*) from b group by all),
-u as (select *, sum(n) over (partition by lv, lang, source, signal order by bucket) as upto, sum(n) over (partition by lv, lang, source, signal) as total from k),
-q0 as (select lv, lang, source, signal, max(total) as total, min(case when upto * 4 >= total then bucket end) as b1, min(case when upto * 4 >= total * 3 then bucket end) as b3 from u group by all),
+k as (select lang, source, signal, bucket, count(*) as n from b group by all),
+kl as (select lang, signal, bucket, sum(n) as n from k group by all),
+ka as (select signal, bucket, sum(n) as n from k group by all),
+a as (select signal, bucket, sum(n) over (partition by signal order by bucket) as ca, sum(n) over (partition by signal) as na from ka),
+l as (select g.lang, a.signal, a.bucket, ca, na, sum(coalesce(kl.n, 0)) over (partition by g.lang, a.signal order by a.bucket) as cl, sum(coalesce(kl.n, 0)) over (partition by g.lang, a.signal) as nl
+      from (select distinct lang from k) g cross join a left join kl on kl.lang is not distinct from g.lang and kl.signal = a.signal and kl.bucket = a.bucket),
+u as (select l.lang, g.source, l.signal, l.bucket, ca, na, cl, nl, sum(coalesce(k.n, 0)) over (partition by l.lang, g.source, l.signal order by l.bucket) as co, sum(coalesce(k.n, 0)) over (partition by l.lang, g.source, l.signal) as no
+      from (select distinct lang, source from k) g join l on l.lang is not distinct from g.lang
+      left join k on k.lang is not distinct from g.lang and k.source is not distinct from g.source and k.signal = l.signal and k.bucket = l.bucket),
+p as (select lang, source, signal, bucket, no, co::double + 100.0::double * (cl::double + 100.0::double * ca::double / na::double) / (nl::double + 100.0::double) as upto, no::double + 100.0::double as total from u),
+q0 as (select lang, source, signal, max(no) as no, min(case when upto * 4 >= total * (1 - 1e-9)::double then bucket end) as b1, min(case when upto * 4 >= total * (3 - 1e-9)::double then bucket end) as b3 from p group by all),
 q as (select *, case when b1 < 32 then b1 else (b1 % 32 + 32) << (b1 // 32 - 1) end as q1, case when b3 < 32 then b3 else (b3 % 32 + 32) << (b3 // 32 - 1) end as q3 from q0),
 f as (
-  select lv, lang, source, signal, total, q3 + 3 * greatest(q3 - q1, case signal when 'word_length' then 60 when 'symbol_share' then 150 when 'dup_line_share' then 2000 else 1000 end) as hi,
+  select lang, source, signal, no, q3 + 3 * greatest(q3 - q1, case signal when 'word_length' then 60 when 'symbol_share' then 150 when 'dup_line_share' then 2000 else 1000 end) as hi,
          case when signal = 'word_length' then q1 - 3 * greatest(q3 - q1, 60) else 0 end as lo from q),
-j as (
-  select v.doc_id, v.signal, v.v, f.hi, f.lo, f.lv, row_number() over (partition by v.doc_id, v.signal order by case when f.lv = 0 or f.total >= 100 then f.lv else -1 end desc) as pick
-  from v join f on f.signal = v.signal and (f.lv = 0 or (f.lang = v.lang and (f.lv = 1 or f.source = v.source)))),
-i as (select doc_id, bool_and(v between lo and hi) as inside, max(lv) as lv from j where pick = 1 group by 1)
+i as (select v.doc_id, bool_and(v.v between f.lo and f.hi) as inside, max(f.no) as n_group
+      from v join f on f.signal = v.signal and f.lang is not distinct from v.lang and f.source is not distinct from v.source group by 1)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-       (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and inside) as kept,
-       case lv when 2 then 'source_cut' when 1 then 'lang_cut' else 'all_cut' end as level
+       (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and inside) as kept, n_group::bigint as n_group
 from m join i on m.doc_id = i.doc_id
 """
