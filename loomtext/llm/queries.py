@@ -38,7 +38,7 @@ def op7_site_quality(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.mix(store.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(store.read(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark, sf_dir, tokenizer="word_bpe_49k.json"):
