@@ -77,13 +77,26 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source"
     columns only ``n_lines`` and ``n_removed`` are replaced, others with any name
     stay as they are; an empty table gives an empty result.
     """
+    joined, kept, counts = stripped(docs, sites, site)
+    own = [(kept if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*own, *counts)
+
+
+def stripped(docs: DataFrame, sites: int, site: str) -> tuple[DataFrame, Column, list[Column]]:
+    """Rows with ``_row`` (all columns of docs), the text that is left of each, and the numbers of its lines and of those removed."""
     lost = removals(docs.select("doc_id", "text", site), sites, site).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
-    joined = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("_row")).join(lost, F.col("_row.doc_id") == F.col("_id"), "left")
+    joined = docs.select(F.struct("*").alias("_row")).join(lost, F.col("_row.doc_id") == F.col("_id"), "left")
     lines, drop = F.split(F.col("_row.text"), "\n"), F.col("_drop")
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.array_intersect(drop, F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long").alias("n_removed")]
-    kept = F.when(drop.isNull(), F.col("_row.text")).otherwise(without(lines, drop))
-    own = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*own, *counts)
+    removed = F.coalesce(F.size(F.array_intersect(drop, F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long")
+    return joined, F.when(drop.isNull(), F.col("_row.text")).otherwise(without(lines, drop)), [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed")]
+
+
+def kept_documents(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
+    """The documents without boilerplate, with the columns they have (``n_chars`` counted anew); those that lose all their words to it go."""
+    joined, kept, _ = stripped(docs, sites, site)
+    rows = joined.select("_row", "_drop", kept.alias("_text")).where(F.col("_drop").isNull() | (text.squeezed(F.col("_text")) != ""))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm import linear
+from loomtext.llm import linear, store
 
 LETTERS = re.compile(r"[^\W\d_]+")
 NOISE = re.compile(r"[#*$%&|<>!]")
-#: Bounds of training: labelled rows and vocabulary.
+#: Bounds of training: labelled rows, and features (an equal part of the vocabulary for each category).
 MOST_ROWS, MOST_WORDS = 8_000, 400
 FOLDS = 3
 #: A category is found from the out-of-fold probability that this share of its negatives exceeds, within these bounds.
@@ -66,14 +66,46 @@ def chain_scores(x: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], most: int) -> DataFrame:
     """Up to ``most`` labelled documents, chosen by the hash of doc_id: doc_id, fold, categories, text.
 
-    A doc_id labelled twice counts as positive if any label is; null labels as 0.
+    A doc_id labelled twice counts as positive if any label is; a category without a label stays null.
     """
-    one = labels.groupBy("doc_id").agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
+    one = labels.groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
     picked = one.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` narrow rows
     return texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)))
 
 
+def vocabulary_of(rows: DataFrame, categories: list[str], most: int) -> list[str]:
+    """The words whose presence tells most about any category, among rows (words, categories); a row counts where its label is known."""
+    counts = rows.select(F.explode("words").alias("word"), *categories).groupBy("word")
+    best: set[str] = set()
+    for c in categories:
+        n, p = rows.agg(F.count(c), F.sum(c)).first()
+        a, k, n, p = F.col("a"), F.col("k"), float(n), float(p or 0.0)
+        gain = n * (a * n - k * p) * (a * n - k * p) / F.greatest(k * (n - k) * F.lit(p * (n - p)), F.lit(1e-9))  # chi-square of presence against the category
+        found = counts.agg(F.sum(c).alias("a"), F.count(c).cast("double").alias("k")).where("k >= 3").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+        best |= {r["word"] for r in found.orderBy(F.desc("gain"), "word").limit(most // len(categories)).collect()}
+    return sorted(best)
+
+
+def fit_chain(x: np.ndarray, fold: np.ndarray, labels: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """Weights and cuts of the categories in order; the features of each later one are joined by the out-of-fold probabilities of those before.
+
+    An unknown label (NaN) teaches its category nothing; its row still has probabilities for the later ones.
+    """
+    weights, cuts = [], []
+    for y in labels:
+        known = ~np.isnan(y)
+        outside = np.zeros(len(y))
+        for k in range(FOLDS):
+            some = known & (fold != k)
+            outside[fold == k] = linear.predict(x[fold == k], linear.fit(x[some], y[some], RIDGE))
+        weights.append(linear.fit(x[known], y[known], RIDGE))
+        clean = outside[y == 0]
+        cuts.append(float(np.clip(np.quantile(clean, 1 - CLEAN_LOST), *CUTS)) if len(clean) else CUTS[1])
+        x = np.hstack([x, outside[:, None]])
+    return weights, cuts
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> Chain:
     """Fit a chain to a bounded sample of labelled documents.
 
@@ -81,54 +113,33 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
     in the sample. With no labelled rows every probability is one half.
     """
     sample = labelled_sample(docs, labels, categories, most_rows)
-    kinds = f"fold int, noise double, caps double, words array<string>, {', '.join(f'{c} int' for c in categories)}"
+    kinds = f"fold int, noise double, caps double, words array<string>, {', '.join(f'{c} double' for c in categories)}"
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [features(t) for t in b["text"]]
             out = pd.DataFrame({"fold": b["fold"].astype(int), "noise": [g[1] for g in got], "caps": [g[2] for g in got], "words": [sorted(g[0]) for g in got]})
-            yield out.assign(**{c: b[c].astype(int) for c in categories})
-
-    from loomtext.llm import store
+            yield out.assign(**{c: b[c].astype(float) for c in categories})
 
     rows = store.table(sample.mapInPandas(extract, kinds), "labelled")
-    n, *positives = rows.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
-    positives = [p or 0 for p in positives]
-    counts = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 3")
-
-    def gain(c: str, p: int):  # chi-square of presence against the category
-        a, k = F.col(c).cast("double"), F.col("n").cast("double")
-        return (a * n - k * p) * (a * n - k * p) / F.greatest(k * (n - k) * F.lit(float(p) * (n - p)), F.lit(1e-9))
-
-    best = []
-    for c, p in zip(categories, positives):
-        best += [r["word"] for r in counts.where(gain(c, p) * n >= LEAST_GAIN).orderBy(gain(c, p).desc(), "word").limit(most_words // len(categories)).collect()]
-    vocabulary = sorted(set(best))
-    indexed = rows.select("fold", "noise", "caps", *categories, F.filter("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)).alias("words")).orderBy("fold", *categories, "words", "noise", "caps").toPandas()
+    vocabulary = vocabulary_of(rows, categories, most_words)
+    kept = F.array_sort(F.filter("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)))
+    indexed = rows.select("fold", "noise", "caps", *categories, F.array_join(kept, " ").alias("found")).toPandas()  # at most ``most_rows`` rows
+    indexed = indexed.sort_values(list(indexed.columns), kind="stable", na_position="first")
     at = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(indexed), len(at) + 2))
-    for i, found in enumerate(indexed["words"]):
-        x[i, [at[w] for w in found]] = 1.0
+    for i, found in enumerate(indexed["found"]):
+        x[i, [at[w] for w in found.split()]] = 1.0
     x[:, -2], x[:, -1] = indexed["noise"], indexed["caps"]
-    fold, weights, cuts = indexed["fold"].to_numpy(), [], []
-    for c in categories:
-        y = indexed[c].to_numpy(dtype=float)
-        outside = np.zeros(len(y))
-        for k in range(FOLDS):
-            outside[fold == k] = linear.predict(x[fold == k], linear.fit(x[fold != k], y[fold != k], RIDGE))
-        weights.append(linear.fit(x, y, RIDGE))
-        clean = outside[y == 0]
-        cuts.append(float(np.clip(np.quantile(clean, 1 - CLEAN_LOST), *CUTS)) if len(clean) else CUTS[1])
-        x = np.hstack([x, outside[:, None]])
+    weights, cuts = fit_chain(x, indexed["fold"].to_numpy(), [indexed[c].to_numpy(dtype=float) for c in categories])
     return Chain(list(categories), vocabulary, weights, cuts)
 
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
-    """Add a probability column p_<category> for each category of the chain, by whole texts."""
+    """``_row``, a struct of all columns of ``docs``, and ``_p``, one of the categories' probabilities, by whole texts."""
     kinds = ", ".join(f"{c} double" for c in chain.categories)
     probe = F.pandas_udf(chain.score, kinds)
-    scored = docs.withColumn("_p", probe(F.col(column)))
-    return scored.select(*docs.columns, *[F.col(f"_p.{c}").alias(f"p_{c}") for c in chain.categories])
+    return docs.select(F.struct("*").alias("_row"), probe(F.col(column)).alias("_p"))
 
 
 def categories_of(labels: DataFrame) -> DataFrame:
@@ -139,15 +150,26 @@ def categories_of(labels: DataFrame) -> DataFrame:
 CATEGORIES = ["poor", "toxic", "poor_toxic"]
 
 
+def judged(docs: DataFrame, labels: DataFrame, cut: float | None) -> DataFrame:
+    chain = train(docs, categories_of(labels), CATEGORIES)
+    cut = chain.cuts[CATEGORIES.index("toxic")] if cut is None else cut
+    return score(docs, chain).withColumn("_toxic", (F.col("_p.toxic") >= cut) if chain.vocabulary else F.lit(False))
+
+
 def judge(docs: DataFrame, labels: DataFrame, cut: float | None = None) -> DataFrame:
     """Score documents and reject those whose toxic probability reaches ``cut``, by default the chain's own.
 
-    Returns the documents' columns, p_poor, p_toxic, p_poor_toxic, and toxic. A
-    null or empty text has no words; repeated rows are scored alike; an empty
-    table gives an empty result, an empty label table rejects nothing.
+    Returns the documents' columns, p_poor, p_toxic, p_poor_toxic, and toxic;
+    columns of the documents by these four names are replaced, all others stay.
+    A null or empty text has no words; very long texts are read whole; a null
+    label is unknown and teaches nothing; a null doc_id has no label; repeated
+    and tied rows are scored alike; an empty table gives an empty result, an
+    empty label table rejects nothing.
     """
-    chain = train(docs, categories_of(labels), CATEGORIES)
-    scored = score(docs, chain)
-    cut = chain.cuts[CATEGORIES.index("toxic")] if cut is None else cut
-    verdict = (F.col("p_toxic") >= cut) if chain.vocabulary else F.lit(False)
-    return scored.withColumn("toxic", verdict)
+    new = {f"p_{c}": F.col(f"_p.{c}") for c in CATEGORIES} | {"toxic": F.col("_toxic")}
+    return judged(docs, labels, cut).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+
+
+def clean(docs: DataFrame, labels: DataFrame, cut: float | None = None) -> DataFrame:
+    """The documents that ``judge`` doesn't reject, with the columns they have, whatever their names."""
+    return judged(docs, labels, cut).where("not _toxic").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
