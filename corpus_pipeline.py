@@ -7,24 +7,20 @@ as Parquet and read again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomtext.llm import line_dedup, mixing, ngram_join, packing, store, text, toxicity
+from loomtext.llm import line_dedup, mixing, ngram_join, packing, store, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain does not reject."""
-    judged = toxicity.judge(docs, store.read(spark, sf_dir, "labels"))
-    return judged.where("not toxic").select(*docs.columns)
+    return toxicity.clean(docs, store.read(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; those that lose all their words to it go."""
-    out = line_dedup.remove_boilerplate(docs)
-    out = out.where((F.col("n_removed") == 0) | (text.squeezed(F.col("text")) != ""))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return line_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
