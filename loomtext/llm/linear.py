@@ -12,6 +12,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights, the intercept last, by Newton's method with a ridge on all but the intercept.
 
+    A step that doesn't lower the penalised loss is halved, so that rare classes can't make it diverge.
+
     With one class only (or no rows) the weights are 0 and the intercept is the smoothed log odds.
     """
     n, d = x.shape
@@ -23,13 +25,18 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
     a = np.hstack([x, np.ones((n, 1))])
     penalty = np.full(d + 1, ridge)
     penalty[d] = 1e-6
+    loss = lambda w: float(np.logaddexp(0.0, a @ w).sum() - y @ (a @ w) + penalty @ (w * w) / 2)
+    now = loss(w)
     for _ in range(rounds):
         p = sigmoid(a @ w)
         gradient = a.T @ (p - y) + penalty * w
         curve = (a * (p * (1 - p))[:, None]).T @ a
         curve[np.diag_indices(d + 1)] += penalty
         step = np.linalg.solve(curve, gradient)
-        w -= step
+        while loss(w - step) > now + 1e-9 and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        now = loss(w)
         if np.abs(step).max() < 1e-6:
             break
     return w
