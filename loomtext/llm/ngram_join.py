@@ -32,8 +32,11 @@ SHINGLE = 5
 SHARE = (75, 100)
 #: Sizes after which the rounding of a prefix's length starts over.
 PERIOD = SHARE[1] // math.gcd(*SHARE)
-#: Members of a group, about, and tokens of a group's prefixes that are listed in its rows of the matrix.
-MEMBERS, LISTED = 64, 512
+#: Members of a group, and tokens of their sets, about: a group has as many of either as leave the other below.
+MEMBERS, TOKENS = 64, 60_000
+#: Tokens of a group's prefixes that are listed in its rows of the matrix. A pair is then met at its first shared token
+#: only; without a list it is met at each and counted. Both ways open the same groups and more, and give the same links.
+LISTED = 512
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -226,10 +229,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no shingles and is linked with nothing. A doc_id
     identifies a document: rows that share one are tied together, each giving a
-    row; a null doc_id gives a row without component. Equal texts are one class.
-    Extra columns are ignored; an empty table gives an empty result.
+    row; a null doc_id gives a row without component. Equal texts are one class,
+    and of equals the smallest doc_id names the component. Ids are whole numbers
+    (any integer type, returned as bigint). Very long texts are read whole. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = repeats.find(docs, "text", half_universe, "shingles", with_refs=False)
     info = repeats.info(found)
     classes = store.table(info.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -245,8 +250,8 @@ def join(docs: DataFrame) -> DataFrame:
     known = graph.components(edges)
     place = store.table(sets.select("doc_id", "n").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")), "places")
     store.release(spark)
-    sizes = place.groupBy("comp").agg(F.count("*").alias("size"))
-    parted = place.join(sizes, "comp").select("doc_id", "n", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("sub"))
+    sizes = place.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / TOKENS)).alias("groups"))
+    parted = place.join(sizes, "comp").select("doc_id", "n", "comp", F.pmod(F.xxhash64("doc_id"), "groups").cast("int").alias("sub"))
     members = store.table(parted, "members")
 
     met = store.table(candidates(tokens, members), "candidates")
@@ -265,9 +270,16 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; documents without words or without a doc_id all stay."""
-    chosen = join(docs).where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each component, that with the smallest doc_id; documents without words or without a doc_id all stay.
+
+    Columns stay as they are, whatever their names. Equal rows that share a doc_id are one document, so one of them stays.
+    """
+    chosen = store.table(join(docs).where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct(), "chosen")
+    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    ids = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = store.table(ids, "again")
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 #: The same in DuckDB's SQL.

@@ -155,7 +155,7 @@ def tokenizer(path: str) -> Words:
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """Add ``uid``, which numbers the rows of a DataFrame read from Parquet by file name, then by place in the file.
+    """Add ``_place``, which numbers the rows of a DataFrame read from Parquet by file name, then by place in the file.
 
     What was written range-sorted has that order in its files, but Spark reads large files first.
     """
@@ -163,12 +163,12 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     numbers = store.table(files.withColumn("_part", F.row_number().over(Window.orderBy("_file")) - 1), "numbers")
     named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     joined = store.join_small(named, numbers, "_file", "inner")
-    return joined.withColumn("uid", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row")).select(*docs.columns, "uid")
+    return joined.withColumn("_place", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row")).select(*docs.columns, "_place")
 
 
-def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
-    """A stored row for each document: uid (that of docs, else by read order), part, doc_id, source, n (tokens with END) and ids."""
-    own = ["uid"] if "uid" in docs.columns else []
+def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | None = None) -> DataFrame:
+    """A stored row for each document: uid (the column ``order`` of docs, else by read order), part, doc_id, source, n (tokens with END) and ids."""
+    own = ["uid"] if order else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path)
@@ -184,7 +184,7 @@ def tokenize(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
                 done += len(ids)
 
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary" + ", uid bigint" * len(own)
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *own).mapInArrow(run, kinds)
+    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *[F.col(order).alias(c) for c in own]).mapInArrow(run, kinds)
     uid = F.col("uid") if own else F.monotonically_increasing_id()
     return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
 
@@ -193,8 +193,9 @@ def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window:
     """Where the pieces of each document begin in the packed stream, (uid, pieces: array of (at, n, begin)), and the stream's length.
 
     ``shares`` are target proportions by source; a source not named gets, as all
-    do by default, its own share of the tokens. Queues keep the order of uid; a
-    source whose queue has ended leaves its place to the others.
+    do by default, its own share of the tokens, and all are scaled to a sum of 1.
+    Queues keep the order of uid; a source whose queue has ended leaves its place
+    to the others.
     """
     narrow = tokens.select("uid", "part", "source", "n")
     parts = store.table(narrow.groupBy("source", "part").agg(F.sum("n").alias("sum")), "parts")
@@ -203,6 +204,7 @@ def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window:
     if shares:
         named = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
         own = F.coalesce(F.try_element_at(named, F.col("source")), own)
+        own = own / parts.select("source", own.alias("share")).distinct().agg(F.sum("share")).first()[0] if total else own
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("part")) - F.col("sum")
     known = parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), before.alias("before"), (own * window).alias("earned"))
     known = known.withColumn("every", F.ceil(least / F.col("earned"))).withColumn("quantum", F.col("earned") * F.col("every"))
@@ -250,17 +252,18 @@ def cut(begin: int, n: int, full: int, tail: np.ndarray, window: int = WINDOW) -
     return out
 
 
-def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, source: str = "source", window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, source: str = "source", window: int = WINDOW, order: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens; a row for each piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+    Queues keep the order of the column ``order`` (as ``in_file_order`` gives), else that of reading.
     A null or empty text is the one token END; a very long text is cut over as
     many windows as its source's share needs; null sources are a queue of their
     own, the last; repeated rows are documents of their own, as are rows that
     share a doc_id; other columns are ignored, whatever their names; an empty
     table gives an empty result. ``window`` is a power of two.
     """
-    tokens = tokenize(docs, path, source)
+    tokens = tokenize(docs, path, source, order)
     begins, total = schedule(tokens, shares, window)
     full, tail = total - total % window, boundaries(total, window)
     kind = dict(docs.dtypes)["doc_id"]

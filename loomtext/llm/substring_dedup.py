@@ -9,14 +9,15 @@ and maximal spans over the threshold are removed. Broadcasting automata of the
 whole corpus to the whole corpus costs their product, so shards are routed
 instead: every window has one anchor, its least 8-word gram, equal windows have
 equal anchors, and the windows of an anchor form one span. Spans whose anchor
-occurs once cannot repeat. The others meet by anchor: there each distinct span
-is streamed through the automaton of the earlier ones and then added to it.
-Equal spans are merged before they meet, so a passage that a third of all
-documents share reaches its shard once. An anchor with more than MOST_SPANS
-distinct spans would make an automaton without bound in one task: the windows
-of its spans (13 at most in each) are grouped by their words instead, by
-partial aggregation, with the same result. Copies of whole documents are told
-by the hash of their words. Automata of a fixed reference of bounded size are
+occurs once cannot repeat. The others meet by anchor, in shards: there each
+distinct span is streamed through the automaton of the earlier ones and then
+added to it. Spans travel and meet as the words themselves, so nothing rests on
+hashes of words. Equal spans are merged before they meet, so a passage that a
+third of all documents share reaches its shard once. A shard that holds more
+than MOST_SPANS distinct spans is split by the next least gram of each window,
+and again, until every shard is small; equal windows have equal grams in every
+rank, so they stay together. Copies of whole documents are told by a 128-bit
+hash of their words. Automata of a fixed reference of bounded size are
 broadcast, in ``remove_reference``.
 """
 
@@ -30,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm import repeats, store
+from loomtext.llm import repeats, store, text
 
 WINDOW = 20
 GRAM = 8
 #: Words of a broadcast reference shard at most; a larger reference takes several shards, each in a pass of its own.
 SHARD_WORDS = 200_000
-#: Distinct spans of an anchor that one automaton takes; the windows of wider anchors are grouped by their words.
+#: Words of a broadcast reference at most; a larger one is an error.
+MOST_REFERENCE = 4_000_000
+#: Distinct spans of a shard, at most; a wider one is split by the next gram, as long as windows have one.
 MOST_SPANS = 500
 
 
@@ -107,68 +110,114 @@ def anchor_keys(raw: bytes | None) -> repeats.Found:
     return repeats.Found(len(words), len(places), xxhash.xxh3_128_digest(b" ".join(words)), grams[places], places.astype("<i4"))
 
 
+SPANS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("count", pa.int32()), ("words", pa.binary())])
+SPANS_SQL = "anchor bigint, doc_id bigint, lo int, count int, words binary"
+
+
+def cut_spans(doc: int, at_lo: int, words: list[bytes], keys: np.ndarray, at: np.ndarray, out: list[tuple]) -> None:
+    """Add the spans of consecutive windows with one place ``at``: (key of the place, doc, first window, windows, words)."""
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+        out.append((int(keys[at[x] : at[x] + 1].view(np.int64)[0]), doc, at_lo + x, y - x, b" ".join(words[x : y + WINDOW - 1])))
+
+
+def span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SPANS)], schema=SPANS)
+
+
 def spans_of(marked: DataFrame) -> DataFrame:
-    """The spans (anchor, doc_id, lo, words) of documents (doc_id, text, refs) at the anchors in refs.
+    """The spans (anchor, doc_id, lo, count, words) of documents (doc_id, text, refs) at the anchors in refs.
 
-    A span holds the words of the windows that start at lo and after it and share an anchor; a word is 32 hashed bits.
+    A span holds the words of the ``count`` windows that start at lo and after it and share an anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids, los, words = [], [], [], []
+            out: list[tuple] = []
             for doc, raw, refs in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("refs").to_pylist()):
-                w = repeats.word_hashes((raw or b"").split())
-                grams, at = anchors(w)
-                small = w.astype("<u4")
+                words = (raw or b"").split()
+                grams, at = anchors(repeats.word_hashes(words))
                 wanted = np.unique(np.frombuffer(b"".join(refs), dtype="<i4"))
                 lo, hi = np.searchsorted(at, wanted), np.searchsorted(at, wanted, side="right")
-                for a, x, y in zip(wanted.tolist(), lo.tolist(), hi.tolist()):
+                keys = grams[wanted[wanted < len(grams)]].view(np.int64).tolist()
+                for key, x, y in zip(keys, lo.tolist(), hi.tolist()):
                     if x < y:
-                        ids.append(doc)
-                        los.append(x)
-                        words.append(small[x : y + WINDOW - 1].tobytes())
-                        keys.append(int(grams[a : a + 1].view(np.int64)[0]))
-            yield pa.RecordBatch.from_pydict({"anchor": keys, "doc_id": ids, "lo": los, "words": words}, pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("words", pa.binary())]))
+                        out.append((key, doc, x, y - x, b" ".join(words[x : y + WINDOW - 1])))
+                if len(out) > 20_000:
+                    yield span_batch(out)
+                    out = []
+            yield span_batch(out)
+
+    return marked.select("doc_id", "text", "refs").mapInArrow(run, SPANS_SQL)
 
-    return marked.select("doc_id", "text", "refs").mapInArrow(run, "anchor bigint, doc_id bigint, lo int, words binary")
+
+def split_by_gram(spans: DataFrame, rank: int) -> DataFrame:
+    """The spans cut where the gram of the given rank (0: the least of a window) changes; it joins the anchor in the new one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for key, doc, lo, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "lo", "words"))):
+                words = raw.split(b" ")
+                grams = repeats.gram_hashes(repeats.word_hashes(words), GRAM)
+                view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
+                at = np.arange(len(view)) + np.argsort(view, axis=1, kind="stable")[:, rank]
+                cut_spans(doc, lo, words, repeats.finish(grams + np.uint64(key % 2**64) * np.uint64(repeats.MIX[2])), at, out)
+            yield span_batch(out)
+
+    return spans.select("anchor", "doc_id", "lo", "words").mapInArrow(run, SPANS_SQL)
 
 
 def stream(spans: DataFrame) -> DataFrame:
-    """Windows of distinct spans that occur in earlier ones: (doc_id, lo, mask), mask a bit for each window.
+    """Windows of distinct spans that occur in earlier ones: (doc_id, lo, count, mask), mask a bit for each window.
 
     Takes (anchor, doc_id, lo, words), the first occurrence of each distinct span,
     with the spans of an anchor together and in order.
     """
+    found = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("count", pa.int32()), ("mask", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, held, automaton = None, None, None
         for b in batches:
             out: list[tuple] = []
             for key, doc, lo, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "lo", "words"))):
-                words = np.frombuffer(raw, dtype="<u4").tolist()
                 if key != anchor:
-                    anchor, held, automaton = key, words, None
+                    anchor, held, automaton = key, raw, None
                     continue
+                words = raw.split(b" ")
                 if automaton is None:  # most anchors have one distinct span and need none
                     automaton = SuffixAutomaton()
-                    automaton.add(held)
+                    automaton.add(held.split(b" "))
                 hit = np.array([n >= WINDOW for n in automaton.matching(words)][WINDOW - 1 :])
                 if hit.any():
-                    out.append((doc, lo, np.packbits(hit).tobytes()))
+                    out.append((doc, lo, len(hit), np.packbits(hit).tobytes()))
                 automaton.add(words)
-            yield pa.RecordBatch.from_pydict({"doc_id": [x[0] for x in out], "lo": [x[1] for x in out], "mask": [x[2] for x in out]}, pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("mask", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(found)], schema=found)
 
-    return spans.select("anchor", "doc_id", "lo", "words").mapInArrow(run, "doc_id bigint, lo int, mask binary")
+    return spans.select("anchor", "doc_id", "lo", "words").mapInArrow(run, "doc_id bigint, lo int, count int, mask binary")
 
 
-def grouped(spans: DataFrame) -> DataFrame:
-    """What ``stream`` finds, for anchors with many distinct spans: each window that starts earlier in another span, by itself."""
-    windows = F.octet_length("words") / 4 - (WINDOW - 1)
-    each = spans.select("doc_id", "lo", "words", F.explode(F.sequence(F.lit(0), windows.cast("int") - 1)).alias("i"))
-    each = store.table(each.select("doc_id", (F.col("lo") + F.col("i")).alias("lo"), F.substring("words", 4 * F.col("i") + 1, F.lit(4 * WINDOW)).alias("window")), "windows")
-    first = each.groupBy("window").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-    later = each.join(first, "window").where(F.struct("doc_id", "lo") > F.col("first"))
-    return later.select("doc_id", "lo", F.lit(b"\x80").alias("mask"))
+def repeated_spans(spans: DataFrame, rank: int = 0) -> DataFrame:
+    """What repeats of spans (anchor, doc_id, lo, count, words): (doc_id, lo, count, mask; no mask: all ``count`` windows).
+
+    Shards that are too wide go on, with what is distinct of them, to the next rank of grams.
+    """
+    n = store.partitions(spans.sparkSession)
+    spans = spans.withColumn("key", F.xxhash64("words"))
+    distinct = spans.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("count").alias("count"), F.count("*").alias("n"))
+    distinct = store.table(distinct.select("anchor", "first.doc_id", "first.lo", "count", "words", F.xxhash64("words").alias("key"), "n"), "distinct")
+    # A span that occurs again is repeated whole, wherever it is not its first occurrence.
+    again = distinct.where("n > 1").select("anchor", "key", F.col("doc_id").alias("d0"), F.col("lo").alias("lo0"))
+    wholly = spans.select("anchor", "key", "doc_id", "lo", "count").join(again, ["anchor", "key"]).where("doc_id > d0 or (doc_id = d0 and lo > lo0)")
+    found = wholly.select("doc_id", "lo", "count", F.lit(None).cast("binary").alias("mask"))
+    wide = distinct.groupBy("anchor").count().where(F.col("count") > (MOST_SPANS if rank < WINDOW - GRAM else 2**62)).select("anchor")
+    wide = store.table(wide, "wide")
+    met = store.join_small(distinct, wide, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
+    found = found.unionByName(store.table(stream(met), "streamed"))
+    if wide.isEmpty():
+        return found
+    finer = store.table(split_by_gram(store.join_small(distinct, wide, "anchor", "left_semi"), rank + 1), "finer")
+    return found.unionByName(repeated_spans(finer, rank + 1))
 
 
 def covered(n: int, spans: list[tuple[int, int, bytes | None]]) -> np.ndarray:
@@ -194,22 +243,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = repeats.hits(found).join(copied, "doc_id", "left").select(F.coalesce("first", "doc_id").alias("doc_id"), "refs")
     marks = marks.groupBy("doc_id").agg(F.collect_set("refs").alias("refs"))  # copies that have hits in several chunks have the same ones
     marks = store.table(marks.join(copies, "doc_id", "left_anti"), "marks")
-    spans = store.table(spans_of(docs.select("doc_id", "text").join(marks, "doc_id")), "spans").withColumn("key", F.xxhash64("words"))
+    spans = store.table(spans_of(docs.select("doc_id", "text").join(marks, "doc_id")), "spans")
     store.release(spark)
-
-    n = store.partitions(spark)
-    distinct = spans.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n"))
-    distinct = store.table(distinct.select("anchor", "first.doc_id", "first.lo", "words", F.xxhash64("words").alias("key"), "n"), "distinct")
-    wide = store.table(distinct.groupBy("anchor").count().where(F.col("count") > MOST_SPANS).select("anchor"), "wide")
-    met = store.join_small(distinct, wide, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
-    windows = F.floor(F.octet_length("words") / 4 - (WINDOW - 1)).cast("int")
-    partly = store.table(stream(met), "streamed").unionByName(grouped(store.join_small(distinct, wide, "anchor", "left_semi")))
-    # A span that occurs again is repeated whole, wherever it is not its first occurrence.
-    again = distinct.where("n > 1").select("anchor", "key", F.col("doc_id").alias("d0"), F.col("lo").alias("lo0"))
-    wholly = spans.select("anchor", "key", "doc_id", "lo", windows.alias("count")).join(again, ["anchor", "key"]).where("doc_id > d0 or (doc_id = d0 and lo > lo0)")
-    both = wholly.select("doc_id", "lo", "count", F.lit(None).cast("binary").alias("mask"))
-    both = both.unionByName(partly.select("doc_id", "lo", (F.octet_length("mask") * 8).cast("int").alias("count"), "mask"))
-    out = store.table(both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "count", "mask")).alias("spans")), "repeated")
+    out = store.table(repeated_spans(spans).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "count", "mask")).alias("spans")), "repeated")
     store.release(spark)
     return out, copies
 
@@ -217,11 +253,14 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Remove repeated windows: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
-    Null texts have no words. Rows that share a doc_id are one document: equal
-    ones lose the same words. A null doc_id keeps all its words and removes none
-    of others'. Extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no words; very long texts are read whole. Rows that
+    share a doc_id are one document: equal ones lose the same words. A null
+    doc_id keeps all its words and removes none of others'. Ids are whole numbers
+    (any integer type, returned as bigint). Of tied windows in one document the
+    first stays. Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lost, copies = repeated_windows(docs.where("doc_id is not null"))
     marks = lost.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast(lost.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
     joined = docs.join(marks, "doc_id", "left")
@@ -250,15 +289,19 @@ def digest(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def remove_reference(docs: DataFrame, reference: list[str], least: int = WINDOW) -> DataFrame:
-    """Remove spans of at least ``least`` words that occur in a fixed reference of bounded size: doc_id, n_words, n_removed, kept.
+def remove_reference(docs: DataFrame, reference: DataFrame, least: int = WINDOW) -> DataFrame:
+    """Remove spans of at least ``least`` words that occur in a fixed reference (text): doc_id, n_words, n_removed, kept.
 
-    The reference is cut into shards of SHARD_WORDS words; each shard's automaton is broadcast and documents are
-    streamed through it. A longer text of the reference makes a shard of its own. Null texts have no words.
+    The reference has MOST_REFERENCE words at most, else this is an error. It is cut into shards of SHARD_WORDS words;
+    each shard's automaton is broadcast and documents are streamed through it. A longer text of the reference makes a
+    shard of its own. Null texts have no words.
     """
+    size = reference.agg(F.sum(text.count_words(F.col("text")))).first()[0] or 0
+    if size > MOST_REFERENCE:
+        raise ValueError(f"the reference has {size} words, more than the {MOST_REFERENCE} that may be broadcast")
     shards: list[list[list[bytes]]] = [[]]
-    for text in reference:
-        words = text.encode().split()
+    for row in reference.select("text").collect():  # its size was checked
+        words = (row["text"] or "").encode().split()
         if shards[-1] and sum(map(len, shards[-1])) + len(words) > SHARD_WORDS:
             shards.append([])
         shards[-1].append(words)

@@ -66,16 +66,20 @@ def test_training_order(spark, tmp_path):
                 take = min(n, goal - at)
                 if take > 0:
                     share = (at + take / 2) / goal
-                    want.append((round((math.sqrt(s * s + 2 * (e - s) * share) - s) / (e - s), 9), i, take, source))
+                    want.append(((math.sqrt(s * s + 2 * (e - s) * share) - s) / (e - s), i, take, source))
                     at += take
     want.sort()
     assert any(goal > size for size, goal in goals.values())
     mixing.mixed_documents(docs).write.parquet(str(tmp_path / "mixed"))
     mixed = packing.in_file_order(spark.read.parquet(str(tmp_path / "mixed")))
-    assert [(r["doc_id"], len(r["text"].split())) for r in mixed.orderBy("uid").collect()] == [x[1:3] for x in want]
+    assert [(r["doc_id"], len(r["text"].split())) for r in mixed.orderBy("_place").collect()] == [x[1:3] for x in want]
     pieces = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").where("start = 0").orderBy("sequence_id", "offset").collect()
     for source in goals:
         assert [r["doc_id"] for r in pieces if r["source"] == source] == [x[1] for x in want if x[3] == source]
+    plan = {r["doc_id"]: r for r in mixing.plan(docs).collect()}
+    for i, r in plan.items():
+        at = [x[0] for x in want if x[1] == i]
+        assert r["uses"] == len(at) and (not at or (abs(r["first_position"] - min(at)) < 1e-6 and abs(r["last_position"] - max(at)) < 1e-6))
 
 
 def test_null_ids_stay(spark):
