@@ -37,7 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The pieces of packed sequences; each source's queue keeps the order of training, which the files of the stage before have."""
     import public_tokenizers
 
-    return packing.pack(packing.in_file_order(docs), public_tokenizers.path(TOKENIZER))
+    return packing.pack(packing.in_file_order(docs), public_tokenizers.path(TOKENIZER), order="_place")
 
 
 STAGES = [
