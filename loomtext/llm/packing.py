@@ -34,9 +34,11 @@ END = 2
 #: Tokens that a source sends at once, at least (where its document and queue have as many).
 LEAST = 64
 #: Words, and parts of words, whose ids a Python worker remembers; the rest are encoded as they come.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Texts are tokenised in groups of about so many bytes.
 GROUP = 1_000_000
+#: Rows of an Arrow batch that a worker turns into Python objects at once.
+SLICE = 500
 
 _known: dict[str, Words] = {}
 
@@ -173,7 +175,7 @@ def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path)
         width = made.kind.itemsize
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts, done = b.column("text").cast(pa.binary()).to_pylist(), 0
             sizes = np.cumsum([len(t or "") for t in texts])
             while done < len(texts):
@@ -269,7 +271,8 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        _known.clear()  # a worker that has tokenised before needs its memory of words no longer
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cols: list[list] = [[] for _ in range(7)]
             rows: list[int] = []
             ids, ns, pieces = b.column("ids"), b.column("n").to_pylist(), b.column("pieces")
