@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WAR_START, WAR_DAYS = "2022-02-24", 5000
 ANNOTATION_LANGUAGES = ("en", "ru")
 CYRILLIC_ONE = ("абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye")
-CYRILLIC_MANY = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ё": "yo", "ъ": "", "ь": ""}
+CYRILLIC_MANY = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ё": "yo", "ъ": "", "ь": ""}
 
 
 def duration_seconds(text: Column, bare: bool = False) -> Column:
@@ -65,18 +65,32 @@ def video_id(ref: Column) -> Column:
 
 def normalize_handle(value: Column) -> Column:
     """A handle with one leading @, from a URL or a bare name."""
-    name = F.regexp_extract(F.trim(value), r"(?:.*/)?@?([^/@?#]+)", 1)
+    name = F.coalesce(F.nullif(F.regexp_extract(value, r"@([^/@?#\s]+)", 1), F.lit("")), F.regexp_extract(F.trim(value), r"(?:.*/)?([^/@?#]+)", 1))
     return F.when(name != "", F.concat(F.lit("@"), name))
 
 
-def slug(title: Column, longest: int = 60) -> Column:
-    """Lower case, Cyrillic in Latin letters, other runs as ``_``, at most ``longest`` characters."""
-    t = F.lower(title)
+#: Words that tell what a sharp sign means, and the fallback name.
+MUSIC, CODE = r"(?iu)music|song|guitar|piano|chord|музык|песн|гитар|аккорд", r"(?iu)code|programming|\.net|developer|программ|разработ"
+UNNAMED = "unnamed_playlist"
+
+
+def spelled_out(title: Column, context: Column | None = None) -> Column:
+    """C#, F# and C++ standing alone are written out, unless title and context speak more of music than of code."""
+    about = title if context is None else F.concat_ws(" ", title, context)
+    music, code = F.regexp_count(about, F.lit(MUSIC)), F.regexp_count(about, F.lit(CODE))
+    named = F.regexp_replace(F.regexp_replace(title, r"(?i)(?<![\p{L}\p{N}_])([CF])#(?![\p{L}\p{N}_#])", "$1_sharp"), r"(?i)(?<![\p{L}\p{N}_])(C)\+\+(?![\p{L}\p{N}_+])", "$1pp")
+    return F.when((music > 0) & (code < music), title).otherwise(named)
+
+
+def slug(title: Column, longest: int = 60, context: Column | None = None) -> Column:
+    """Lower case, Cyrillic in Latin letters, letters of other scripts kept, other runs as ``_``, at most ``longest`` characters."""
+    t = F.lower(spelled_out(title, context))
     for a, b in CYRILLIC_MANY.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.translate(t, *CYRILLIC_ONE)
-    t = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.regexp_replace(F.substring(t, 1, longest), "_+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+    t = F.regexp_replace(F.substring(t, 1, longest), "_+$", "")
+    return F.when(t == "", UNNAMED).otherwise(t)
 
 
 def safe_name(name: Column, longest: int = 120) -> Column:
@@ -153,13 +167,55 @@ def cost_usd(seconds: Column, per_minute: Column, passes: Column) -> Column:
 
 
 def cost_text(usd: Column) -> Column:
-    return F.coalesce(F.format_string("$%.2f", usd), F.lit("$?"))
+    return F.when(usd.isNull(), "$?").otherwise(F.format_string("$%.2f", usd))
+
+
+POLISH = ("ąćęłńóśźż", "acelnoszz")
 
 
 def anchor(title: Column, any_script: bool = False) -> Column:
-    """A Markdown anchor; with ``any_script`` letters beyond ASCII stay."""
-    kept = r"[^\p{L}\p{N}_\s-]" if any_script else r"[^a-z0-9\s-]"
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(title), kept, "")), r"\s+", "-")
+    """A Markdown anchor: marks and spaces become hyphens, Polish letters lose their marks; with ``any_script`` letters beyond ASCII stay."""
+    t = F.translate(F.lower(title), *POLISH)
+    return F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_]+" if any_script else "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def same_title(a: Column, b: Column, least: int = 20) -> Column:
+    """Titles alike but for marks, or one beginning with the first ``least`` characters of the other."""
+    x, y = (F.regexp_replace(F.translate(F.lower(c), "łó", "lo"), "[^a-z0-9]+", "") for c in (a, b))
+    return (x != "") & (y != "") & ((x == y) | x.startswith(F.left(y, F.lit(least))) | y.startswith(F.left(x, F.lit(least))))
+
+
+#: Abbreviations after which a sentence goes on.
+ABBREVIATIONS = "np itd itp tzw tj ok r w ul dr prof mgr godz str nr cd m in por gen płk św ww jw".split()
+
+
+def sentences_by_capital(text: Column, abbreviations: list[str] | None = None) -> Column:
+    """Sentences that end before a capital, quote or bracket; with ``abbreviations`` not after one of these or a lone letter."""
+    marked = F.regexp_replace(text, r"([.!?…]+[\"»)\]]*)\s+(?=[\"«(\[–—A-ZА-ЯЁ])", "$1\u0001")
+    pieces = F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    if abbreviations is None:
+        return F.filter(pieces, lambda x: x != "")
+
+    def glue(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        word = F.lower(F.regexp_extract(F.regexp_replace(last, r"[.!?…]+[\"»)\]]*$", ""), r"([^\s(«„\"]*)$", 1))
+        goes_on = last.isNotNull() & (word.isin(abbreviations) | (F.length(word) <= 1))
+        joined = F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.concat_ws(" ", last, x))
+        return F.when(goes_on, joined).otherwise(F.array_append(done, x))
+
+    return F.aggregate(F.filter(pieces, lambda x: x != ""), F.array().cast("array<string>"), glue)
+
+
+def respelled(text: Column, spelling: dict[str, str]) -> Column:
+    """Words of a dictionary respelled, capitals kept."""
+    known = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
+
+    def one(w: Column) -> Column:
+        new = F.try_element_at(known, F.lower(w))
+        first = F.left(w, F.lit(1))
+        return F.when(new.isNull(), w).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).when(first == F.upper(first), F.concat(F.upper(F.left(new, F.lit(1))), F.substring(new, 2, 1 << 20))).otherwise(new)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0)), one), "")
 
 
 def count_text(text: Column) -> Column:
@@ -195,23 +251,37 @@ def option_name(*parts: Column) -> Column:
 
 
 def excel_alias(position: Column) -> Column:
-    """``#A`` … ``#Z``, ``#AA`` … for positions from 0, up to four letters."""
-    letter = lambda n: F.char(65 + n)
-    n, out = position, F.lit("")
-    for _ in range(4):
-        out = F.when(n >= 0, F.concat(letter(F.pmod(n, F.lit(26))), out)).otherwise(out)
-        n = F.when(n >= 0, F.floor(n / 26) - 1).otherwise(n)
-    return F.concat(F.lit("#"), out)
+    """``#A`` … ``#Z``, ``#AA`` … for positions from 0, as many letters as a 64-bit number takes."""
+
+    def step(s, _):
+        more = s["n"] >= 0
+        return F.struct(F.when(more, F.floor(s["n"] / 26) - 1).otherwise(s["n"]).cast("long").alias("n"), F.when(more, F.concat(F.char(65 + F.pmod(s["n"], F.lit(26))), s["out"])).otherwise(s["out"]).alias("out"))
+
+    start = F.struct(position.cast("long").alias("n"), F.lit("").alias("out"))
+    return F.concat(F.lit("#"), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["out"]))
 
 
 def links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+$", ""))
 
 
-def is_stream(title: Column) -> Column:
-    return title.rlike(r"(?iu)\b(stream|live)\b|стрим|эфир")
+def is_stream(title: Column, seconds: Column | None = None) -> Column:
+    """By its title; or by a length of an hour with one of the fixed names, or of two with a numbered day."""
+    hinted = title.rlike(r"(?iu)\b(stream|live)\b|стрим|эфир")
+    if seconds is None:
+        return hinted
+    guest = title.rlike("(?iu)в гостях|Плющев и Наки|Плющева и Наки|Плющева с Наки")
+    return hinted | F.coalesce((seconds >= 3600) & guest, F.lit(False)) | F.coalesce((seconds >= 7200) & numbered_day(title).isNotNull(), F.lit(False))
 
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def refresh_action(cached: Column, token: Column, same_head: Column, fresh: Column, same_list: Column, new: Column, most_new: int) -> Column:
+    """What a refresh does: full (nothing cached), extend (a scan was cut off), reuse (same head, fresh), touch (same head and list),
+    emergency (the list shrank, differs behind the head, or its new head is too long to match), unchanged (too few live rows) or prepend."""
+    stale = F.when(same_list, "touch").otherwise("emergency")
+    head = F.when(new < 0, "unchanged").when(new > most_new, "emergency").otherwise("prepend")
+    return F.when(cached == 0, "full").when(token, "extend").when(same_head & fresh, "reuse").when(same_head, stale).otherwise(head)

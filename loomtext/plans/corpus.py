@@ -49,15 +49,15 @@ def distinctive_words(t):
 def short_documents(t):
     docs = t.documents.select("doc_id", "lang", F.length("text").alias("n")).where("n >= 40")
     medians = docs.groupBy("lang").agg(F.median("n").alias("m"))
-    return docs.join(F.broadcast(medians), "lang").where(F.col("n") < 0.7 * F.col("m")).select("doc_id", F.round(F.col("n") / F.col("m"), 4).alias("ratio"))
+    return docs.join(medians, "lang").where(F.col("n") < 0.7 * F.col("m")).select("doc_id", F.round(F.col("n") / F.col("m"), 4).alias("ratio"))
 
 
 @query(r"""with n as (select doc_id, source, text, lead(text) over (partition by source order by doc_id) as nxt from documents)
 select doc_id from n where not regexp_matches(text, '[.!?…][\x20\x09-\x0D]*$') and regexp_matches(nxt, '^\p{Lu}')""")
 def continuity_breaks(t):
-    follows = t.documents.select("doc_id", "source", F.right("text", F.lit(40)).alias("tail"), F.substring("text", 1, 1).alias("head"))
+    follows = t.documents.select("doc_id", "source", F.col("text").rlike(r"[.!?…][\x20\x09-\x0D]*$").alias("ended"), F.substring("text", 1, 1).alias("head"))
     follows = follows.withColumn("nxt", F.lead("head").over(Window.partitionBy("source").orderBy("doc_id")))
-    return follows.where(~F.col("tail").rlike(r"[.!?…][\x20\x09-\x0D]*$") & F.col("nxt").rlike(r"^\p{Lu}")).select("doc_id")
+    return follows.where(~F.col("ended") & F.col("nxt").rlike(r"^\p{Lu}")).select("doc_id")
 
 
 @query(r"""select lang, round(sum(len(regexp_extract_all(text, '[—–-]'))) * 1000.0 / sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 4) as dashes, round(sum(len(regexp_extract_all(text, ','))) * 1000.0 / sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 4) as commas,
@@ -87,10 +87,10 @@ def unknown_words(t):
     return words.join(known, "word", "left_anti").groupBy("lang").agg(F.count("*").alias("unknown"))
 
 
-@query(rf"""with terms as (select distinct unnest({LETTER}) as term from benchmark where item_id < 5), {WORDS}, d as (select word, count(*) as n from w group by 1)
+@query(rf"""with terms as (select distinct unnest({LETTER}) as term from benchmark), {WORDS}, d as (select word, count(*) as n from w group by 1)
 select word, n from d where exists (select 1 from terms where word = term or (length(term) >= 4 and starts_with(word, term)))""")
 def glossary_prefix_hits(t):
-    terms = t.benchmark.where("item_id < 5").select(F.explode(c.letter_words(F.col("text"))).alias("term")).distinct()
+    terms = t.benchmark.select(F.explode(c.letter_words(F.col("text"))).alias("term")).distinct()
     counts = letter_words(t).groupBy("word").agg(F.count("*").alias("n"))
     # A word's own prefixes meet the terms by equality: no pair of a word and a term is tried in vain.
     heads = counts.select("word", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(F.col("word"), F.lit(1), i)))).alias("term"))
@@ -184,52 +184,11 @@ def units(text):
     return [(s, k == 0) for line in text.split("\n") for k, s in enumerate(folds.SPLIT.split(line.strip())) if s]
 
 
-@query()
-def pack_requests(t):
-    """Requests of each document: their number and the characters they hold."""
-
-    def pack(text):
-        us = units(text)
-        sizes: dict[int, int] = {}
-        for (s, _), n in zip(us, folds.requests(us, 2000)):
-            sizes[n] = sizes.get(n, 0) + len(s) + 1
-        return list(sizes.items())
-
-    return per_text(t.documents, pack, "request long, chars long")
-
-
-@query()
-def portion_cut(t):
-    def cut(text):
-        sections = [us for us in (units(line) for line in text.split("\n")) if us]
-        try:
-            return folds.portion(sections, 50.0)
-        except ValueError:
-            return []
-
-    return per_text(t.documents, cut, "section long, units long")
-
-
 @query()
 def split_long(t):
     return per_text(t.documents, lambda text: [(i, k, len(p.split())) for i, line in enumerate(text.split("\n")) if line.strip() for k, p in enumerate(folds.split_long(line, 60))], "line_no long, piece long, words long")
 
 
-@query()
-def pause_paragraphs(t):
-    def cut(text):
-        rows = [(i * 4.0, i * 4.0 + 3.0 + i % 2, s) for i, (s, _) in enumerate(units(text))]
-        pauses = [(b, c0) for (_, b, _), (c0, _, _) in zip(rows, rows[1:]) if c0 > b]
-        return [(i, len(p.split())) for i, p in enumerate(folds.pause_paragraphs(rows, pauses))]
-
-    return per_text(t.documents, cut, "paragraph long, words long")
-
-
-@query()
-def wrap_justify(t):
-    return per_text(t.documents, lambda text: [(n, row) for n, row in enumerate(r for line in text.split("\n") for r in folds.wrapped(line, 80))], "row_no long, row string")
-
-
 @query(f"select l.doc_id, case when d.doc_id is null then 'missing' when l.quality = 0 then 'rules' when d.n_chars < 300 then 'range' when d.n_chars % 5 = 0 then 'lost' else 'valid' end as reason from labels l left join documents d using (doc_id)")
 def cache_validity(t):
     docs = t.documents.select("doc_id", "n_chars")
@@ -277,13 +236,6 @@ def total_vs_distinct(t):
     return counts.join(t.documents.where(F.size(c.letter_words(F.col("text"))) > 0).groupBy("lang").agg(F.count_distinct("source").alias("sources")), "lang")
 
 
-@query(rf"with {LINES}, j as (select doc_id, line_no, case when regexp_matches(lag(line) over (partition by doc_id order by line_no), '[.!?…][\x20\x09-\x0D]*$') or line_no = 0 then 1 else 0 end as new from lines) select doc_id, sum(new)::bigint as paragraphs from j group by 1")
-def page_break_join(t):
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    new = F.when(F.lag("line").over(w).rlike(r"[.!?…][\x20\x09-\x0D]*$") | (F.col("line_no") == 0), 1).otherwise(0)
-    return f.lines(t.documents).withColumn("new", new).groupBy("doc_id").agg(F.sum("new").alias("paragraphs"))
-
-
 @query(rf"with {LINES}, n as (select doc_id, line_no, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) over (partition by doc_id order by line_no) as used from lines) select doc_id, min(line_no) as paragraph from n where used >= 100 group by 1")
 def offset_to_paragraph(t):
     sizes = F.transform(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
@@ -296,7 +248,7 @@ def offset_to_paragraph(t):
 def proportional_truncation(t):
     sized = t.documents.select("doc_id", "source", F.length("text").alias("n"))
     totals = sized.groupBy("source").agg(F.sum("n").alias("total"))
-    run = sized.withColumn("run", F.sum("n").over(Window.partitionBy("source").orderBy("doc_id"))).join(F.broadcast(totals), "source")
+    run = sized.withColumn("run", F.sum("n").over(Window.partitionBy("source").orderBy("doc_id"))).join(totals, "source")
     return run.where("run <= total div 2 or run = n").groupBy("source").agg(F.count("*").alias("kept"), F.sum("n").alias("chars"))
 
 
@@ -305,18 +257,9 @@ def preference_pick(t):
     return t.labels.groupBy("quality").agg(F.min_by(F.struct("doc_id", "toxic"), F.struct("toxic", "doc_id")).alias("m")).select("quality", "m.doc_id", "m.toxic")
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(replace(text, chr(173), ''), '[\x20\x09-\x0D]+', ' ', 'g'), '(\p{L})- (\p{Ll})', '\1\2', 'g'))[1:60] as head from documents")
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(replace(text, chr(173), ''), '[\x20\x09-\x0D]+', ' ', 'g'), '(\p{L})- (\p{Ll})', '\1\2', 'g')) as cleaned from documents")
 def clean_text(t):
-    return t.documents.select("doc_id", F.substring(c.clean_paragraph(F.col("text")), 1, 60).alias("head"))
-
-
-#: A fixed small dictionary of respellings.
-SPELLING = {"the": "ye", "und": "vnd", "que": "qve"}
-
-
-@query()
-def respell(t):
-    return per_text(t.documents, lambda text: [(folds.respelled(text, SPELLING),)], "respelled string")
+    return t.documents.select("doc_id", c.clean_paragraph(F.col("text")).alias("cleaned"))
 
 
 @query()
@@ -341,12 +284,3 @@ def anchor_search(t):
         found = per_text(t.documents, search, "item_id long, head string")
         out = found if out is None else out.unionByName(found)
     return out
-
-
-@query()
-def budgeted_terms(t):
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "terms": [", ".join(folds.budgeted_terms(x.split())) for x in b["text"]]})
-
-    return t.benchmark.select("item_id", "text").mapInPandas(run, "item_id long, terms string")

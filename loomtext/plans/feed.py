@@ -102,9 +102,9 @@ def unknown_bucket(t):
     return t.orders.join(known, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.coalesce("c_mktsegment", F.lit("(none)")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""select n_nationkey, '#' || case when n_nationkey * 30 >= 26 then chr((65 + n_nationkey * 30 // 26 - 1)::int) else '' end || chr((65 + n_nationkey * 30 % 26)::int) as alias from nation where n_nationkey * 30 < 702""")
+@query("""select n_nationkey, '#' || case when n >= 702 then chr((65 + (n - 702) // 676)::int) else '' end || case when n >= 26 then chr((65 + (n // 26 - 1) % 26)::int) else '' end || chr((65 + n % 26)::int) as alias from (select n_nationkey, n_nationkey * 300 as n from nation)""")
 def alias_letters(t):
-    return t.nation.where("n_nationkey * 30 < 702").select("n_nationkey", c.excel_alias(F.col("n_nationkey") * 30).alias("alias"))
+    return t.nation.select("n_nationkey", c.excel_alias(F.col("n_nationkey") * 300).alias("alias"))
 
 
 @query("""with m as (select p_partkey, p_name, case when p_name = q then 1 when starts_with(p_name, q) then 2 end as tier, q from part, (select min(p_name)[1:5] as q from part)),
@@ -115,16 +115,17 @@ def title_match_tiers(t):
     met = t.part.join(F.broadcast(q)).withColumn("tier", tier).where("tier is not null")
     found = met.join(F.broadcast(met.agg(F.min("tier").alias("best"), F.count("*").alias("n"))))
     counts = met.groupBy("tier").agg(F.count("*").alias("same"))
-    return found.where("tier = best").join(F.broadcast(counts), "tier").select("p_partkey", "tier", (F.col("same") == 1).alias("is_unique"))
+    return found.where("tier = best").join(counts, "tier").select("p_partkey", "tier", (F.col("same") == 1).alias("is_unique"))
 
 
-@query("""select l_orderkey, l_linenumber, l_orderkey % 2 as a, b.part as b from (select * from lineitem where l_linenumber <= 2) l
-full outer join (select l_orderkey as k, l_linenumber as n, l_partkey as part from lineitem where l_linenumber <= 2) b on l.l_orderkey = b.k and l.l_linenumber = b.n where b.k is null or l.l_orderkey is null or l.l_partkey <> b.part""")
+@query("""with q as (select conv_id, turn + 1 as slot from conversations where role = 'user'), a as (select conv_id, turn as slot from conversations where role = 'assistant')
+select coalesce(q.conv_id, a.conv_id) as conv_id, coalesce(q.slot, a.slot) as slot, case when a.slot is null then 'no answer' else 'no request' end as problem from q full outer join a on q.conv_id = a.conv_id and q.slot = a.slot where q.slot is null or a.slot is null""")
 def slot_bijection(t):
-    slots = t.lineitem.where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
-    answers = slots.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b"))
-    met = slots.join(answers, ["l_orderkey", "l_linenumber"], "full_outer").where("b is null or l_partkey is null or l_partkey <> b")
-    return met.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 2).alias("a"), "b")
+    """Requests and answers must meet one to one: the slots where a side is missing."""
+    asked = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("slot"), F.lit(True).alias("asked"))
+    given = t.conversations.where("role = 'assistant'").select("conv_id", F.col("turn").alias("slot"), F.lit(True).alias("given"))
+    met = asked.join(given, ["conv_id", "slot"], "full_outer").where("asked is null or given is null")
+    return met.select("conv_id", "slot", F.when(F.col("given").isNull(), "no answer").otherwise("no request").alias("problem"))
 
 
 @query("""select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag in ('N', 'R') group by 1 having count(distinct l_returnflag) = 2)""")
@@ -148,7 +149,7 @@ from orders join customer on o_custkey = c_custkey""")
 def entry_projection(t):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     dropped = rows.groupBy("c_mktsegment").agg(F.count_if(F.col("o_totalprice") < 1000).alias("excluded"))
-    return rows.join(F.broadcast(dropped), "c_mktsegment").select("o_orderkey", F.concat(c.display_title(F.col("o_orderpriority"), F.col("c_name")), F.lit(" : "), "o_orderstatus").alias("title"), "excluded")
+    return rows.join(dropped, "c_mktsegment").select("o_orderkey", F.concat(c.display_title(F.col("o_orderpriority"), F.col("c_name")), F.lit(" : "), "o_orderstatus").alias("title"), "excluded")
 
 
 @query("""select l_orderkey, coalesce(max(p_type) filter (where l_linenumber = 1), 'content') as role, coalesce(max(l_linenumber) filter (where l_linenumber > 5), 0) as reveals from orders
@@ -180,14 +181,19 @@ def sample_majority(t):
     return counts.groupBy("l_suppkey").agg(F.max_by("l_returnflag", F.struct("n", -F.col("first"))).alias("l_returnflag"))
 
 
-@query("""with c as (select o_custkey, count(*) as now, count(*) filter (where o_orderdate < timestamp '1997-06-01') as old, max(o_orderdate) as newest, max(o_orderdate) filter (where o_orderdate < timestamp '1997-06-01') as was from orders group by 1)
-select o_custkey, case when old = 0 then 'full' when now > old then 'prepend' when was < timestamp '1996-06-01' then 'touch' else 'reuse' end as state from c""")
+@query("""with c as (select o_custkey, count(*) as now, count(*) filter (where o_orderdate < timestamp '1997-06-01' and o_orderkey % 11 <> 0) as old, max(o_orderdate) filter (where o_orderdate < timestamp '1997-06-01') as was, max(o_orderkey % 13) = 12 as token,
+max_by(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as head, max_by(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) filter (where o_orderdate < timestamp '1997-06-01' and o_orderkey % 11 <> 0) as known from orders group by 1)
+select o_custkey, case when old = 0 then 'full' when token then 'extend' when head = known and was >= timestamp '1996-06-01' then 'reuse' when head = known and now < old + 1 then 'touch' when head = known then 'emergency' when now < old then 'unchanged' when now - old > 5 then 'emergency' else 'prepend' end as state from c""")
 def refresh_state(t):
-    cut = lambda d: F.lit(d).cast("timestamp_ntz")
-    old = F.col("o_orderdate") < cut("1997-06-01")
-    seen = t.orders.groupBy("o_custkey").agg(F.count("*").alias("now"), F.count_if(old).alias("old"), F.max(F.when(old, F.col("o_orderdate"))).alias("was"))
-    state = F.when(F.col("old") == 0, "full").when(F.col("now") > F.col("old"), "prepend").when(F.col("was") < cut("1996-06-01"), "touch").otherwise("reuse")
-    return seen.select("o_custkey", state.alias("state"))
+    """What to do with each customer's cached list: its rows before a day, but for some that are lost, against the live one."""
+    before = F.col("o_orderdate") < F.lit("1997-06-01").cast("timestamp_ntz")
+    cached = before & (F.col("o_orderkey") % 11 != 0)
+    head = F.struct("o_orderdate", "o_orderkey")
+    seen = t.orders.groupBy("o_custkey").agg(
+        F.count("*").alias("now"), F.count_if(cached).alias("old"), F.max(F.when(before, F.col("o_orderdate"))).alias("was"), (F.max(F.col("o_orderkey") % 13) == 12).alias("token"),
+        F.max(head).alias("head"), F.max(F.when(cached, head)).alias("known"),
+    )
+    return seen.select("o_custkey", c.refresh_action(F.col("old"), F.col("token"), F.col("head") == F.col("known"), F.col("was") >= F.lit("1996-06-01").cast("timestamp_ntz"), F.col("now") == F.col("old"), F.col("now") - F.col("old"), 5).alias("state"))
 
 
 @query(f"""with {FEED}, b as (select o_orderkey as old_key, row_number() over (order by o_orderdate desc, o_orderkey desc) - 1 as p from orders where o_orderkey % 100 <> 0)

@@ -10,10 +10,10 @@ from loomtext.operators import frames as f
 from loomtext.plans.registry import query
 
 
-@query("""with s as (select p_partkey, rtrim(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_')[1:12], '_') as slug from part),
+@query(r"""with s as (select p_partkey, rtrim(trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '_', 'g'), '_')[1:60], '_') as slug from part),
 r as (select *, row_number() over (partition by slug order by p_partkey) as k from s) select p_partkey, slug || case when k > 1 then '_' || k else '' end as folder from r""")
 def slug_names(t):
-    slugs = t.part.select("p_partkey", c.slug(F.col("p_name"), 12).alias("slug"))
+    slugs = t.part.select("p_partkey", c.slug(F.col("p_name")).alias("slug"))
     k = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))
     return slugs.withColumn("k", k).select("p_partkey", F.when(F.col("k") > 1, F.concat_ws("_", "slug", "k")).otherwise(F.col("slug")).alias("folder"))
 
@@ -26,8 +26,7 @@ def zero_pad_names(t):
 
 @query("select p_brand, bool_and(p_name = lower(p_name)) as generated, count(*) as n from part group by 1")
 def all_generated_titles(t):
-    titles = t.part.groupBy("p_brand").agg(F.collect_list("p_name").alias("titles"), F.count("*").alias("n"))
-    return titles.select("p_brand", F.forall("titles", lambda x: x == F.lower(x)).alias("generated"), "n")
+    return t.part.groupBy("p_brand").agg(F.bool_and(F.col("p_name") == F.lower("p_name")).alias("generated"), F.count("*").alias("n"))
 
 
 @query("select p_brand, count(*) >= 2 and avg(regexp_matches(p_size || '. ' || p_name, '^[0-9]{2}[.] ')::int) >= 0.5 as course from part group by 1")
@@ -59,9 +58,9 @@ def column_widths(t):
     return t.part.agg(width(F.col("p_partkey").cast("string")).alias("key_width"), width("p_name").alias("name_width"), width(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))).alias("brand_width"))
 
 
-@query("with l as (select unnest(range(1, 26)) as n), p as (select n, count(distinct n_name[1:n]) as d, count(distinct n_name) as all_names from nation, l group by 1) select min(n)::bigint as length from p where d = all_names")
+@query("with l as (select unnest(range(1, (select max(length(n_name)) + 1 from nation))) as n), p as (select n, count(distinct n_name[1:n]) as d, count(distinct n_name) as all_names from nation, l group by 1) select min(n)::bigint as length from p where d = all_names")
 def shortest_unique_prefix(t):
-    cut = t.nation.select("n_name", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("n")).withColumn("head", F.substr("n_name", F.lit(1), F.col("n")))
+    cut = t.nation.join(F.broadcast(t.nation.agg(F.max(F.length("n_name")).alias("_longest")))).select("n_name", F.explode(F.sequence(F.lit(1), F.col("_longest"))).alias("n")).withColumn("head", F.substr("n_name", F.lit(1), F.col("n")))
     return cut.groupBy("n").agg(F.count_distinct("head").alias("d"), F.count_distinct("n_name").alias("all_names")).where("d = all_names").agg(F.min("n").cast("long").alias("length"))
 
 

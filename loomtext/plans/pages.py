@@ -47,23 +47,24 @@ def label_bullets(t):
 
 
 @query(r"""with p as (select page_id, string_split(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '[?#].*$', ''), '/') as parts from pages), s as (select page_id, array_to_string(parts[i:], '/') as suffix from (select page_id, parts, unnest(range(1, len(parts) + 1)) as i from p)),
-k as (select distinct suffix from s where page_id % 7 = 0), m as (select s.page_id, s.suffix, row_number() over (partition by s.page_id order by length(s.suffix) desc) as r from s join k on s.suffix = k.suffix) select page_id, suffix from m where r = 1""")
+k as (select suffix from s group by 1 having count(distinct page_id) > 1), m as (select s.page_id, s.suffix, row_number() over (partition by s.page_id order by length(s.suffix) desc) as r from s join k on s.suffix = k.suffix) select page_id, suffix from m where r = 1""")
 def longest_suffix_match(t):
     path = F.split(F.regexp_replace(F.regexp_replace(F.lower("url"), "^https?://", ""), "[?#].*$", ""), "/")
     parts = t.pages.select("page_id", path.alias("parts"))
     s = parts.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("suffix"))
-    known = s.where("page_id % 7 = 0").select("suffix").distinct()
+    known = s.groupBy("suffix").agg(F.min("page_id").alias("a"), F.max("page_id").alias("z")).where("a < z").select("suffix")  # on another page too
     return s.join(known, "suffix", "left_semi").groupBy("page_id").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
 
 
-@query(r"""select page_id, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9\x20\x09-\x0D-]', '', 'g'), ' '), '[\x20\x09-\x0D]+', '-', 'g') as anchor, case regexp_extract(html, 'lang="([a-z]+)"', 1) when 'en' then 'Contents' when 'fr' then 'Sommaire' when 'de' then 'Inhalt' when 'es' then 'Índice' else 'Contents' end as heading from (select *, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)""")
+@query(r"""select page_id, regexp_replace(regexp_replace(translate(lower(title), 'ąćęłńóśźż', 'acelnoszz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as anchor, regexp_replace(regexp_replace(translate(lower(title), 'ąćęłńóśźż', 'acelnoszz'), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') as any_anchor, case regexp_extract(html, 'lang="([a-z]+)"', 1) when 'en' then 'Contents' when 'fr' then 'Sommaire' when 'de' then 'Inhalt' when 'es' then 'Índice' else 'Contents' end as heading from (select *, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)""")
 def anchors_and_headings(t):
     names = F.create_map(*map(F.lit, ("en", "Contents", "fr", "Sommaire", "de", "Inhalt", "es", "Índice")))
     heading = F.coalesce(F.try_element_at(names, F.regexp_extract("html", 'lang="([a-z]+)"', 1)), F.lit("Contents"))
-    return t.pages.select("page_id", c.anchor(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("anchor"), heading.alias("heading"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return t.pages.select("page_id", c.anchor(title).alias("anchor"), c.anchor(title, any_script=True).alias("any_anchor"), heading.alias("heading"))
 
 
-@query(r"""select page_id, try_cast(regexp_replace(regexp_extract(url, '[0-9]+', 0), '[^0-9]', '', 'g') as bigint) as number, case when length(html) < 1024 then length(html) || ' B' else printf('%.1f KB', length(html) / 1024.0) end as size, try_cast(regexp_extract(url, 'page=([a-z0-9]+)', 1) as double) as page from pages where length(html) < 1000000""")
+@query(r"""select page_id, try_cast(regexp_replace(regexp_extract(url, '[0-9]+', 0), '[^0-9]', '', 'g') as bigint) as number, case when length(html) < 1024 then length(html) || ' B' when length(html) < 1048576 then printf('%.1f KB', length(html) / 1024.0) when length(html) < 1073741824 then printf('%.1f MB', length(html) / 1048576.0) else printf('%.1f GB', length(html) / 1073741824.0) end as size, try_cast(regexp_extract(url, 'page=([a-z0-9]+)', 1) as double) as page from pages""")
 def count_and_size_text(t):
     return t.pages.select("page_id", c.count_text(F.regexp_extract("url", "[0-9]+", 0)).alias("number"), c.human_size(F.length("html").cast("double")).alias("size"), F.regexp_extract("url", "page=([a-z0-9]+)", 1).try_cast("double").alias("page"))
 

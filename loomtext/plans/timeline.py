@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
-from loomtext.operators import folds
 from loomtext.operators import frames as f
 from loomtext.plans.registry import query
 
@@ -79,12 +78,6 @@ def band_percentiles(t):
     return t.events.groupBy("event_type").agg(p(0.05, "p5"), p(0.5, "p50"), p(0.95, "p95"))
 
 
-@query()
-def state_changes(t):
-    fold = lambda g: g.assign(accepted=folds.accepted_changes(g["value"].tolist(), 0.5))[["event_id", "user_id", "accepted"]]
-    return folds.fold_by_key(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], fold, "event_id long, user_id long, accepted boolean")
-
-
 @query("select event_id, coalesce(v < 10, false) or coalesce(n > 95, false) as flagged from (select event_id, nullif(value, round(value)) as v, nullif(value, 96) as n from events)")
 def low_confidence(t):
     v = F.nullif(F.col("value"), F.round("value"))
@@ -126,17 +119,6 @@ def longest_run(t):
     return f.longest_run(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], F.col("value") > 50)
 
 
-@query()
-def boundary_refine(t):
-    def fold(g):
-        rows = [(float(i * 5), float(i * 5 + 4), f"text {i}" + ("." if v > 50 else "")) for i, v in enumerate(g["value"])]
-        bounds = [(float(a), float(min(a + 60, len(rows) * 5))) for a in range(0, max(1, len(rows) * 5), 60)]
-        out = folds.refined_boundaries(bounds, rows)
-        return g.iloc[: len(out)].assign(start=[x[0] for x in out], end=[x[1] for x in out], moved=[x[2] for x in out])[["user_id", "start", "end", "moved"]]
-
-    return folds.fold_by_key(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], fold, "user_id long, start double, end double, moved boolean")
-
-
 @query("""with m as (select event_id, (round_even(value * 1000, 0))::bigint as ms from events)
 select event_id, lpad((ms // 3600000)::varchar, 2, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || ',' || lpad((ms % 1000)::varchar, 3, '0') as stamp from m""")
 def timestamp_text(t):
@@ -168,12 +150,6 @@ def adjacent_similarity(t):
     return t.embeddings.withColumn("p", before).where("p is not null").select("vec_id", F.round(c.cosine(F.col("embedding"), F.col("p")), 4).alias("similarity"))
 
 
-@query()
-def merge_similar(t):
-    fold = lambda g: g.assign(grp=folds.merged_runs([list(map(float, v)) for v in g["embedding"]], 0.9))[["vec_id", "label", "grp"]]
-    return folds.fold_by_key(t.embeddings, "label", ["vec_id"], fold, "vec_id long, label int, grp long")
-
-
 @query("""with v as (select vec_id, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as p from embeddings)
 select vec_id, len(list_filter(range(1, len(e) + 1), lambda i: e[i] > 0.1 and p[i] <= 0.1)) as grown, len(list_filter(range(1, len(e) + 1), lambda i: e[i] > 0.1 and p[i] > 0.1)) as kept from v where p is not null""")
 def vector_growth(t):

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions.columns import anchor, excel_alias, zero_padded
-from loomtext.operators import folds
+from loomtext.operators import passes
 
 #: Fixed value: width of wrapped transcripts.
 WIDTH = 80
@@ -47,12 +46,7 @@ def map_document(pairs: DataFrame, group: str, key: str, value: str) -> DataFram
 
 def transcript_text(paragraphs: DataFrame, width: int = WIDTH) -> DataFrame:
     """stem and text: paragraphs (stem, ord, text) wrapped to a width, an empty line between them."""
-
-    @F.pandas_udf("string")
-    def wrap(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else "\n".join(folds.wrapped(t, width, justified=False)))
-
-    return paragraphs.withColumn("_w", wrap(F.col("text"))).groupBy("stem").agg(F.array_join(in_order(["ord"], "_w"), "\n\n").alias("text"))
+    return paragraphs.withColumn("_w", F.array_join(passes.wrapped(F.col("text"), width), "\n")).groupBy("stem").agg(F.array_join(in_order(["ord"], "_w"), "\n\n").alias("text"))
 
 
 def marked_text(blocks: DataFrame) -> DataFrame:

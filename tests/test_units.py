@@ -26,27 +26,19 @@ def test_scalars(spark):
     assert [v(c.excel_alias(lit(n))) for n in (0, 25, 26)] == ["#A", "#Z", "#AA"]
     assert v(c.vision_tokens(lit(1920), lit(1080))) == 1105
     assert abs(v(c.cost_usd(lit(600), lit(0.006), lit(2))) - 0.12) < 1e-9
-    assert v(c.slug(lit("Привет, C# мир"))) == "privet_c_mir"
+    assert v(c.slug(lit("Привет, C# мир"))) == "privet_c_sharp_mir"
     assert v(c.video_id(lit("https://youtu.be/abcdefghijk"))) == "abcdefghijk"
 
 
 def test_folds():
-    assert [folds.wanted_pause(n) for n in (44, 45, 130)] == [float("inf"), 0.8, 0.0]
-    rows = [(0.0, 1.0, "a"), (1.1, 2.0, "b"), (4.0, 5.0, "c")]
-    assert folds.paragraphs(rows) == ["a b", "c"]
-    assert folds.requests([("x" * 8000, True), ("y" * 8000, False), ("z", True)]) == [0, 0, 1]
     pieces = folds.split_long("One two three. Four five six. Seven eight.", 4)
     assert " ".join(pieces) == "One two three. Four five six. Seven eight." and len(pieces) == 3
     assert folds.dropped("a b c d e f g", "a g") == [("b c d e f", 1)]
-    assert folds.respelled("The THE the", {"the": "ye"}) == "Ye YE ye"
-    assert folds.wrapped("aa bb cc dd", 6) == ["aa  bb", "cc dd"]
-    assert folds.merged_runs([[1, 0], [1, 0.01], [0, 1]], 0.9) == [1, 1, 2]
     assert folds.anchors(["alpha beta", "gamma delta", "common beta", "extraordinary"], [(0, "no"), (1, "Alphas betas x"), (2, "gamma only"), (3, "extraordinary!"), (4, "gamma delta")], [(0, "n"), (1, "first one"), (4, "last one")]) == ["", "last one", "", ""]
     assert folds.anchors(["alpha bravo", "extraordinary"], [(0, "alpha"), (1.4, "Alphas and bravo"), (2, "extraordinary!")], [(0, "n"), (1, "a b c d e f g h i"), (3, "z")]) == ["a b c d e f g h", "a b c d e f g h i".rsplit(" ", 1)[0]]
-    assert folds.portion([[("a" * 3000, True)] * 4], 50)[0] == (0, 2)
-    assert folds.portion([[("short", True)]], 10) == [(0, 1)]
-    with pytest.raises(ValueError):
-        folds.portion([[("a" * 90000, True)]] * 2, 10)
+    long = " ".join(f"w{i}" for i in range(12))
+    assert folds.repeated([f"a {long} b", f"c {long} d"], f"x {long} y") == [long]
+    assert folds.repeated([f"a {long} b", f"c {long} d"], f"{long} and {long}") == []
 
 
 def test_readers(spark, tmp_path):
