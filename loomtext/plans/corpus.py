@@ -184,7 +184,12 @@ def units(text):
     return [(s, k == 0) for line in text.split("\n") for k, s in enumerate(folds.SPLIT.split(line.strip())) if s]
 
 
-@query()
+@query(r"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+s as (select doc_id, line_no, list_transform(string_split(regexp_replace(trim(line, E' \t\x0B\f\r'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) as z from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+m as (select doc_id, line_no, 1::bigint as lo, z from s
+union all select doc_id, line_no, case side when 0 then lo else lo + cut end, case side when 0 then z[:cut] else z[cut + 1:] end
+from (select *, list_sort(list_transform(range(1, len(z)), lambda k: [abs(list_sum(z[:k]) - list_sum(z) / 2.0), k]))[1][2]::bigint as cut from m where list_sum(z) > 60 and len(z) > 1), (values (0), (1)) t(side))
+select doc_id, line_no, row_number() over (partition by doc_id, line_no order by lo) - 1 as piece, list_sum(z)::bigint as words from m where list_sum(z) <= 60 or len(z) < 2""")
 def split_long(t):
     return per_text(t.documents, lambda text: [(i, k, len(p.split())) for i, line in enumerate(text.split("\n")) if line.strip() for k, p in enumerate(folds.split_long(line, 60))], "line_no long, piece long, words long")
 

@@ -143,7 +143,12 @@ def state_changes(t):
     return by_key(t.events.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], start, "user_id long, event_id long, change string")
 
 
-@query()
+@query("""with recursive e as (select label, vec_id, embedding::double[] as v, row_number() over (partition by label order by vec_id) as r from embeddings),
+m as (select label, vec_id, r, v as kept, 1::bigint as grp from e where r = 1
+union all select label, vec_id, r, case when near then kept else v end, grp + case when near then 0 else 1 end
+from (select e.label, e.vec_id, e.r, e.v, m.kept, m.grp, coalesce(list_dot_product(e.v, m.kept) / nullif(sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(m.kept, m.kept)), 0) >= 0.9, false) as near
+from m join e on e.label is not distinct from m.label and e.r = m.r + 1))
+select label, vec_id, grp from m""")
 def merge_similar(t):
     """Groups of consecutive vectors of a label that are similar to the first of their group."""
 
