@@ -10,23 +10,73 @@ from pyspark.sql.window import Window
 SMALL_ROWS = 100_000
 
 
-def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str = "pos") -> DataFrame:
-    """Add the global position from 0 (``name``) and the row count (``total``), without one task seeing all rows.
+#: Ids of one block, where rows of a hot key are put in order block by block.
+BLOCK_IDS = 1 << 20
 
-    ``bucket`` must rise with the order: rows are numbered within buckets, and
-    the counts of earlier buckets, one row each, are added.
+
+def id_block(ident: Column) -> Column:
+    """Blocks of consecutive ids; they rise with the id."""
+    return F.floor(ident / BLOCK_IDS)
+
+
+def same_block(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Join by equal columns, nulls among them; the columns of ``df`` and the others of ``small``."""
+    small = small.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
+    equal = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return df.join(small, equal, "left").drop(*[f"_on{i}" for i in range(len(on))])
+
+
+def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str = "pos", keys: tuple = (), inner: Column | None = None) -> DataFrame:
+    """Add the position from 0 (``name``) and the row count (``total``) of each key, of all rows without keys; no task sees all rows of a key.
+
+    ``bucket`` must rise with the order, and ``inner``, if given, within a bucket:
+    rows are numbered within their block, and the counts of earlier blocks, one
+    row each, are added. Rows of a null key or bucket count too, a null bucket first.
+    """
+    cut = df.withColumn("_b", bucket).withColumn("_c", F.lit(0) if inner is None else inner)
+    blocks = cut.groupBy(*keys, "_b", "_c").agg(F.count("*").alias("_n"))
+    buckets = blocks.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    ahead = buckets.withColumn("_ahead", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m")).withColumn("total", F.sum("_m").over(Window.partitionBy(*keys))).drop("_m")
+    within = blocks.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_c")) - F.col("_n")).drop("_n")
+    before = same_block(within, ahead, [*keys, "_b"])
+    ranked = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b", "_c").orderBy(*order)))
+    return same_block(ranked, before, [*keys, "_b", "_c"]).withColumn(name, F.col("_ahead") + F.col("_before") + F.col("_i") - 1).drop("_b", "_c", "_i", "_before", "_ahead")
+
+
+def previous(df: DataFrame, keys: list[str], bucket: Column, order: str, value: str, name: str) -> DataFrame:
+    """Add the ``value`` of the row before in its key (``name``), null at the first; no task sees all rows of a key.
+
+    ``bucket`` must rise with the order: the first row of a block takes the last value of the block before.
+    """
+    cut = df.withColumn("_b", bucket)
+    boxed = F.struct(F.col(value).alias("v"))
+    ends = cut.groupBy(*keys, "_b").agg(F.max_by(boxed, F.struct(order)).alias("_end"))
+    ends = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_ahead"))
+    near = cut.withColumn("_near", F.lag(boxed).over(Window.partitionBy(*keys, "_b").orderBy(order)))
+    return same_block(near, ends, [*keys, "_b"]).withColumn(name, F.coalesce("_near", "_ahead")["v"]).drop("_b", "_near", "_ahead")
+
+
+def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` up to each row and its ties (``name``) and of its whole key (``total``); no task sees all rows of a key.
+
+    ``bucket`` must rise with the order: sums within a block and those of the blocks before, one row each, are added. A null value counts as 0.
     """
     cut = df.withColumn("_b", bucket)
-    sizes = cut.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return cut.withColumn("_i", inner).join(before, "_b").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_b", "_i", "_before")
+    size = F.coalesce(F.col(value), F.lit(0))
+    sums = cut.groupBy(*keys, "_b").agg(F.sum(size).alias("_m"))
+    sums = sums.select(*keys, "_b", (F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m")).alias("_ahead"), F.sum("_m").over(Window.partitionBy(*keys)).alias("total"))
+    inside = cut.withColumn("_in", F.sum(size).over(Window.partitionBy(*keys, "_b").orderBy(order)))
+    return same_block(inside, sums, [*keys, "_b"]).withColumn(name, F.col("_ahead") + F.col("_in")).drop("_b", "_in", "_ahead")
+
+
+def newest_days(orders: DataFrame) -> dict:
+    """The blocks of orders by day, newest first, and within a day by key."""
+    return {"bucket": -F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")), "inner": -id_block(F.col("o_orderkey")), "order": [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]}
 
 
 def newest_first(orders: DataFrame) -> DataFrame:
     """Orders as a feed: ``pos`` from 0, newest first, and ``total``."""
-    days = -F.datediff(F.col("o_orderdate"), F.lit("1970-01-01"))
-    return numbered(orders, F.floor(days / 30), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    return numbered(orders, **newest_days(orders))
 
 
 def display_number(pos: Column, length_curr: Column, length_old: Column) -> Column:

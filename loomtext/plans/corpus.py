@@ -56,7 +56,8 @@ def short_documents(t):
 select doc_id from n where not regexp_matches(text, '[.!?…][\x20\x09-\x0D]*$') and regexp_matches(nxt, '^\p{Lu}')""")
 def continuity_breaks(t):
     follows = t.documents.select("doc_id", "source", F.col("text").rlike(r"[.!?…][\x20\x09-\x0D]*$").alias("ended"), F.substring("text", 1, 1).alias("head"))
-    follows = follows.withColumn("nxt", F.lead("head").over(Window.partitionBy("source").orderBy("doc_id")))
+    # The row after is the row before in falling order.
+    follows = f.previous(follows.withColumn("at", -F.col("doc_id")), ["source"], f.id_block(F.col("at")), "at", "head", "nxt")
     return follows.where(~F.col("ended") & F.col("nxt").rlike(r"^\p{Lu}")).select("doc_id")
 
 
@@ -222,7 +223,7 @@ def announce_hits(t):
 select doc_id, case when old is null or new * 100 > old * 105 then 'BETTER' when new * 100 < old * 95 then 'worse' else '~same' end as verdict from n""")
 def text_compare_verdict(t):
     sized = t.documents.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("new"))
-    sized = sized.withColumn("old", F.lag("new").over(Window.partitionBy("source").orderBy("doc_id")))
+    sized = f.previous(sized, ["source"], f.id_block(F.col("doc_id")), "doc_id", "new", "old")
     verdict = F.when(F.col("old").isNull() | (F.col("new") * 100 > F.col("old") * 105), "BETTER").when(F.col("new") * 100 < F.col("old") * 95, "worse").otherwise("~same")
     return sized.select("doc_id", verdict.alias("verdict"))
 
@@ -252,8 +253,7 @@ def offset_to_paragraph(t):
 @query("with s as (select doc_id, source, length(text) as n, sum(length(text)) over (partition by source) as total, sum(length(text)) over (partition by source order by doc_id) as run from documents) select source, count(*) as kept, sum(n)::bigint as chars from s where run <= total // 2 or run = n group by 1")
 def proportional_truncation(t):
     sized = t.documents.select("doc_id", "source", F.length("text").alias("n"))
-    totals = sized.groupBy("source").agg(F.sum("n").alias("total"))
-    run = sized.withColumn("run", F.sum("n").over(Window.partitionBy("source").orderBy("doc_id"))).join(totals, "source")
+    run = f.running_sum(sized, ["source"], f.id_block(F.col("doc_id")), "doc_id", "n", "run")
     return run.where("run <= total div 2 or run = n").groupBy("source").agg(F.count("*").alias("kept"), F.sum("n").alias("chars"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
 from loomtext.operators import frames as f
@@ -29,8 +28,9 @@ def feed_new_head(t):
 
 @query(f"with {FEED} select o_orderkey, c_mktsegment, row_number() over (partition by c_mktsegment order by pos) as in_group from feed join customer on o_custkey = c_custkey")
 def group_numbering(t):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", F.row_number().over(w).alias("in_group"))
+    """Segments are few and large: each is numbered by days and blocks of keys."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_mktsegment")
+    return f.numbered(rows, **f.newest_days(rows), keys=("c_mktsegment",)).select("o_orderkey", "c_mktsegment", (F.col("pos") + 1).alias("in_group"))
 
 
 @query(f"""with {FEED}

@@ -143,17 +143,20 @@ def props_extract(t):
     return t.events.select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(F.try_variant_get(v, "$.missing", "double"), F.lit(-1.0)).alias("missing"))
 
 
+def with_vector_before(t):
+    """Vectors with ``p``, the one before in the same label, by blocks of ids."""
+    return f.previous(t.embeddings, ["label"], f.id_block(F.col("vec_id")), "vec_id", "embedding", "p")
+
+
 @query("""with v as (select vec_id, label, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as p from embeddings)
 select vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * p[i])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(p, lambda x: x * x)))), 4) as similarity from v where p is not null""")
 def adjacent_similarity(t):
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    return t.embeddings.withColumn("p", before).where("p is not null").select("vec_id", F.round(c.cosine(F.col("embedding"), F.col("p")), 4).alias("similarity"))
+    return with_vector_before(t).where("p is not null").select("vec_id", F.round(c.cosine(F.col("embedding"), F.col("p")), 4).alias("similarity"))
 
 
 @query("""with v as (select vec_id, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as p from embeddings)
 select vec_id, len(list_filter(range(1, len(e) + 1), lambda i: e[i] > 0.1 and p[i] <= 0.1)) as grown, len(list_filter(range(1, len(e) + 1), lambda i: e[i] > 0.1 and p[i] > 0.1)) as kept from v where p is not null""")
 def vector_growth(t):
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = t.embeddings.withColumn("p", before).where("p is not null").select("vec_id", F.arrays_zip("embedding", "p").alias("z"))
+    pairs = with_vector_before(t).where("p is not null").select("vec_id", F.arrays_zip("embedding", "p").alias("z"))
     on = lambda x: x.cast("double") > 0.1
     return pairs.select("vec_id", F.size(F.filter("z", lambda x: on(x["embedding"]) & ~on(x["p"]))).cast("long").alias("grown"), F.size(F.filter("z", lambda x: on(x["embedding"]) & on(x["p"]))).cast("long").alias("kept"))
