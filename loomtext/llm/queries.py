@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, site_quality, store, substring_dedup, toxicity, warc_zip
+from loomtext.llm import divergence, exact_search, fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, site_quality, store, substring_dedup, toxicity, warc_zip, whitening
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -51,5 +51,17 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(store.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_fingerprints, op4_ngram_join, op5_line_dedup, op6_warc_zip, op7_site_quality, op8_mixing, op9_packing, op10_substring_dedup)}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_warc_zip": warc_zip.ORACLE, "op8_mixing": mixing.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(store.read(spark, sf_dir, "documents"))
+
+
+def op12_exact_search(spark, sf_dir):
+    return exact_search.top_k(store.read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(store.read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_fingerprints, op4_ngram_join, op5_line_dedup, op6_warc_zip, op7_site_quality, op8_mixing, op9_packing, op10_substring_dedup, op11_divergence, op12_exact_search, op13_whitening)}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_warc_zip": warc_zip.ORACLE, "op8_mixing": mixing.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op11_divergence": divergence.ORACLE, "op12_exact_search": exact_search.ORACLE}
