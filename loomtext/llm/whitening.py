@@ -32,7 +32,7 @@ COMPONENTS = 32
 #: Rows whose outer products are summed together, and partial matrices that are merged in the first step, about.
 ROWS, MERGED = 256, 256
 #: A component whose share of the largest eigenvalue is below this has no variance.
-LEAST = 2.0**-46
+LEAST = 2.0**-44
 #: Splits a double into two halves of 26 bits each.
 SPLITTER = 2.0**27 + 1
 
