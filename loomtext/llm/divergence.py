@@ -30,8 +30,10 @@ from loomtext.llm import store
 
 #: Documents of a language that a term must be in, ranks of terms, and the smoothing.
 DOCUMENTS, TERMS, ADDED, UNIT = 30, 50, 5, 1_000_000_000
-#: Bytes of text in a chunk (a longer text is a chunk of its own), and stored entries of a block of terms, about.
-CHUNK, ENTRIES = 4 << 20, 500_000
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+#: Stored entries of a block of terms, about; more where a block has more pairs of sources than that, up to the second.
+ENTRIES, MOST_ENTRIES = 20_000, 1_000_000
 #: Documents that Spark hands over at once.
 DOCS = 1_000
 #: Letters, and all bytes outside ASCII, belong to terms; ASCII capitals are lowered.
@@ -267,7 +269,8 @@ def audit(documents: DataFrame) -> DataFrame:
     each = counts(docs)
     kept = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= DOCUMENTS).select("lang", "term")
     kept = store.table(each.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"), "kept")
-    vocabulary = kept.groupBy("lang").agg(F.count_distinct("term").alias("terms"), F.ceil(F.count("*") / ENTRIES).alias("blocks"))
+    sources = F.count_distinct("source")
+    vocabulary = kept.groupBy("lang").agg(F.count_distinct("term").alias("terms"), F.ceil(F.count("*") / F.greatest(F.lit(ENTRIES), F.least(F.lit(MOST_ENTRIES), sources * sources))).alias("blocks"))
     groups = docs.groupBy("lang", "source").agg(F.lit(1).alias("one")).join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(vocabulary, "lang", "left")
     groups = store.table(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "groups")
     full = store.join_small(kept, groups, ["lang", "source"], "inner").withColumn("block", F.pmod(F.xxhash64("term"), "blocks"))
