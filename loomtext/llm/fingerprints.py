@@ -105,8 +105,10 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
 
     A null text is empty. Rows that share a doc_id each give a row; as somebody's
     next document the least of their texts stands for them. A null doc_id has no
-    next document: its next text is empty. Extra columns are ignored; an empty
-    table gives an empty result.
+    next document: its next text is empty. Texts without words have the empty
+    fingerprint, and equal texts equal ones. Very long texts are read whole.
+    Extra columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     n = store.partitions(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

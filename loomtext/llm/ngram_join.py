@@ -275,11 +275,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Columns stay as they are, whatever their names. Equal rows that share a doc_id are one document, so one of them stays.
     """
     chosen = store.table(join(docs).where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct(), "chosen")
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    kept = docs.join(chosen, "doc_id", "left_semi").select(*own)
     ids = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = store.table(ids, "again")
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once).unionByName(docs.where("doc_id is null"))
+    once = kept.join(again, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*own).unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 #: The same in DuckDB's SQL.

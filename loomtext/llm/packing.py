@@ -156,16 +156,18 @@ def tokenizer(path: str) -> Words:
     return _known[path]
 
 
-def in_file_order(docs: DataFrame) -> DataFrame:
-    """Add ``_place``, which numbers the rows of a DataFrame read from Parquet by file name, then by place in the file.
+def in_file_order(docs: DataFrame, name: str = "_place") -> DataFrame:
+    """Add ``name``, which numbers the rows of a DataFrame read from Parquet by file name, then by place in the file.
 
-    What was written range-sorted has that order in its files, but Spark reads large files first.
+    What was written range-sorted has that order in its files, but Spark reads large files first. A column that has the
+    name already is replaced; the others stay as they are, whatever their names.
     """
-    files = store.table(docs.select(F.col("_metadata.file_path").alias("_file")).distinct(), "files")  # a row for each file
-    numbers = store.table(files.withColumn("_part", F.row_number().over(Window.orderBy("_file")) - 1), "numbers")
-    named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    joined = store.join_small(named, numbers, "_file", "inner")
-    return joined.withColumn("_place", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row")).select(*docs.columns, "_place")
+    files = store.table(docs.select(F.col("_metadata.file_path").alias("file")).distinct(), "files")  # a row for each file
+    numbers = store.table(files.withColumn("part", F.row_number().over(Window.orderBy("file")) - 1), "numbers")
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != name]
+    named = docs.select(F.struct(*own).alias("own"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    joined = store.join_small(named, numbers, "file", "inner")
+    return joined.select("own.*", (F.shiftleft(F.col("part").cast("long"), 33) + F.col("row")).alias(name))
 
 
 def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | None = None) -> DataFrame:

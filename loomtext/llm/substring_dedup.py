@@ -11,8 +11,8 @@ instead: every window has one anchor, its least 8-word gram, equal windows have
 equal anchors, and the windows of an anchor form one span. Spans whose anchor
 occurs once cannot repeat. The others meet by anchor, in shards: there each
 distinct span is streamed through the automaton of the earlier ones and then
-added to it. Spans travel and meet as the words themselves, so nothing rests on
-hashes of words. Equal spans are merged before they meet, so a passage that a
+added to it. Spans travel and meet as the words themselves in the automata; equal
+spans are told by a 64-bit hash of their words beside their anchor's. Equal spans are merged before they meet, so a passage that a
 third of all documents share reaches its shard once. A shard that holds more
 than MOST_SPANS distinct spans is split by the next least gram of each window,
 and again, until every shard is small; equal windows have equal grams in every
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtext.llm import repeats, store, text
 
@@ -162,7 +163,7 @@ def split_by_gram(spans: DataFrame, rank: int) -> DataFrame:
                 grams = repeats.gram_hashes(repeats.word_hashes(words), GRAM)
                 view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
                 at = np.arange(len(view)) + np.argsort(view, axis=1, kind="stable")[:, rank]
-                cut_spans(doc, lo, words, repeats.finish(grams + np.uint64(key % 2**64) * np.uint64(repeats.MIX[2])), at, out)
+                cut_spans(doc, lo, words, repeats.finish(grams + np.uint64(key * int(repeats.MIX[2]) % 2**64)), at, out)
             yield span_batch(out)
 
     return spans.select("anchor", "doc_id", "lo", "words").mapInArrow(run, SPANS_SQL)
@@ -250,17 +251,36 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, copies
 
 
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """docs with ``own``, the doc_id as it was; where rows of one doc_id have different texts, doc_id is a number for each of its texts instead.
+
+    The numbers rise with the ids. Where no id is shared by different texts, ids stay.
+    """
+    docs = docs.select("doc_id", "text", F.col("doc_id").alias("own"), F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(-1)).alias("n")).alias("which"))
+    named = docs.where("doc_id is not null")
+    shared = named.groupBy("doc_id").agg(F.min("which").alias("a"), F.max("which").alias("z")).where("a <> z")
+    if shared.isEmpty():
+        return docs.drop("which")
+    blocks = store.ordered_blocks(named.select("own", "which").distinct(), ["own", "which"], "texts")
+    sizes = blocks.groupBy("blk").agg(F.count("*").alias("n"))  # a row for each block
+    ahead = store.table(sizes.select("blk", (F.sum("n").over(Window.orderBy("blk")) - F.col("n")).alias("ahead")), "ahead")
+    place = F.row_number().over(Window.partitionBy("blk").orderBy("own", "which"))
+    numbers = store.join_small(blocks, ahead, "blk").select("own", "which", (F.col("ahead") + place).alias("doc_id"))
+    return store.table(docs.drop("doc_id").join(numbers, ["own", "which"], "left").drop("which"), "numbered")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Remove repeated windows: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
-    Null and empty texts have no words; very long texts are read whole. Rows that
-    share a doc_id are one document: equal ones lose the same words. A null
+    Null and empty texts have no words; very long texts are read whole. Equal rows
+    that share a doc_id are one document and lose the same words; rows of one
+    doc_id with different texts are documents that follow one another. A null
     doc_id keeps all its words and removes none of others'. Ids are whole numbers
     (any integer type, returned as bigint). Of tied windows in one document the
     first stays. Other columns are ignored, whatever their names; an empty table
     gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = numbered_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     lost, copies = repeated_windows(docs.where("doc_id is not null"))
     marks = lost.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast(lost.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
     joined = docs.join(marks, "doc_id", "left")
@@ -280,9 +300,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 sizes.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "spans", "copy").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return joined.select("own", "text", "spans", "copy").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

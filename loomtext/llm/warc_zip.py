@@ -261,7 +261,9 @@ def records(located: DataFrame, payload: bool = False) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages (page_id, url, html) into archives in the shared folder and read all records back.
 
-    Repeated rows give repeated records; an empty table gives an empty result.
+    ``page_id`` is a whole number; a null url is the empty one, a null html an empty payload. Pages of any length are
+    written whole. Of equal payloads the smallest page_id is the response; repeated rows give repeated records. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     made = write(plan(pages), store.new_path(spark, "wacz"))
     return records(locate(made))

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import line_dedup, mixing, ngram_join, packing, quality_rules, site_quality, substring_dedup, toxicity
+from loomtext.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, site_quality, substring_dedup, toxicity, warc_zip
 
 SF = "/root/testdata/sf0.001"
 NAMES = "n_words base_failed kept toxic p_toxic p_poor _row _p n_lines n_removed drop _drop n_shingles component_id passes extra position positions _n _k0 size uid start n part sequence_id doc_tokens host path y e p_doc posterior signal bucket h site".split()
+#: Names that the files' order uses, and ones that must be quoted.
+ODD = ["_file", "_place", "_part", "a.b", "a`b", "a b"]
 LONG = " ".join(f"w{i % 7919}" for i in range(120_000))
 ROWS = [(1, None, "en", "a"), (2, "", None, None), (3, LONG, "en", "a"), (4, "one two", "en", "b"), (5, "one two", "en", None), (6, LONG + " tail", "de", "a"), (7, " \n\t ", "en", "b"), (6, LONG + " tail", "de", "a"), (None, "no id here", "en", "a")]
 
@@ -34,6 +36,8 @@ def test_join_and_keep_one(spark):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and rows_of(kept, "doc_id", "size") == sorted([(i, "own size") for i in (1, 2, 3, 4, 7, 8, None)], key=repr)
     assert ngram_join.keep_one(make(spark, [])).count() == 0
+    odd = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in ODD])
+    assert ngram_join.keep_one(odd).columns == odd.columns and ngram_join.keep_one(odd).count() == kept.count()
 
 
 def test_lines(spark):
@@ -114,6 +118,49 @@ def test_substrings(spark):
     assert substring_dedup.digest(make(spark, []).withColumn("doc_id", F.col("doc_id").cast("int"))).count() == 0
 
 
+def test_substrings_of_shared_ids(spark):
+    """Rows of one doc_id with different texts are documents of their own: what is unique in either stays."""
+    rng = __import__("random").Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a, b, c = ([word() for _ in range(n)] for n in (90, 40, 60))
+    rows = [(1, " ".join(a), "en", "a"), (2, " ".join(a[:30] + b), "en", "a"), (2, " ".join(c + a[40:73]), "en", "a"), (2, " ".join(c + a[40:73]), "en", "a"), (3, " ".join(b + c), "en", "a")]
+    got = rows_of(substring_dedup.digest(make(spark, rows)), "doc_id", "n_words", "n_removed")
+    assert got == sorted([(1, 90, 0), (2, 70, 30), (2, 93, 33), (2, 93, 33), (3, 100, 100)], key=repr)
+
+
+def test_packing_in_file_order(spark, tmp_path):
+    import public_tokenizers
+
+    docs = make(spark, [(i, f"text {i}", "en", "a") for i in range(50)]).select("*", *[F.lit(f"own {n}").alias(n) for n in ODD])
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    placed = packing.in_file_order(spark.read.parquet(str(tmp_path / "docs")))
+    assert set(placed.columns) == set(docs.columns) and [r["doc_id"] for r in placed.orderBy("_place").collect()] == list(range(50))
+    assert placed.where("_file = 'own _file' and `a.b` = 'own a.b' and _part = 'own _part'").count() == 50
+    assert packing.pack(placed, public_tokenizers.path("word_bpe_49k.json"), order="_place").count() >= 50
+
+
+def test_fingerprint_edges(spark):
+    rows = ROWS + [(8, "", "en", "a"), (9, "one two", "en", "a")]
+    docs = make(spark, rows).withColumn("blk", F.lit("own"))
+    got = fingerprints.fingerprint_edits(docs).collect()
+    assert sorted((repr(r["doc_id"]), r["n_chars"]) for r in got) == sorted((repr(i), len(t or "")) for i, t, _, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    assert by[1] == by[2] == by[7] == by[8] and by[4] == by[5] == by[9] != by[1] and len(by[6]) == 1, "equal texts, and texts without words, have equal fingerprints"
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert fingerprints.fingerprint_edits(make(spark, [])).count() == 0
+
+
+def test_warc_edges(spark):
+    big = "<p>" + "x" * 2_000_000
+    rows = [(5, "http://a/5", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/4", ""), (6, "http://a/6", "y" * 99), (7, "http://a/7", "y" * 99), (8, "http://a/8", "é" * 50), (9, "http://a/9", "é" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("own").alias(n) for n in ("payload_bytes", "record_type", "offset", "_row", "digest")])
+    got = rows_of(warc_zip.round_trip(spark, pages), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == sorted([(2, 2_000_003, "response", None), (5, 2_000_003, "revisit", 2), (3, 0, "response", None), (4, 0, "response", None), (6, 99, "response", None), (7, 99, "response", None), (8, 100, "response", None), (9, 100, "revisit", 8)], key=repr)
+    assert warc_zip.round_trip(spark, pages.limit(0)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Stages keep the columns, take effect, and run on rows with every edge."""
     real = spark.read.parquet(f"{SF}/documents.parquet")
