@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any, Protocol
 
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.operators import folds
+from loomtext.operators import coverage, folds
 
 #: Answers of a busy service, and the share of lost words from which a section is edited in parts.
 BUSY = frozenset({429, 500, 502, 503, 504})
@@ -152,10 +155,46 @@ def structure(slides: DataFrame, stem: str, order: str, fields: list[str], model
     return with_json(structure_prompts(slides, stem, order, *fields), stem, "prompt", model, schema, tries, pause)
 
 
+def plain_words(text: str) -> list[str]:
+    return [w.lower().replace("ё", "е") for w in re.findall(r"\w+", text)]
+
+
+def lost_runs(source: str, edited: str) -> list[str]:
+    """What ``coverage.dropped`` finds, for one answer of a model: words that both texts hold once are anchors, the rest is open."""
+    a, b = plain_words(source), plain_words(edited)
+    in_a, in_b, place = Counter(a), Counter(b), {w: j for j, w in enumerate(b)}
+    met = [(i, place[w]) for i, w in enumerate(a) if in_a[w] == in_b[w] == 1]
+    kept = [(-1, -1), *[met[k] for k in coverage.rising([j for _, j in met])], (len(a), len(b))]
+    out = []
+    for (i, j), (i2, j2) in zip(kept, kept[1:]):
+        i, j = i + 1, j + 1
+        while i < i2 and j < j2 and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < i2 and j < j2 and a[i2 - 1] == b[j2 - 1]:
+            i2, j2 = i2 - 1, j2 - 1
+        if i2 - i >= coverage.LOST_WORDS:
+            out.append(" ".join(a[i:i2]))
+    return out
+
+
+def runs_said_twice(paragraphs: list[str], source: str, least: int = coverage.RUN_WORDS) -> list[str]:
+    """What ``coverage.repeated`` finds, for one answer: stretches of grams that another paragraph holds too, more often than the source."""
+    said = [plain_words(p) for p in paragraphs]
+    holders = Counter(g for ws in said for g in {tuple(ws[i : i + least]) for i in range(len(ws) - least + 1)})
+    runs: dict[str, None] = {}
+    for ws in said:
+        shared = [i for i in range(len(ws) - least + 1) if holders[tuple(ws[i : i + least])] > 1]
+        for _, part in groupby(enumerate(shared), lambda x: x[1] - x[0]):
+            places = [i for _, i in part]
+            runs[" ".join(ws[places[0] : places[-1] + least])] = None
+    spaced = lambda ws: "".join(f" {w} " for w in ws)
+    all_, original = spaced(w for ws in said for w in ws), spaced(plain_words(source))
+    return [r for r in runs if all_.count(spaced(r.split())) > original.count(spaced(r.split()))]
+
+
 def faults(source: str, edited: str) -> tuple[int, list[str], list[str]]:
     """Words lost or said twice, and both as fragments."""
-    lost = [text for text, _ in folds.dropped(source, edited)]
-    twice = folds.repeated([p for p in edited.split("\n\n") if p.strip()], source)
+    lost, twice = lost_runs(source, edited), runs_said_twice([p for p in edited.split("\n\n") if p.strip()], source)
     return sum(len(t.split()) for t in lost + twice), lost, twice
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
-from loomtext.operators import folds
+from loomtext.operators import coverage, folds
 from loomtext.operators import frames as f
+from loomtext.operators.passes import once
 from loomtext.plans.registry import query
 
 LINES = "a as (select doc_id, lang, source, string_split(text, chr(10)) as p from documents), lines as (select doc_id, lang, source, unnest(range(len(p))) as line_no, unnest(p) as line from a)"
@@ -110,17 +111,6 @@ def token_cost(t):
 BULLETS_AT_ONCE = 1000
 
 
-def once(value, use):
-    """``use`` of a value that is worked out once, however often a lambda in ``use`` looks at it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def grams(words, n):
-    """The n-grams of a word array, joined by a space; none where it is shorter."""
-    each = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return once(words, each)
-
-
 def n_repeated(values):
     """How many distinct values of an array occur in it more than once."""
     starts = lambda s: F.filter(s, lambda x, i: (i + 1 < F.size(s)) & (x == F.get(s, i + 1)) & ((i == 0) | (x != F.coalesce(F.get(s, i - 1), F.lit("")))))
@@ -132,7 +122,7 @@ GRAM = "select {id}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i:
 
 def gram_rows(t, table, ident, n):
     words = t.__getattr__(table).select(ident, c.letter_words(F.col("text")).alias("w"))
-    return words.select(ident, F.explode(grams(F.col("w"), n)).alias("g"))
+    return words.select(ident, F.explode(coverage.grams(F.col("w"), n)).alias("g"))
 
 
 @query(f"with b as ({GRAM.format(id='item_id', n=5, table='benchmark')}), d as (select distinct g from ({GRAM.format(id='doc_id', n=5, table='documents')})) select item_id, count(*) as runs, count(*) filter (where g not in (select g from d)) as lost from b group by 1")
@@ -145,23 +135,105 @@ def dropped_runs_ngram(t):
 @query(f"with d as ({GRAM.format(id='doc_id', n=12, table='documents')}), n as (select doc_id, g, count(*) as n from d group by all) select doc_id, count(*) as repeated from n where n > 1 group by 1")
 def repeated_runs_ngram(t):
     """Counted inside each document, without a shuffle of its runs."""
-    some = F.filter(F.array(n_repeated(grams(c.letter_words(F.col("text")), 12))), lambda n: n > 0)
+    some = F.filter(F.array(n_repeated(coverage.grams(c.letter_words(F.col("text")), 12))), lambda n: n > 0)
     return t.documents.select("doc_id", F.explode(some).alias("repeated"))
 
 
-@query()
-def coverage_align(t):
-    """How much of each benchmark passage every document that shares a rare run of it lacks."""
-    probe = gram_rows(t, "benchmark", "item_id", 8)
-    met = gram_rows(t, "documents", "doc_id", 8).join(probe, "g").select("doc_id", "item_id").distinct()
-    both = met.join(t.benchmark.select("item_id", F.col("text").alias("source")), "item_id").join(t.documents.select("doc_id", F.col("text").alias("edited")), "doc_id")
+W = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'), lambda w: translate(lower(w), 'ё', 'е'))"
+PAIR = "sid, eid, g0"
 
-    def weigh(batches):
-        for b in batches:
-            gaps = [folds.dropped(s, e) for s, e in zip(b["source"], b["edited"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "item_id": b["item_id"], "gaps": [len(g) for g in gaps], "weight": [sum(len(x.split()) for x, _ in g) for g in gaps]})
 
-    return both.select("doc_id", "item_id", "source", "edited").mapInPandas(weigh, "doc_id long, item_id long, gaps long, weight long")
+def chain_sql(name, met):
+    """CTEs for the longest rising chain of ``met`` (sid, eid, g0, i, j): {name}(sid, eid, g0, i, j); the lengths are folded, the chain is walked backwards."""
+    return f"""{name}_f as (select {PAIR}, list(i order by i) as ii, list(j order by i) as jj, list_reduce(list({{'j': j, 't': []::bigint[], 'l': []::bigint[]}} order by i),
+  lambda a, x: {{'j': x.j, 't': a.t[:len(list_filter(a.t, lambda y: y < x.j))] || [x.j] || a.t[len(list_filter(a.t, lambda y: y < x.j)) + 2:], 'l': list_append(a.l, len(list_filter(a.t, lambda y: y < x.j)) + 1)}}, {{'j': 0::bigint, 't': []::bigint[], 'l': []::bigint[]}}).l as l from {met} group by all),
+{name}_l as materialized (select {PAIR}, unnest(ii) as i, unnest(jj) as j, unnest(l) as l from {name}_f),
+{name} as (select {PAIR}, l, arg_min(i, j) as i, min(j) as j from {name}_l x where l = (select max(l) from {name}_l y where x.sid = y.sid and x.eid = y.eid and x.g0 = y.g0) group by all
+  union all select x.sid, x.eid, x.g0, x.l, arg_min(x.i, x.j), min(x.j) from {name} r join {name}_l x on x.sid = r.sid and x.eid = r.eid and x.g0 = r.g0 and x.l = r.l - 1 and x.i < r.i group by all)"""
+
+
+ALIKE = "coalesce(list_min(list_filter(range(1, greatest(len({0}), len({1})) + 1), lambda k: {0}[k] is distinct from {1}[k])), len({0}) + 1) - 1"
+
+
+def trim_sql(name, rows):
+    """CTEs that cut what both sides of ``rows`` (sid, eid, i, a, j, b) begin and end with: {name}, with 5 words of a or more."""
+    return f"""{name}_h as (select sid, eid, i + h as i, a[h + 1:] as a, j + h as j, b[h + 1:] as b from (select *, {ALIKE.format("a", "b")} as h from {rows})),
+{name} as materialized (select sid, eid, i, a[:len(a) - t] as a, j, b[:len(b) - t] as b from (select *, {ALIKE.format("list_reverse(a)", "list_reverse(b)")} as t from {name}_h) where len(a) - t >= 5)"""
+
+
+def open_sql(chain, whole, n):
+    """The stretches of 5 words or more between the anchors of n words of ``chain``, in ``whole`` (sid, eid, g0, a, b)."""
+    return f"""select sid, eid, g0, i0 as i, a[i0 + 1:i + greatest(j0 - j, 0)] as a, j0 as j, b[j0 + 1:greatest(j, j0)] as b from (
+  select *, lag(i) over (partition by {PAIR} order by i) + {n} as i0, lag(j) over (partition by {PAIR} order by i) + {n} as j0 from (
+    select {PAIR}, -{n} as i, -{n} as j, a, b from {whole} union all select {PAIR}, c.i, c.j, a, b from {chain} c join {whole} using ({PAIR}) union all select {PAIR}, len(a), len(b), a, b from {whole})) where i + greatest(j0 - j, 0) - i0 >= 5"""
+
+
+def coverage_sql(source, end):
+    """Losses of ``source`` (sid, text) in every document that shares a rare run of words with it; ``end`` selects."""
+    return f"""with recursive a as materialized (select sid, {W.format("text")} as w, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[^\\p{{L}}\\p{{N}}_]*') as p, length(text) as chars from ({source})),
+b as materialized (select doc_id as eid, {W.format("text")} as w from documents),
+ga as (select sid, unnest(range(len(w) - 7)) as i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) as g from a where len(w) >= 8),
+oa as (select sid, g, min(i) as i, count(*) as n from ga group by all), ka as (select sid, g, i from oa where n = 1 and g in (select g from oa group by 1 having count(*) <= 5)),
+gb as (select eid, unnest(range(len(w) - 7)) as j, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) as g from b where len(w) >= 8),
+kb as (select eid, g, min(j) as j from gb where g in (select g from ka) group by all having count(*) = 1),
+m1 as materialized (select sid, eid, 0 as g0, i, j from ka join kb using (g)), {chain_sql("c1", "m1")},
+p1 as materialized (select sid, eid, 0 as g0, a.w as a, b.w as b from (select distinct sid, eid from m1) join a using (sid) join b using (eid)),
+o1 as ({open_sql("c1", "p1", 8)}), {trim_sql("t1", "o1")},
+u as (select sid, eid, i as g0, 'a' as side, unnest(range(len(a))) as k, unnest(a) as w from t1 union all select sid, eid, i, 'b', unnest(range(len(b))), unnest(b) from t1),
+m2 as materialized (select {PAIR}, min(k) filter (where side = 'a') as i, min(k) filter (where side = 'b') as j from u group by {PAIR}, w having count(*) filter (where side = 'a') = 1 and count(*) filter (where side = 'b') = 1), {chain_sql("c2", "m2")},
+p2 as (select sid, eid, i as g0, a, b from t1), o2 as ({open_sql("c2", "p2", 1)}), o3 as (select o2.sid, o2.eid, t1.i + o2.i as i, o2.a, t1.j + o2.j as j, o2.b from o2 join t1 on o2.sid = t1.sid and o2.eid = t1.eid and o2.g0 = t1.i), {trim_sql("t3", "o3")},
+d as (select sid, eid, i as place, j as offs, len(t3.a) as words, regexp_replace(regexp_replace(array_to_string(p[i + 1:i + len(t3.a)], ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[«"(\\[\\-–— ]+$', '') as gap from t3 join a using (sid)),
+s as (select sid, eid, count(place) as gaps, coalesce(sum(len(regexp_extract_all(gap, '[^\\x20\\x09-\\x0D]+'))), 0)::bigint as weight, coalesce(string_agg(offs || ': ' || gap, chr(10) order by place), '') as dropped from p1 left join d using (sid, eid) group by all)
+select {end}, gaps, weight, dropped, case when gaps > 0 then gaps || ' fragment(s) dropped, ' || weight || ' words' else 'complete' end as summary,
+case when len(w) > 0 and weight >= 0.2 * len(w) then greatest(2, ceil(floor(chars / 4.0) / 1200))::int else 1 end as parts from s join a using (sid)"""
+
+
+def weighed(sources, edited):
+    """A row for each pair with an anchor (sid, eid): gaps, weight, dropped, summary, parts."""
+    lost = coverage.dropped(sources, edited)
+    gap = F.regexp_count("gap", F.lit(r"[^\x20\x09-\x0D]+"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "offset", "gap")))), lambda x: F.concat(x["offset"].cast("string"), F.lit(": "), x["gap"])), "\n")
+    each = lost.groupBy("sid", "eid").agg(F.count("place").alias("gaps"), F.coalesce(F.sum(gap), F.lit(0)).cast("long").alias("weight"), texts.alias("dropped"))
+    sized = sources.select("sid", F.size(coverage.words(F.col("text"))).alias("total"), F.floor(F.length("text") / 4.0).alias("tokens"))
+    return each.join(sized, "sid").select("sid", "eid", "gaps", "weight", "dropped", coverage.summary(F.col("gaps"), F.col("weight"), F.lit(0)).alias("summary"), coverage.parts(F.col("weight"), F.col("total"), F.col("tokens")).alias("parts"))
+
+
+@query(coverage_sql("select item_id as sid, text from benchmark", "eid as doc_id, sid as item_id"))
+def coverage_align(t):
+    """What every document that shares a rare run of words with a benchmark passage lacks of it, in words and text, and into how many parts it would go again."""
+    lost = weighed(t.benchmark.select(F.col("item_id").alias("sid"), "text"), t.documents.select(F.col("doc_id").alias("eid"), "text"))
+    return lost.withColumnsRenamed({"eid": "doc_id", "sid": "item_id"})
+
+
+@query(coverage_sql("select doc_id as sid, text from documents where doc_id in (select doc_id from labels)", "sid, eid"))
+def coverage_versions(t):
+    """The same between the labelled documents and all documents that share a rare run of words with them: what later or other versions of a text lack."""
+    labelled = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    return weighed(labelled.select(F.col("doc_id").alias("sid"), "text"), t.documents.select(F.col("doc_id").alias("eid"), "text"))
+
+
+SPACED = "array_to_string(list_transform({}, lambda x: ' ' || x || ' '), '')"
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as block from documents),
+w as materialized (select doc_id, block, {W.format("line")} as w from l),
+g as (select doc_id, block, unnest(range(len(w) - 3)) as i, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as g from w where len(w) >= 4),
+f as (select doc_id, g, block, min(i) as i from g group by all),
+s as (select doc_id, block, i, lead(block) over x as other, lead(i) over x - i as diagonal from f window x as (partition by doc_id, g order by block)),
+n as (select *, i - row_number() over (partition by doc_id, block, other, diagonal order by i) as island from s where other is not null),
+k as (select doc_id, block, other, diagonal, island, min(i) as i, count(*) + 3 as n from n group by all),
+e as (select k.*, x.w as w, y.w as v, list_reverse(x.w[:i]) as wb, list_reverse(y.w[:i + diagonal]) as vb, x.w[i + n + 1:] as wa, y.w[i + diagonal + n + 1:] as va from k join w x using (doc_id, block) join w y on y.doc_id = k.doc_id and y.block = k.other),
+r as (select distinct doc_id, w[i - back + 1:i + n + more] as run from (select *, {ALIKE.format("wb", "vb")} as back, {ALIKE.format("wa", "va")} as more from e)),
+t as (select doc_id, {SPACED.format("flatten(list(w order by block))")} as t from w group by 1),
+o as (select doc_id, {SPACED.format(W.format("lag(text) over (partition by source order by doc_id)"))} as o from documents),
+c as (select doc_id, array_to_string(run, ' ') as run, len(run)::int as words, (length(t) - length(replace(t, {SPACED.format("run")}, ''))) // length({SPACED.format("run")}) as edited,
+  coalesce((length(o) - length(replace(o, {SPACED.format("run")}, ''))) // length({SPACED.format("run")}), 0) as original from r join t using (doc_id) left join o using (doc_id))
+select * from c where edited > original""")
+def repeated_blocks(t):
+    """Runs of four words or more that two lines of a document share, more often than the document before it in its source has them."""
+    blocks = t.documents.select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    before = f.previous(t.documents.select("doc_id", "source", "text"), ["source"], f.id_block(F.col("doc_id")), "doc_id", "text", "old").select(F.col("doc_id").alias("key"), F.col("old").alias("text"))
+    return coverage.repeated(blocks, before, 4).withColumnRenamed("key", "doc_id")
 
 
 @query(rf"with {LINES} select source, count(*) filter (where junk) as junk, count(*) filter (where not junk) as kept from (select source, regexp_matches(line, '^[\x20\x09-\x0D]*[0-9]*[\x20\x09-\x0D]*$') or regexp_matches(line, '[|#*$%&]{{2}}') or contains(line, '!!') as junk from lines) group by 1")
