@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,17 @@ def id_block(ident: Column) -> Column:
     return F.floor(ident / BLOCK_IDS)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from here on, its lineage cut with a checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one where that is unset and one machine runs all."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="loomtext-"))
+    return df.checkpoint()
+
+
 def same_block(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """Join by equal columns, nulls among them; the columns of ``df`` and the others of ``small``."""
     small = small.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
@@ -69,6 +82,15 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: str, valu
     return same_block(inside, sums, [*keys, "_b"]).withColumn(name, F.col("_ahead") + F.col("_in")).drop("_b", "_in", "_ahead")
 
 
+def running_max(df: DataFrame, keys: list[str], bucket: Column, order: str, value: str, name: str) -> DataFrame:
+    """Add the greatest ``value`` up to each row and its ties (``name``); no task sees all rows of a key, and ``bucket`` must rise with the order."""
+    cut = df.withColumn("_b", bucket)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    most = cut.groupBy(*keys, "_b").agg(F.max(value).alias("_m")).select(*keys, "_b", F.max("_m").over(before).alias("_ahead"))
+    inside = cut.withColumn("_in", F.max(value).over(Window.partitionBy(*keys, "_b").orderBy(order)))
+    return same_block(inside, most, [*keys, "_b"]).withColumn(name, F.greatest("_ahead", "_in")).drop("_b", "_in", "_ahead")
+
+
 def newest_days(orders: DataFrame) -> dict:
     """The blocks of orders by day, newest first, and within a day by key."""
     return {"bucket": -F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")), "inner": -id_block(F.col("o_orderkey")), "order": [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]}

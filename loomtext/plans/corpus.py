@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
-from loomtext.operators import coverage, folds
+from loomtext.operators import anchors, coverage, folds, lemmas, state_scan
 from loomtext.operators import frames as f
+from loomtext.operators import passes as p
 from loomtext.operators.passes import once
 from loomtext.plans.registry import query
 
+SP = r"[\x20\x09-\x0D]"
 LINES = "a as (select doc_id, lang, source, string_split(text, chr(10)) as p from documents), lines as (select doc_id, lang, source, unnest(range(len(p))) as line_no, unnest(p) as line from a)"
 SENTENCES = r"s as (select doc_id, lang, unnest(list_filter(string_split(regexp_replace(text, '([.!?…])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) as sentence from documents)"
 WORDS = r"w as (select doc_id, lang, source, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word from documents)"
@@ -107,10 +109,6 @@ def token_cost(t):
     return t.documents.groupBy("lang").agg(tokens.alias("tokens"), F.round(tokens * 0.0000025, 6).alias("usd"))
 
 
-#: Passages held in memory at once.
-BULLETS_AT_ONCE = 1000
-
-
 def n_repeated(values):
     """How many distinct values of an array occur in it more than once."""
     starts = lambda s: F.filter(s, lambda x, i: (i + 1 < F.size(s)) & (x == F.get(s, i + 1)) & ((i == 0) | (x != F.coalesce(F.get(s, i - 1), F.lit("")))))
@@ -253,10 +251,6 @@ def per_text(df, fn, schema):
     return df.select("doc_id", "text").mapInPandas(run, f"doc_id long, {schema}")
 
 
-def units(text):
-    return [(s, k == 0) for line in text.split("\n") for k, s in enumerate(folds.SPLIT.split(line.strip())) if s]
-
-
 @query(r"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 s as (select doc_id, line_no, list_transform(string_split(regexp_replace(trim(line, E' \t\x0B\f\r'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) as z from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
 m as (select doc_id, line_no, 1::bigint as lo, z from s
@@ -339,25 +333,67 @@ def clean_text(t):
     return t.documents.select("doc_id", c.clean_paragraph(F.col("text")).alias("cleaned"))
 
 
-@query()
+@query(rf"""with recursive b as (select item_id, (row_number() over (order by item_id) - 1) // 10 as list, (row_number() over (order by item_id) - 1) % 10 as bullet, text from benchmark where text is not null),
+k as (select list, min(bullet) as bullet, word from (select list, bullet, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) as word from b) group by list, word having count(*) = 1),
+u as materialized (select doc_id, unnest(range(len(t))) as sentence, unnest(t) as t from (select doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: list_filter(string_split(regexp_replace(regexp_replace(l, '^{SP}+|{SP}+$', '', 'g'), '([.!?…]){SP}+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))) as t from documents)),
+w as (select distinct doc_id, sentence, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+')) as token from u),
+h as materialized (select doc_id, list, bullet, sentence from (select distinct doc_id, sentence, word, list, bullet from w join k on starts_with(token, word)) group by all having sum(case when length(word) >= 9 then 2 else 1 end) >= 2),
+r as (select distinct doc_id, list, -1::bigint as bullet, 0::bigint as at, null::bigint as sentence from h
+union all select r.doc_id, r.list, r.bullet + 1, coalesce(min(h.sentence) + 1, r.at), min(h.sentence) from r left join h on h.doc_id = r.doc_id and h.list = r.list and h.bullet = r.bullet + 1 and h.sentence >= r.at where r.bullet < 9 group by r.doc_id, r.list, r.bullet, r.at)
+select r.doc_id, b.item_id, array_to_string((regexp_extract_all(u.t, '[^\x20\x09-\x0D]+'))[:8], ' ') as head from r join b using (list, bullet) join u using (doc_id, sentence)""")
 def anchor_search(t):
-    """Benchmark passages, ten consecutive ones a list of bullets, each list looked for in order among the sentences of each document.
-
-    Passages are the query set: they go to all documents in blocks of bounded size, one pass over the documents for each block.
-    """
-    items = f.numbered(t.benchmark.where("text is not null").select("item_id", "text"), F.floor(F.col("item_id") / 1000), [F.col("item_id")]).select("pos", "item_id", "text")
-    last = items.agg(F.max("pos")).first()[0]
-    out = None
-    for start in range(0, 1 + (last or 0), BULLETS_AT_ONCE):
-        rows = items.where(F.col("pos").between(start, start + BULLETS_AT_ONCE - 1)).orderBy("pos").collect()
-        lists = [([r["item_id"] for r in part], folds.own_words([r["text"] for r in part])) for part in (rows[i : i + 10] for i in range(0, len(rows), 10))]
-        wanted = {w for _, own in lists for ws in own for w in ws}
-
-        def search(text, lists=lists, wanted=wanted):
-            spoken = [(float(i), s) for i, (s, _) in enumerate(units(text))]
-            begun = folds.begun_at([s for _, s in spoken], wanted)
-            return [(i, a) for ids, own in lists for i, a in zip(ids, folds.found_in_order(own, begun, spoken, spoken)) if a]
-
-        found = per_text(t.documents, search, "item_id long, head string")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Benchmark passages, ten consecutive ones a list of bullets, each list looked for in order among the sentences of each document."""
+    items = f.numbered(t.benchmark.where("text is not null").select("item_id", "text"), f.id_block(F.col("item_id")), [F.col("item_id")])
+    bullets = items.select("item_id", F.floor(F.col("pos") / 10).alias("list"), (F.col("pos") % 10).cast("int").alias("bullet"), "text")
+    said = t.documents.select(F.col("doc_id").alias("key"), F.posexplode(p.units(F.col("text"))).alias("sentence", "u")).select("key", "sentence", F.col("u.t").alias("text"))
+    found = anchors.anchors(said, bullets).join(said, ["key", "sentence"]).join(bullets.select("list", "bullet", "item_id"), ["list", "bullet"])
+    return found.select(F.col("key").alias("doc_id"), "item_id", anchors.quoted(F.col("text")).alias("head"))
+
+
+LEARNED = """v as materialized (select word, count(*) as n from w group by 1),
+x as materialized (select word, n, left(word, length(word) - k) as stem, right(word, k) as ending from (select word, n, unnest(range(0, least(4, length(word) - 4) + 1)) as k from v)),
+b as (select stem, max({'n': n, 'short': -length(ending), 'ending': ending}).ending as base from x group by 1 having count(*) > 1),
+r as (select ending, max({'stems': stems, 'short': -length(base), 'base': base}).base as base from (select ending, base, count(*) as stems from x join b using (stem) where ending <> base and ending <> '' group by all having count(*) >= 3) group by 1),
+l as materialized (select v.word, coalesce(m.lemma, v.word) as lemma from v left join (select word, arg_max(stem || r.base, length(ending)) as lemma from x join r using (ending) where ending <> '' group by 1) m using (word))"""
+
+
+def learned_lemmas(words):
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return lemmas.lemmas(counts, lemmas.rules(counts))
+
+
+@query(f"with {WORDS}, {LEARNED} select lemma, count(distinct doc_id) as docs, count(*) as n from w join l using (word) group by 1 having count(distinct doc_id) > 2 and count(*) <= 20")
+def rare_lemmas(t):
+    """Lemmas of more than two documents that occur twenty times at most."""
+    words = letter_words(t)
+    each = words.select("doc_id", "word").join(learned_lemmas(words), "word").groupBy("lemma", "doc_id").agg(F.count("*").alias("n"))
+    return each.groupBy("lemma").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 2 and n <= 20")
+
+
+@query(f"with {WORDS}, {LEARNED}, k as (select distinct lemma from w join labels using (doc_id) join l using (word) where quality = 1) select lang, count(*) as unknown, count(distinct lemma) as lemmas from w join l using (word) where lemma not in (select lemma from k) group by 1")
+def unknown_lemmas(t):
+    """Words whose lemma no good document has, by language."""
+    words = letter_words(t)
+    named = words.join(learned_lemmas(words), "word")
+    known = named.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("lemma").distinct()
+    each = named.join(known, "lemma", "left_anti").groupBy("lang", "lemma").agg(F.count("*").alias("n"))
+    return each.groupBy("lang").agg(F.sum("n").alias("unknown"), F.count("*").alias("lemmas"))
+
+
+@query(rf"""with d as (select doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n, string_split(text, chr(10))[1] as head from documents),
+f as (select *, min(doc_id) filter (where n >= 150) over (partition by source) as main from d),
+a as (select *, min(doc_id) filter (where doc_id >= main and n % 23 = 0) over (partition by source) as over from f),
+p as (select doc_id, source, head, case when main is null or doc_id < main then 'front' when doc_id = over then 'contents' when doc_id > over then 'after' else 'main' end as phase from a)
+select doc_id, phase, case when phase = 'main' then last_value(case when len(regexp_extract_all(head, '[^\x20\x09-\x0D]+')) <= 6 then head end ignore nulls) over (partition by source, phase = 'main' order by doc_id) end as section from p""")
+def phase_scan(t):
+    """Documents of a source as leaves of a book: front matter (short leaves), main part, the contents leaf that ends it, and what comes after; main leaves take the last heading."""
+    sized = t.documents.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.get(F.split("text", "\n"), F.lit(0)).alias("head"))
+    leaves = sized.withColumns({"front": F.col("n") < 150, "ends": F.col("n") % 23 == 0})
+    main = F.when(F.col("ends"), 2).otherwise(1)
+    maps = F.array(F.when(F.col("front"), 0).otherwise(main), main, F.lit(2))
+    block = F.floor(F.col("doc_id") / 1024)
+    met = state_scan.scan_states(leaves, ["source"], block, "doc_id", maps, 3)
+    phase = F.when(F.col("state") == 2, "after").when((F.col("state") == 0) & F.col("front"), "front").when(F.col("ends"), "contents").otherwise("main")
+    named = met.withColumn("phase", phase).withColumn("heading", F.when((F.col("phase") == "main") & (F.regexp_count("head", F.lit(r"[^\x20\x09-\x0D]+")) <= 6), F.col("head")))
+    out = state_scan.filled(named, ["source"], block, "doc_id", "heading", "section")
+    return out.select("doc_id", "phase", F.when(F.col("phase") == "main", F.col("section")).alias("section"))

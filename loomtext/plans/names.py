@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
 from loomtext.operators import frames as f
+from loomtext.operators import naming
 from loomtext.plans.registry import query
 
 
@@ -73,3 +74,18 @@ def forbidden_overlap(t):
 def day_number_date(t):
     title = F.concat(F.lit("Day "), (F.col("p_size") * 120).cast("string"))
     return t.part.withColumn("day", F.date_format(c.numbered_day(title), "yyyy-MM-dd")).where("day is not null").select("p_partkey", "day")
+
+
+BASES = "select doc_id, case when n_chars % 4 = 0 then source || '_' || (n_chars % 7 + 1) else source end as base from documents"
+
+
+@query(f"""with recursive d as (select doc_id, base, row_number() over (order by doc_id) as r from ({BASES})),
+u as (select 0::bigint as r, null::bigint as doc_id, null::varchar as name, []::varchar[] as used
+union all select r, doc_id, name, list_append(used, name) from (
+  select d.r, d.doc_id, u.used, list_filter(list_transform(range(1, len(u.used) + 2), lambda k: case when k = 1 then d.base else d.base[:60 - length('_' || k)] || '_' || k end), lambda x: not list_contains(u.used, x))[1] as name
+  from u join d on d.r = u.r + 1))
+select doc_id, name from u where r > 0""")
+def unique_names(t):
+    """A name for each document from its source, with a number where it is taken, also where the number is part of another's base."""
+    base = F.when(F.col("n_chars") % 4 == 0, F.concat_ws("_", "source", (F.col("n_chars") % 7 + 1).cast("string"))).otherwise(F.col("source"))
+    return naming.unique_names(t.documents.select("doc_id", base.alias("base")), "base", "doc_id", f.id_block(F.col("doc_id"))).select("doc_id", "name")

@@ -34,8 +34,6 @@ def test_folds():
     pieces = folds.split_long("One two three. Four five six. Seven eight.", 4)
     assert " ".join(pieces) == "One two three. Four five six. Seven eight." and len(pieces) == 3
     assert models.lost_runs("a b c d e f g", "a g") == ["b c d e f"] and models.lost_runs("a b", "") == []
-    assert folds.anchors(["alpha beta", "gamma delta", "common beta", "extraordinary"], [(0, "no"), (1, "Alphas betas x"), (2, "gamma only"), (3, "extraordinary!"), (4, "gamma delta")], [(0, "n"), (1, "first one"), (4, "last one")]) == ["", "last one", "", ""]
-    assert folds.anchors(["alpha bravo", "extraordinary"], [(0, "alpha"), (1.4, "Alphas and bravo"), (2, "extraordinary!")], [(0, "n"), (1, "a b c d e f g h i"), (3, "z")]) == ["a b c d e f g h", "a b c d e f g h i".rsplit(" ", 1)[0]]
     long = " ".join(f"w{i}" for i in range(12))
     assert models.runs_said_twice([f"a {long} b", f"c {long} d"], f"x {long} y") == [long]
     assert models.runs_said_twice([f"a {long} b", f"c {long} d"], f"{long} and {long}") == []
