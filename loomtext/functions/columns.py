@@ -69,16 +69,21 @@ def normalize_handle(value: Column) -> Column:
     return F.when(name != "", F.concat(F.lit("@"), name))
 
 
-#: Words that tell what a sharp sign means, and the fallback name.
-MUSIC, CODE = r"(?iu)music|song|guitar|piano|chord|музык|песн|гитар|аккорд", r"(?iu)code|programming|\.net|developer|программ|разработ"
+#: Patterns that tell what a sharp sign means, names that are spelled out, and the fallback name.
+MUSIC = r"(?iuU)\bmusic|guitar|piano|\bchord|melody|\bsong|violin|\bvocal|singing|songwrit|\bkeys\b|музык|гитар|фортепиан|пианин|аккорд|мелоди|скрипк|вокал|тональност|\bдиез|бемол|сольфедж"
+CODE = (
+    r"(?iuU)\.net|dotnet|program|coding|\bcode\b|developer|development|software|\bapi\b|\basp\b|\bsql\b|database|linux|docker|kubernetes|python|java|script|unity|framework|backend|frontend|"
+    r"microservice|algorithm|\bweb\b|\bcloud\b|\baws\b|\bazure\b|machine learning|разработ|программ|фреймворк|бэкенд|фронтенд|тестирован|отладк|\bкод\b|компилят|нейросет"
+)
+ALONE = r"(?i)(?<![0-9A-Za-z#+.]){}(?![0-9A-Za-z#+])"
 UNNAMED = "unnamed_playlist"
 
 
 def spelled_out(title: Column, context: Column | None = None) -> Column:
-    """C#, F# and C++ standing alone are written out, unless title and context speak more of music than of code."""
+    """C#, F#, J# and C++ standing alone are written out, unless title and context speak more of music than of code."""
     about = title if context is None else F.concat_ws(" ", title, context)
     music, code = F.regexp_count(about, F.lit(MUSIC)), F.regexp_count(about, F.lit(CODE))
-    named = F.regexp_replace(F.regexp_replace(title, r"(?i)(?<![\p{L}\p{N}_])([CF])#(?![\p{L}\p{N}_#])", "$1_sharp"), r"(?i)(?<![\p{L}\p{N}_])(C)\+\+(?![\p{L}\p{N}_+])", "$1pp")
+    named = F.regexp_replace(F.regexp_replace(title, ALONE.format("([cfj])#"), "$1_sharp"), ALONE.format(r"(c)\+\+"), "$1pp")
     return F.when((music > 0) & (code < music), title).otherwise(named)
 
 
@@ -189,21 +194,32 @@ def same_title(a: Column, b: Column, least: int = 20) -> Column:
 ABBREVIATIONS = "np itd itp tzw tj ok r w ul dr prof mgr godz str nr cd m in por gen płk św ww jw".split()
 
 
-def sentences_by_capital(text: Column, abbreviations: list[str] | None = None) -> Column:
-    """Sentences that end before a capital, quote or bracket; with ``abbreviations`` not after one of these or a lone letter."""
+def sentences_by_capital(text: Column) -> Column:
+    """Sentences that end before a capital, quote or bracket."""
     marked = F.regexp_replace(text, r"([.!?…]+[\"»)\]]*)\s+(?=[\"«(\[–—A-ZА-ЯЁ])", "$1\u0001")
     pieces = F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    if abbreviations is None:
-        return F.filter(pieces, lambda x: x != "")
+    return F.filter(pieces, lambda x: x != "")
 
-    def glue(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        word = F.lower(F.regexp_extract(F.regexp_replace(last, r"[.!?…]+[\"»)\]]*$", ""), r"([^\s(«„\"]*)$", 1))
-        goes_on = last.isNotNull() & (word.isin(abbreviations) | (F.length(word) <= 1))
-        joined = F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.concat_ws(" ", last, x))
-        return F.when(goes_on, joined).otherwise(F.array_append(done, x))
 
-    return F.aggregate(F.filter(pieces, lambda x: x != ""), F.array().cast("array<string>"), glue)
+def sentences_by_abbreviation(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
+    """Sentences that end at . ! ? … and white space, whatever follows, but not after an abbreviation or a lone letter.
+
+    Quotes and brackets that close a sentence are left out with the white space after it.
+    """
+    marked = F.regexp_replace(text, r"(?<=[.!?…])([\"»”')\]]*\s+)", "\u0001$1\u0002")
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    def step(s: Column, x: Column) -> Column:
+        gap, rest = F.substring_index(x, "\u0002", 1), F.substring_index(x, "\u0002", -1)
+        last = F.lower(F.regexp_extract(F.regexp_replace(s["now"], "[.]+$", ""), r"([^\s(«„\"]*)$", 1))
+        goes_on = last.isin(abbreviations) | (F.length(last) <= 1)
+        done = F.when(goes_on, s["done"]).otherwise(F.array_append(s["done"], bare(s["now"])))
+        return F.struct(done.alias("done"), F.when(goes_on, F.concat(s["now"], gap, rest)).otherwise(rest).alias("now"))
+
+    pieces = F.split(marked, "\u0001")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.get(pieces, F.lit(0)).alias("now"))
+    last = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda s: F.when((bare(s["now"]) != "") | (F.size(s["done"]) == 0), F.array_append(s["done"], bare(s["now"]))).otherwise(s["done"]))
+    return F.when(text.isNotNull(), last)
 
 
 def respelled(text: Column, spelling: dict[str, str]) -> Column:

@@ -397,3 +397,15 @@ def phase_scan(t):
     named = met.withColumn("phase", phase).withColumn("heading", F.when((F.col("phase") == "main") & (F.regexp_count("head", F.lit(r"[^\x20\x09-\x0D]+")) <= 6), F.col("head")))
     out = state_scan.filled(named, ["source"], block, "doc_id", "heading", "section")
     return out.select("doc_id", "phase", F.when(F.col("phase") == "main", F.col("section")).alias("section"))
+
+
+SPLITS = r"""select doc_id, len(o)::int as n, sha256(array_to_string(o, chr(10))) as sentences_sha256 from ({})"""
+
+
+@query(SPLITS.replace("{}", r"""select doc_id, case when bare <> '' or len(done) = 0 then list_append(done, bare) else done end as o from (select doc_id, r.done as done, regexp_replace(r.now, '^\s+|\s+$', '', 'g') as bare from (
+  select doc_id, list_reduce(list_transform(string_split(regexp_replace(text, '([.!?…])(["»”'')\]]*\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)), lambda x: {'now': x, 'done': []::varchar[]}),
+    lambda a, x: case when length(regexp_extract(regexp_replace(a.now, '[.]+$', ''), '([^\s(«„"]*)$', 1)) <= 1 or lower(regexp_extract(regexp_replace(a.now, '[.]+$', ''), '([^\s(«„"]*)$', 1)) in (ABBR)
+      then {'now': a.now || replace(x.now, chr(2), ''), 'done': a.done} else {'now': split_part(x.now, chr(2), 2), 'done': list_append(a.done, regexp_replace(a.now, '^\s+|\s+$', '', 'g'))} end) as r from documents))""").replace("ABBR", ", ".join(f"'{x}'" for x in c.ABBREVIATIONS)))
+def sentences_abbreviations(t):
+    """Sentences of each document; abbreviations and lone letters end none."""
+    return t.documents.select("doc_id", c.sentences_by_abbreviation(F.col("text")).alias("o")).select("doc_id", F.size("o").alias("n"), F.sha2(F.array_join("o", "\n"), 256).alias("sentences_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.functions import columns as c
@@ -102,22 +102,23 @@ def page_break_join(t):
 def by_key(df, key, order, start, schema):
     """Rows of each key in order through a function with state, batch by batch: a key of any size needs only its state in memory.
 
-    ``start()`` gives a function of one row (a tuple of the columns) for each key; it gives the output row.
+    ``start()`` gives a function of one row (a tuple of the columns) for each key; it gives the output row. A null key is a key.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    out = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
     def run(batches):
         now, go = object(), None
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False, name=None):
+            rows = []
+            for row in zip(*(column.to_pylist() for column in b.columns)):
                 if row[0] != now:
                     now, go = row[0], start()
-                out.append(go(row))
-            yield pd.DataFrame(out, columns=names)
+                rows.append(go(row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(out)], schema=out)
 
     placed = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
-    return placed.mapInPandas(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 @query("""with h as (select user_id, list(event_id order by ts, event_id) as ids, list({'v': value, 'last': null::double, 'out': []::varchar[]} order by ts, event_id) as vs from events group by 1),

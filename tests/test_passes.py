@@ -102,8 +102,13 @@ def test_names(spark):
     assert v(c.slug(F.lit("Song in C#: guitar chords"))) == "song_in_c_guitar_chords" and v(c.slug(F.lit("!!!"))) == "unnamed_playlist" and v(c.slug(F.lit("日本 語"))) == "日本_語"
     assert v(c.anchor(F.lit("a:b Żółć"))) == "a-b-zolc" and v(c.anchor(F.lit("Глава 1: начало"), any_script=True)) == "глава-1-начало" and v(c.anchor(F.lit("Глава"))) == ""
     assert v(c.same_title(F.lit("Rozdział I."), F.lit("rozdzial  i"))) and not v(c.same_title(F.lit("a"), F.lit("!")))
-    assert v(c.sentences_by_capital(F.lit("Mr. X saw prof. Kot. He left. i.e. so. Then"), c.ABBREVIATIONS)) == ["Mr.", "X saw prof. Kot.", "He left. i.e. so.", "Then"]
-    assert v(c.sentences_by_capital(F.lit("A. Kot przyszedł. «Tak!» Nie."), c.ABBREVIATIONS)) == ["A. Kot przyszedł.", "«Tak!»", "Nie."]
+    assert v(c.sentences_by_capital(F.lit("Mr. X saw it. he left. Then"))) == ["Mr.", "X saw it. he left.", "Then"]
+    split = lambda x: v(c.sentences_by_abbreviation(F.lit(x)))
+    assert split("to jest koniec. potem dalej.") == ["to jest koniec.", "potem dalej."]
+    assert split("Mr. X saw prof. Kot. He left. i.e. so. Then") == ["Mr.", "X saw prof. Kot.", "He left.", "i.e.", "so.", "Then"]
+    assert split("A. Kot przyszedł. «Tak!» Nie.") == ["A. Kot przyszedł.", "«Tak!", "Nie."]
+    assert split("wiek np. (str. 5) itd. Dalej? ") == ["wiek np. (str. 5) itd. Dalej?"] and split("  ") == [""] and split("bez kropki") == ["bez kropki"]
+    assert v(c.slug(F.lit("Violin scales: C#"))) == "violin_scales_c" and v(c.slug(F.lit("J# and F# code"))) == "j_sharp_and_f_sharp_code" and v(c.slug(F.lit("Chord c#7"))) == "chord_c_7"
     assert v(c.respelled(F.lit("The THE the, them"), {"the": "ye"})) == "Ye YE ye, them"
     assert v(c.excel_alias(F.lit(702))) == "#AAA" and v(c.excel_alias(F.lit(475254))) == "#AAAAA"
     assert v(c.normalize_handle(F.lit("https://x.test/@name/videos"))) == "@name" and v(c.safe_name(F.lit('a:b  c?'))) == "a_b c_"

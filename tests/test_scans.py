@@ -114,3 +114,20 @@ def test_anchors(spark):
     said = spark.createDataFrame([(0, "alpha"), (1, "Alphas and bravo"), (2, "extraordinary!")], "sentence int, text string").withColumn("key", F.lit(0))
     assert sorted((r["bullet"], r["sentence"]) for r in anchors.anchors(said, one).collect()) == [(0, 1), (1, 2)]
     assert sorted((r["bullet"], r["sentence"]) for r in anchors.anchors(said, one, stop=("alpha",)).collect()) == [(1, 2)]
+
+
+def test_null_labels(spark, tmp_path):
+    """Rows without label are one group like any other, in the query and in its SQL."""
+    import duckdb
+
+    from loomtext.plans import catalog
+
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(4)]
+    rows = [(i, vectors[rng.randrange(4)], rng.choice([None, 1, 2])) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["merge_similar"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["merge_similar"](spark, str(tmp_path)).select("label", "vec_id", "grp").collect()), key=repr) == sorted(want, key=repr)
+    assert max(r[2] for r in want if r[0] is None) > 3
