@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
+from loomtext.operators import edges
 from loomtext.operators import frames as f
 from loomtext.plans.registry import query
 
@@ -160,3 +161,26 @@ def vector_growth(t):
     pairs = with_vector_before(t).where("p is not null").select("vec_id", F.arrays_zip("embedding", "p").alias("z"))
     on = lambda x: x.cast("double") > 0.1
     return pairs.select("vec_id", F.size(F.filter("z", lambda x: on(x["embedding"]) & ~on(x["p"]))).cast("long").alias("grown"), F.size(F.filter("z", lambda x: on(x["embedding"]) & on(x["p"]))).cast("long").alias("kept"))
+
+
+def near_sql(cells):
+    """SQL for whether cell i (from 1) of a picture of eight columns, or one that touches it, is set."""
+    return "(" + " or ".join(f"((i - 1) % 8 + {c} between 0 and 7 and i + {8 * r + c} >= 1 and coalesce({cells}[i + {8 * r + c}], false))" for r in (-1, 0, 1) for c in (-1, 0, 1)) + ")"
+
+
+@query(f"""with v as materialized (select vec_id, label, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as p from embeddings),
+c as (select label, i, avg((abs(e[i] - p[i]) > 0.2)::int) >= 0.36 as restless from v, (select unnest(range(1, 65)) as i) where p is not null group by all),
+r as (select label, list(restless order by i) as r from c group by 1), g as (select label, list_transform(range(1, 65), lambda i: not {near_sql("r")}) as m from r),
+m as materialized (select label, case when len(list_filter(m, lambda x: x)) >= 0.25 * 64 then m end as m from g),
+s as materialized (select vec_id, list_transform(range(1, 65), lambda i: e[i] > 0.1 and coalesce(m[i], m is null)) as a, list_transform(range(1, 65), lambda i: p[i] > 0.1 and coalesce(m[i], m is null)) as b, m is not null as masked from v left join m on v.label is not distinct from m.label where p is not null),
+x as (select *, list_filter(range(1, 65), lambda i: a[i] and not {near_sql("b")}) as new, len(list_filter(range(1, 65), lambda i: b[i] and {near_sql("a")})) as still from s),
+q as (select vec_id, round(quantile_cont((i - 1) // 8, 0.05) / 8.0, 6) as low, round(quantile_cont((i - 1) // 8, 0.95) / 8.0, 6) as high from (select vec_id, unnest(new) as i from x) group by 1)
+select vec_id, masked, len(new) as new, round(len(new) / greatest(1, len(list_filter(a, lambda y: y))), 6) as share, round(still / greatest(1, len(list_filter(b, lambda y: y))), 6) as kept, coalesce(low, 0.0)::double as low, coalesce(high, 0.0)::double as high from x left join q using (vec_id)""")
+def masked_growth(t):
+    """Vectors of a label as pictures of eight rows: what grew from one to the next outside the cells that never rest."""
+    pairs = with_vector_before(t).where("p is not null")
+    masks = edges.restless(pairs, "label", "p", "embedding", 8, 0.2, 0.36, 0.25)
+    met = f.same_block(pairs, masks, ["label"])
+    on = lambda v: F.when(F.col("mask").isNull(), F.transform(v, lambda x: x.cast("double") > 0.1)).otherwise(F.zip_with(v, "mask", lambda x, m: (x.cast("double") > 0.1) & m))
+    g = met.select("vec_id", F.col("mask").isNotNull().alias("masked"), edges.growth(on(F.col("p")), on(F.col("embedding")), 8).alias("g"))
+    return g.select("vec_id", "masked", "g.new", F.round("g.share", 6).alias("share"), F.round("g.kept", 6).alias("kept"), F.round("g.low", 6).alias("low"), F.round("g.high", 6).alias("high"))
