@@ -24,6 +24,8 @@ from loomtext.llm import store, text
 SYMBOLS = "[#*$%&|<>]"
 #: Buckets for each doubling of a value: a quantile is off by 1/32 of its value at most.
 STEPS = 32
+#: A language's sorted counts, up to STEPS * 64 of them in a row, are broadcast up to so many rows.
+WIDE_ROWS = 2000
 #: Documents that the parent's sketch counts as beside a sketch's own.
 PRIOR = 100
 
@@ -125,31 +127,64 @@ def cumulated(sketches: DataFrame, grid: DataFrame, keys: list[str], name: str)
     return met.withColumn(name, F.sum("n").over(group.orderBy("bucket"))).withColumn(f"n_{name}", F.sum("n").over(group)).drop("n")
 
 
-def pooled(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """The sketch of every language and source pooled with those of its language and of all: lang, source, signal, bucket, n_docs, upto, total.
+def priors(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """What a source leans on: for every language and signal, the documents up to each bucket of its sketch pooled with that of all, as ``prior`` documents in the end.
 
     A sketch has at most STEPS buckets for each bit of a 64-bit number, so the
-    buckets of all documents, a few thousand, are broadcast to every group.
+    buckets of all documents, a few thousand, are broadcast to every language.
     """
-    n_docs = lambda keys: merge(sketches, keys)
-    every = store.table(n_docs([]), "overall")
+    every = store.table(merge(sketches, []), "overall")
     whole = cumulated(every, every.select("signal", "bucket"), [], "c_all")
-    langs = sketches.select("lang", "signal").distinct().join(F.broadcast(whole), "signal")
-    langs = store.table(cumulated(n_docs(["lang"]), langs, ["lang"], "c_lang"), "languages")
-    groups = sketches.select("lang", "source", "signal").distinct().withColumnRenamed("lang", "_lang").withColumnRenamed("signal", "_signal")
-    grid = store.join_small(groups, langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("signal") == F.col("_signal")), "inner").drop("_lang", "_signal")
-    own = cumulated(sketches, grid, ["lang", "source"], "c_own")
+    grid = sketches.select("lang", "signal").distinct().join(F.broadcast(whole), "signal")
     k = F.lit(float(prior))
     of_lang = F.col("c_lang") + k * F.col("c_all") / F.col("n_c_all")
-    return own.select("lang", "source", "signal", "bucket", F.col("n_c_own").alias("n_docs"), (F.col("c_own") + k * of_lang / (F.col("n_c_lang") + k)).alias("upto"), (F.col("n_c_own") + k).alias("total"))
+    return cumulated(merge(sketches, ["lang"]), grid, ["lang"], "c_lang").select("lang", "signal", "bucket", (k * of_lang / (F.col("n_c_lang") + k)).alias("lean"))
+
+
+def first_where(items: Column, holds) -> Column:
+    """The first item for which ``holds`` in an array where it holds from some item on, by halving; null if for none."""
+    ends = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        there = F.coalesce(holds(F.get(items, mid)), F.lit(True))
+        return F.when(s["low"] >= s["high"], s).when(there, F.struct(s["low"].alias("low"), mid.alias("high"))).otherwise(F.struct((mid + 1).alias("low"), s["high"].alias("high")))
+
+    return F.get(items, F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(items)))), ends, halve, lambda s: s["low"]))
+
+
+def quartiles(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """Quartiles of the sketch of every language and source pooled with ``priors``: lang, source, signal, n_docs, q1, q3.
+
+    One row for each group holds its own buckets alone. Between two of them only
+    the language's counts rise, so a quartile lies at the first own bucket that
+    reaches its share, or before it where the language's sorted counts do.
+    """
+    leans = store.table(priors(sketches, prior), "leans").select(F.col("lang").alias("_lang"), F.col("signal").alias("_signal"), F.col("bucket").alias("_bucket"), "lean")
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("signal") == F.col("_signal"))
+    met = store.join_small(sketches, leans, same & (F.col("bucket") == F.col("_bucket")), "inner")
+    own = met.groupBy("lang", "source", "signal").agg(F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("bucket", "n", "lean"))).alias("own"))
+    rising = leans.groupBy("_lang", "_signal").agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("bucket"), "lean"))).alias("rising"))
+    rows = store.join_small(own, store.table(rising, "rising"), same, "inner", limit=WIDE_ROWS)
+
+    def quartile(part: int) -> Column:
+        reached = lambda n, lean: (n + lean) * 4 >= (F.col("n_docs") + float(prior)) * (part - 1e-9)
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("int").alias("hit"))
+
+        def step(s: Column, x: Column) -> Column:
+            upto = s["before"] + x["n"]
+            there = reached(upto, x["lean"])
+            return F.when(s["hit"].isNotNull(), s).otherwise(F.struct(F.when(there, s["before"]).otherwise(upto).alias("before"), F.when(there, x["bucket"]).alias("hit")))
+
+        return text.let(F.aggregate("own", start, step), lambda s: F.least(s["hit"], first_where(F.col("rising"), lambda x: reached(s["before"], x["lean"]))["bucket"]))
+
+    at = rows.select("lang", "source", "signal", "n_docs", quartile(1).alias("b1"), quartile(3).alias("b3"))
+    return at.select("lang", "source", "signal", "n_docs", bucket_low(F.col("b1")).alias("q1"), bucket_low(F.col("b3")).alias("q3"))
 
 
 def fences(sketches: DataFrame, reach: int, rules=RULES, prior: int = PRIOR) -> DataFrame:
-    """Quartiles of every pooled sketch and the fences they imply: lang, source, n_docs, and lo_/hi_ for each signal."""
-    quart = pooled(sketches, prior).groupBy("lang", "source", "signal").agg(
-        F.max("n_docs").alias("n_docs"),
-        *[bucket_low(F.min(F.when(F.col("upto") * 4 >= F.col("total") * (k - 1e-9), F.col("bucket")))).alias(f"q{k}") for k in (1, 3)],
-    )
+    """The fences that the quartiles of every pooled sketch imply: lang, source, n_docs, and lo_/hi_ for each signal."""
+    quart = quartiles(sketches, prior)
     at = lambda c, r: F.max(F.when(F.col("signal") == r.signal, F.col(c)))
     wide = [F.max("n_docs").alias("n_docs")]
     for r in rules:
