@@ -210,12 +210,13 @@ def sentence_spots(segments: Column) -> Column:
     return once(segments, of)
 
 
-def refined(sections: Column, segments: Column) -> Column:
+def refined(sections: Column, segments: Column, announced=None) -> Column:
     """Section starts moved off the middle of sentences: structs (start, moved) for sections (start, end).
 
     A boundary whose last segment before it ends no sentence goes to the cheapest
     spot between LEAST_SECTION after the section before (as moved) and
     LEAST_SECTION before its own end, BACK behind to AHEAD; ahead costs more.
+    ``announced(section, low, boundary)``, if given, may name an earlier start.
     """
     both = F.struct(sections.alias("c"), segments.alias("g"), sentence_spots(segments).alias("spots"))
 
@@ -230,6 +231,8 @@ def refined(sections: Column, segments: Column) -> Column:
             best = F.array_min(F.transform(F.filter(v["spots"], lambda t: t.between(low, high)), lambda t: F.struct(cost(t).alias("cost"), t.alias("t"))))["t"]
             torn = (at > 0) & last.isNotNull() & ~ends_sentence(last["text"]) & (low < high)
             start = F.when(torn, F.coalesce(best, change)).otherwise(change)
+            if announced:
+                start = once(start, lambda b: F.when((at > 0) & (low < high), F.coalesce(announced(x, low, b), b)).otherwise(b))
             return {"before": start, "out": F.array_append(s["out"], F.struct(start.alias("start"), (F.abs(start - change) >= LEAST_MOVE).alias("moved")))}
 
         return scan(v["c"], state, step)["out"]

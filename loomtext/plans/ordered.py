@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.functions import columns as c
+from loomtext.operators import announcements
 from loomtext.operators import passes as p
 from loomtext.plans.registry import query
 
@@ -191,3 +192,69 @@ def portion_cut(t):
 select doc_id, sha256(array_to_string(list_transform(w, lambda x, k: case when new[k] is null then x when x = upper(x) and length(x) > 1 then upper(new[k]) when x[1] = upper(x[1]) then upper(new[k][1]) || new[k][2:] else new[k] end), '')) as respelled_sha256 from w""")
 def respell(t):
     return t.documents.select("doc_id", F.sha2(c.respelled(F.col("text"), {"the": "ye", "und": "vnd", "que": "qve"}), 256).alias("respelled_sha256"))
+
+
+TIMED = r"""
+w as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, w, list_transform(range(0, (len(w) - 1) // 8 + 1), lambda k: {'s': k * 5.0e0, 'e': k * 5.0e0 + 4.0e0, 't': array_to_string(w[k * 8 + 1:k * 8 + 8], ' ')}) as g from w where len(w) > 0),
+x as (select doc_id, unnest(range(1, len(g) + 1)) as k, unnest(g) as x from g),
+y as (select doc_id, k, x, string_split(regexp_replace(x.t, '([.!?…]+["»)\]]*\s+)(["«(\[–—A-ZА-ЯЁ])', '\1' || chr(1) || '\2', 'g'), chr(1)) as p from x),
+z as (select doc_id, k, x, p, unnest(range(1, len(p) + 1)) as i from y),
+f as (select doc_id, k, i, x.s + (x.e - x.s) * least(1.0e0, length(array_to_string(p[1:i - 1], '')) / greatest(1, length(x.t))) as s, regexp_replace(p[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as t from z),
+b as (select *, coalesce(lag(regexp_matches(t, '[.!?…]["»)\]]*$')) over o, true) as b from f where t <> '' window o as (partition by doc_id order by k, i)),
+n as (select *, sum(b::int) over (partition by doc_id order by k, i) as n from b),
+s as (select doc_id, n, min_by(s, (k, i)) as s, string_agg(t, ' ' order by k, i) as t from n group by all)"""
+
+
+def timed_documents(t):
+    """doc_id, words and each text as segments (start, end, text) of eight words in five seconds."""
+    words = t.documents.select("doc_id", c.spaced_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    segments = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8)), lambda k: F.struct((k * 5.0).alias("start"), (k * 5.0 + 4.0).alias("end"), F.array_join(F.slice("w", (k * 8 + 1).cast("int"), 8), " ").alias("text")))
+    return words.select("doc_id", "w", segments.alias("g"))
+
+
+@query(f"with {TIMED} select doc_id, (n - 1)::int as sentence, s as start, sha256(t) as text_sha256 from s")
+def timed_sentences(t):
+    """Sentences with the time of their first word; those torn between segments are glued."""
+    each = timed_documents(t).select("doc_id", F.posexplode(announcements.timed_sentences(F.col("g"))).alias("sentence", "x"))
+    return each.select("doc_id", "sentence", "x.start", F.sha2("x.text", 256).alias("text_sha256"))
+
+
+@query(rf"""with recursive {TIMED},
+h as materialized (select doc_id, unnest(range(0, (len(g) - 1) // 12 + 1)) as j, (len(g) - 1) // 12 + 1 as sections, len(g) * 5.0e0 as seconds, w from g),
+hw as (select distinct doc_id, j, sections, unnest(regexp_extract_all(lower(array_to_string(w[j * 96 + 1:j * 96 + 8], ' ')), '[a-z]{{4,}}')) as word from h),
+kw as (select * from hw where word not in ({", ".join(f"'{x}'" for x in announcements.COMMON)}) qualify count(*) over (partition by doc_id, word) <= greatest(1, sections // 3)),
+wanted as (select h.doc_id, h.j, coalesce(list(word) filter (word is not null), []) as words from h left join kw on kw.doc_id = h.doc_id and kw.j = h.j group by h.doc_id, h.j),
+sp as materialized (select doc_id, x.s + (x.e - x.s) * unnest(list_transform(range(1, len(q)), lambda i: length(array_to_string(q[1:i], ' ')))) / length(x.t) as spot from (select doc_id, x, string_split(regexp_replace(x.t, '([.!?…])[\x20\x09-\x0D]', '\1' || chr(1), 'g'), chr(1)) as q from x)
+       union all select a.doc_id, z.x.s from x a join x z on z.doc_id = a.doc_id and z.k = a.k + 1 where regexp_matches(a.x.t, '[.!?…]["»)\]]*$')),
+spots as (select h.doc_id, j, list(spot) as spots from h join sp on sp.doc_id = h.doc_id and spot between j * 60 - 20 and j * 60 + 12 group by all),
+said as (select h.doc_id, j, list({{'s': s, 't': t, 'p': length(t) % 4 * 0.5e0}} order by n) as said from h join s on s.doc_id = h.doc_id and s between j * 60 - 23 and j * 60 + 15 group by all),
+d as materialized (select h.doc_id, h.j, seconds, x.t as ahead, coalesce(spots, []) as spots, coalesce(said, []) as said, words from h join wanted on wanted.doc_id = h.doc_id and wanted.j = h.j
+      left join x on x.doc_id = h.doc_id and x.k = 12 * h.j left join spots on spots.doc_id = h.doc_id and spots.j = h.j left join said on said.doc_id = h.doc_id and said.j = h.j),
+r as (
+  select doc_id, 0::bigint as j, 0.0e0 as start, 0.0e0 as change from h where j = 0
+  union all
+  select doc_id, j, coalesce(case when low < high and len(regexp_extract_all(l.t, '[^\x20\x09-\x0D]+')) <= 25
+      and coalesce(list_max(list_transform(list_filter(said, lambda q: l.s between q.s - q.p - 0.7e0 and q.s + 0.7e0 and q.p > 0), lambda q: q.s - (q.s - q.p))), 0) >= 1.0e0
+      and (regexp_matches(l.t, '(?i)(^|[^\p{{L}}\p{{N}}_])(слайд|this slide|next slide|last slide)') or len(list_filter([{", ".join("'" + x.replace("'", "''") + "'" for x in announcements.MOVING_ON)}], lambda m: contains(lower(l.t), m))) > 0
+        or len(list_filter(regexp_extract_all(lower(array_to_string(list_transform(list_filter(said, lambda q: q.s >= l.s and q.s < b), lambda q: q.t), ' ')), '[\p{{L}}\p{{N}}_]+'), lambda y: len(list_filter(words, lambda m: starts_with(y, m))) > 0)) > 0)
+      then l.s end, b) as start, change
+  from (select *, list_filter(said, lambda q: q.s >= low and q.s < b - 0.05e0)[-1] as l
+    from (select *, case when low < high and not regexp_matches(ahead, '[.!?…]["»)\]]*$')
+          then coalesce(list_min(list_transform(list_filter(spots, lambda t: t between low and high), lambda t: {{'cost': case when t <= change then change - t else 1.5e0 * (t - change) end, 't': t}})).t, change) else change end as b
+      from (select d.*, (r.j + 1) * 60.0e0 as change, greatest(r.start + 15, (r.j + 1) * 60.0e0 - 20) as low,
+              least(least((r.j + 2) * 60.0e0, seconds) - 15, (r.j + 1) * 60.0e0 + 12) as high
+        from r join d on d.doc_id = r.doc_id and d.j = r.j + 1))))
+select doc_id, j::int as section, start, abs(start - change) >= 0.05e0 as moved from r""")
+def announced_starts(t):
+    """Sections of a minute over each text, headed by their first eight words: their starts, moved to sentence ends and announcements.
+
+    Texts have no pauses, so the pause before a sentence comes from its length.
+    """
+    rows = timed_documents(t)
+    heading = lambda j: F.array_join(F.slice("w", (j * 96 + 1).cast("int"), 8), " ")
+    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 12)), lambda j: F.struct((j * 60.0).alias("start"), F.least((j + 1) * 60.0, F.size("g") * 5.0).alias("end"), heading(j).alias("heading")))
+    long = lambda s: F.length(s["text"]) % 4 * 0.5
+    silences = F.filter(F.transform(announcements.timed_sentences(F.col("g")), lambda s: F.struct((s["start"] - long(s)).alias("start"), s["start"].alias("end"))), lambda q: q["end"] > q["start"])
+    moved = announcements.refined(sections, F.col("g"), F.col("g"), silences)
+    return rows.select("doc_id", F.posexplode(moved).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
