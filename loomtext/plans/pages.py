@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loomtext.functions import columns as c
 from loomtext.operators import frames as f
+from loomtext.operators import rendering
 from loomtext.plans.registry import query
 
 
@@ -93,3 +94,48 @@ def first_seen_concat(t):
     pieces = F.array_sort(F.collect_list(F.struct("turn", "text")))
     blocks = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first"), F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("text"))
     return f.ordered_text(blocks.withColumn("text", F.concat_ws(": ", "role", "text")), ["conv_id"], "first", "text", "\n")
+
+
+NESTED = r"""
+k as (select page_id, unnest(range(len(l))) as k, unnest(l) as t from (select page_id, list_filter(string_split(regexp_replace(html, '(</?[A-Za-z_][\w.:-]*(?:\s[^<>]*?)?/?>)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from pages)),
+m as (select *, case when not regexp_matches(t, '^</?[A-Za-z_][\w.:-]*(?:\s[^<>]*?)?/?>$') then 0 when starts_with(t, '</') then -1 when ends_with(t, '/>') then 0 else 1 end as d from k),
+s as (select *, sum(d) over (partition by page_id order by k) as s from m),
+n as (select page_id, k, t, (s - least(0, min(s) over (partition by page_id order by k)) - greatest(d, 0))::int as depth from s)"""
+
+
+@query(f"with {NESTED} select page_id, count(*) as tokens, max(depth) as deepest, sha256(string_agg(depth || ' ' || t, chr(10) order by k)) as nested_sha256 from n group by 1")
+def page_nesting(t):
+    """The tags and texts of each page at their depth, which a stray closing tag never takes below zero."""
+    each = t.pages.select("page_id", rendering.nested(F.col("html")).alias("x")).where(F.size("x") > 0)
+    lines = F.array_join(F.transform("x", lambda x: F.concat(x["depth"].cast("string"), F.lit(" "), x["token"])), "\n")
+    return each.select("page_id", F.size("x").cast("long").alias("tokens"), F.array_max(F.transform("x", lambda x: x["depth"])).alias("deepest"), F.sha2(lines, 256).alias("nested_sha256"))
+
+
+@query(r"""with recursive
+e as (select conv_id, turn, role, text, row_number() over o as number, count(*) over (partition by conv_id) as total from conversations window o as (partition by conv_id order by turn)),
+l as materialized (select conv_id, turn, unnest(range(len(q))) as i, regexp_replace(unnest(q), '[\x20\x09-\x0D]+$', '') as line from (select conv_id, turn, string_split(replace(coalesce(text, ''), chr(9), '    '), chr(10)) as q from e)),
+w as (
+  select conv_id, turn, i, 1 as k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws, '' as line, '' as out from l where length(line) > 80
+  union all
+  select conv_id, turn, i, k + 1, ws, case when line = '' or length(line) + 1 + length(ws[k]) > 80 then ws[k] else line || ' ' || ws[k] end,
+         case when line <> '' and length(line) + 1 + length(ws[k]) > 80 then out || line || chr(10) else out end from w where k <= len(ws)),
+f as (select conv_id, turn, i, out || line as line from w where k = len(ws) + 1 union all select conv_id, turn, i, line from l where length(line) <= 80),
+m as (select conv_id, turn, string_agg(line, chr(10) order by i) as body from f group by all),
+r as (select e.*, body, repeat(case when upper(role) = 'USER' then '=' else '-' end, 80) as rule from e join m on m.conv_id = e.conv_id and m.turn = e.turn)
+select conv_id, turn, number::int as number, printf('%04d_', number) || role as name,
+       sha256(rule || chr(10) || '[' || number || '/' || total || '] ' || upper(role) || chr(10) || rule || chr(10) || chr(10) || body || chr(10)) as rendered_sha256 from r""")
+def chat_rendered(t):
+    """Each turn laid out for reading: heading, rules, lines wrapped to the width."""
+    got = rendering.events(t.conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text")
+    return got.select("conv_id", "turn", "number", "name", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+@query(r"""with c as (select page_id, list_transform(string_split(html, ''), lambda x: {'c': x, 'q': '', 'out': ''}) as c from pages where html <> ''),
+r as (select page_id, list_reduce(c, lambda a, x: case when a.q <> '' then {'c': '', 'q': case when x.c = a.q then '' else a.q end, 'out': a.out || x.c} when x.c in ('"', '''') then {'c': '', 'q': x.c, 'out': a.out || x.c}
+  when x.c = '|' then {'c': '', 'q': '', 'out': a.out || chr(1) || x.c} when x.c = ';' then {'c': '', 'q': '', 'out': a.out || x.c || chr(1)} else {'c': '', 'q': '', 'out': a.out || x.c} end, {'c': '', 'q': '', 'out': ''}).out as out from c),
+s as (select page_id, list_filter(list_transform(string_split(out, chr(1)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') as s from r)
+select page_id, len(s) as pieces, sha256(array_to_string(s, chr(10))) as pieces_sha256 from s""")
+def quoted_pieces(t):
+    """Each page's source cut at the semicolons and pipes outside its quotes."""
+    cut = t.pages.where("html <> ''").select("page_id", rendering.command_pieces(F.col("html")).alias("s"))
+    return cut.select("page_id", F.size("s").cast("long").alias("pieces"), F.sha2(F.array_join("s", "\n"), 256).alias("pieces_sha256"))
