@@ -170,16 +170,6 @@ def merge_similar(t):
     return by_key(t.embeddings.select("label", "vec_id", "embedding"), "label", ["vec_id"], start, "label int, vec_id long, grp long")
 
 
-@query()
-def boundary_refine(t):
-    """Sections of a minute over each text, as segments of eight words in five seconds: their starts, moved to sentence ends."""
-    words = t.documents.select("doc_id", c.spaced_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    segments = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8)), lambda k: F.struct((k * 5.0).alias("start"), (k * 5.0 + 4.0).alias("end"), F.array_join(F.slice("w", (k * 8 + 1).cast("int"), 8), " ").alias("text")))
-    rows = words.select("doc_id", segments.alias("g"))
-    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 12)), lambda j: F.struct((j * 60.0).alias("start"), F.least((j + 1) * 60.0, F.size("g") * 5.0).alias("end")))
-    return rows.select("doc_id", F.posexplode(p.refined(sections, F.col("g"))).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
-
-
 @query()
 def portion_cut(t):
     """Half of each text by sections (lines) and sentences; a text no cut fits says so."""
@@ -258,3 +248,22 @@ def announced_starts(t):
     silences = F.filter(F.transform(announcements.timed_sentences(F.col("g")), lambda s: F.struct((s["start"] - long(s)).alias("start"), s["start"].alias("end"))), lambda q: q["end"] > q["start"])
     moved = announcements.refined(sections, F.col("g"), F.col("g"), silences)
     return rows.select("doc_id", F.posexplode(moved).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
+
+
+@query(rf"""with recursive {TIMED.split("y as (")[0].rstrip().rstrip(",")},
+h as materialized (select doc_id, unnest(range(0, (len(g) - 1) // 12 + 1)) as j, len(g) * 5.0e0 as seconds from g),
+sp as (select doc_id, x.s + (x.e - x.s) * unnest(list_transform(range(1, len(q)), lambda i: length(array_to_string(q[1:i], ' ')))) / length(x.t) as spot from (select doc_id, x, string_split(regexp_replace(x.t, '([.!?…])[\x20\x09-\x0D]', '\1' || chr(1), 'g'), chr(1)) as q from x)
+       union all select a.doc_id, z.x.s from x a join x z on z.doc_id = a.doc_id and z.k = a.k + 1 where regexp_matches(a.x.t, '[.!?…]["»)\]]*$')),
+near as (select h.doc_id, j, list(spot) as spots from h join sp on sp.doc_id = h.doc_id and spot between j * 60 - 20 and j * 60 + 12 group by all),
+d as materialized (select h.*, regexp_matches(x.t, '[.!?…]["»)\]]*$') as whole, coalesce(spots, []) as spots from h left join x on x.doc_id = h.doc_id and x.k = 12 * h.j left join near on near.doc_id = h.doc_id and near.j = h.j),
+r as (
+  select doc_id, 0::bigint as j, 0.0e0 as start, 0.0e0 as change from h where j = 0
+  union all
+  select doc_id, j, case when low < high and not whole
+         then coalesce(list_min(list_transform(list_filter(spots, lambda t: t between low and high), lambda t: {{'cost': case when t <= change then change - t else 1.5e0 * (t - change) end, 't': t}})).t, change) else change end as start, change
+  from (select d.*, d.j * 60.0e0 as change, greatest(r.start + 15, d.j * 60.0e0 - 20) as low, least(least((d.j + 1) * 60.0e0, seconds) - 15, d.j * 60.0e0 + 12) as high from r join d on d.doc_id = r.doc_id and d.j = r.j + 1))
+select doc_id, j::int as section, start, abs(start - change) >= 0.05e0 as moved from r""")
+def boundary_refine(t):
+    """Sections of a minute over each text, as segments of eight words in five seconds: their starts, moved to sentence ends."""
+    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 12)), lambda j: F.struct((j * 60.0).alias("start"), F.least((j + 1) * 60.0, F.size("g") * 5.0).alias("end")))
+    return timed_documents(t).select("doc_id", F.posexplode(p.refined(sections, F.col("g"))).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
