@@ -273,3 +273,14 @@ def portion(sections: Column, percent: float, least: int = 5000, low: float = 0.
         return scan(v, state, step)
 
     return once(measured, of)
+
+
+def beginning(paragraphs: Column, budget: Column) -> Column:
+    """The paragraphs from the first that fit a budget of characters; the first that would exceed it ends them, but one with text always stays."""
+    state = {"used": F.lit(0).cast("long"), "open": F.lit(True), "n": F.lit(0)}
+
+    def step(s, x, at):
+        fits = s["open"] & ((s["used"] == 0) | (s["used"] + F.length(x) <= budget))
+        return {"used": F.when(fits, s["used"] + F.length(x)).otherwise(s["used"]), "open": fits, "n": s["n"] + fits.cast("int")}
+
+    return F.slice(paragraphs, F.lit(1), scan(paragraphs, state, step)["n"])

@@ -267,3 +267,21 @@ def boundary_refine(t):
     """Sections of a minute over each text, as segments of eight words in five seconds: their starts, moved to sentence ends."""
     sections = F.transform(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 12)), lambda j: F.struct((j * 60.0).alias("start"), F.least((j + 1) * 60.0, F.size("g") * 5.0).alias("end")))
     return timed_documents(t).select("doc_id", F.posexplode(p.refined(sections, F.col("g"))).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
+
+
+@query(r"""with recursive p as (select doc_id, source, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as p from documents),
+s as (select *, coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)::bigint as n from p),
+t as (select source, sum(n)::bigint as total from s group by 1),
+b as materialized (select doc_id, p, case when total <= 20000 then n else floor(n * (20000.0e0 / total))::bigint end as budget from s join t on t.source is not distinct from s.source),
+r as (select doc_id, p, budget, 0::bigint as k, 0::bigint as used from b
+      union all select doc_id, p, budget, k + 1, used + length(p[k + 1]) from r where k < len(p) and (used = 0 or used + length(p[k + 1]) <= budget))
+select doc_id, max(k) as kept, sha256(array_to_string(max_by(p, k)[1:max(k)], chr(10))) as kept_sha256 from r group by 1""")
+def budgeted_beginnings(t):
+    """The beginning of every document, so that those of a source share a budget of 20,000 characters by their length; whole paragraphs."""
+    paragraphs = F.filter(F.split("text", "\n"), lambda x: p.stripped(x) != "")
+    sized = t.documents.select("doc_id", "source", paragraphs.alias("p")).where("p is not null").withColumn("n", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+    totals = sized.groupBy(F.col("source").alias("_source")).agg(F.sum("n").alias("total"))
+    met = sized.join(totals, F.col("source").eqNullSafe(F.col("_source")))
+    budget = F.when(F.col("total") <= 20000, F.col("n")).otherwise(F.floor(F.col("n") * (F.lit(20000.0) / F.col("total"))))
+    kept = met.select("doc_id", p.beginning(F.col("p"), budget).alias("k"))
+    return kept.select("doc_id", F.size("k").cast("long").alias("kept"), F.sha2(F.array_join("k", "\n"), 256).alias("kept_sha256"))

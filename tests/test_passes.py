@@ -125,3 +125,9 @@ def test_long_tails(spark, tmp_path):
     rows = [(1, "Done." + " " * 41, "a", "en"), (2, "Next", "a", "en"), (3, "no end" + " " * 41, "a", "en"), (4, "Last", "a", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["doc_id"] for r in catalog.QUERIES["continuity_breaks"](spark, str(tmp_path)).collect()] == [3]
+
+
+def test_beginning(spark):
+    kept = lambda xs, n: one(spark, p.beginning(arr(xs, "string"), F.lit(n)))
+    assert kept(["aaaa", "bb", "cccc", "d"], 6) == ["aaaa", "bb"], "the first that doesn't fit ends them"
+    assert kept(["aaaa", "bb"], 1) == ["aaaa"] and kept([], 5) == [] and kept(["", "aaaa", "b"], 2) == ["", "aaaa"]
