@@ -34,9 +34,8 @@ SHARE = (75, 100)
 PERIOD = SHARE[1] // math.gcd(*SHARE)
 #: Members of a group, and tokens of their sets, about: a group has as many of either as leave the other below.
 MEMBERS, TOKENS = 64, 60_000
-#: Tokens of a group's prefixes that are listed in its rows of the matrix. A pair is then met at its first shared token
-#: only; without a list it is met at each and counted. Both ways open the same groups and more, and give the same links.
-LISTED = 512
+#: Rows of an Arrow batch between the JVM and Python: token sets and unions are held on both sides, outside the heap.
+BATCH = 200
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -172,6 +171,16 @@ def enough(c, n, lo, hi):
     return (first <= last) & (c >= F.least(need(first), *[need(F.greatest(first, last - i)) for i in range(PERIOD)]))
 
 
+def roughly(c, n, lo, hi):
+    """What must hold for ``enough``, in few operations: that rule is too long for the JVM to compile where every pair meets it.
+
+    Without rounding the need is a line in the other size up to n and another one beyond, so it is least at lo or hi.
+    """
+    x, y = SHARE
+    need = lambda m: x * (y * (m + n) - (x + y) * F.greatest(m, n))
+    return c * (y * (x + y)) >= F.least(need(lo), need(hi))
+
+
 def group_unions(sets: DataFrame, members: DataFrame) -> DataFrame:
     """The union of the tokens of each group (comp, sub), about MEMBERS documents of one component."""
 
@@ -203,24 +212,20 @@ def opened(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: D
 
 
 def candidates(tokens: DataFrame, members: DataFrame) -> DataFrame:
-    """The groups of other components that a document may have a link into, (doc_id, comp, sub), by the matrix of prefix tokens and groups."""
-    own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.count("*").alias("k"))  # one prefix
+    """The groups of other components that a document may have a link into, (doc_id, comp, sub), by the matrix of prefix tokens and groups.
+
+    A pair is met at each shared token and counted there: adding one up costs a small part of comparing prefixes,
+    and families of texts that are alike, but not enough, meet as often as the square of their size.
+    """
     placed = tokens.join(members.drop("n"), "doc_id")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_tokens = store.table(placed.join(mixed, "token", "left_semi").join(own, "doc_id"), "open")
-    group = [F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")]
-    whole = own.join(members, "doc_id").groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("u"), F.min("n").alias("w_lo"), F.max("n").alias("w_hi"), F.max("k").alias("w_k"))  # about MEMBERS prefixes
-    listed = F.size("u") <= LISTED
-    whole = whole.select("g_comp", "g_sub", F.when(listed, F.col("u")).alias("g_prefix"), *[F.when(listed, F.col(c)).alias(c) for c in ("w_lo", "w_hi", "w_k")])
-    matrix = open_tokens.groupBy("token", *group).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("k").alias("g_k")).join(whole, ["g_comp", "g_sub"])
-    # Where the group's prefix tokens are listed, a pair is met at its first shared token only, so the bounds there are those of all members.
-    matrix = matrix.select("token", "g_comp", "g_sub", "g_prefix", *[F.coalesce(w, c).alias(c) for w, c in (("w_lo", "lo"), ("w_hi", "hi"), ("w_k", "g_k"))])
+    open_tokens = store.table(placed.join(mixed, "token", "left_semi"), "open")
+    sizes = members.groupBy(F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = open_tokens.select("token", F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).distinct().join(sizes, ["g_comp", "g_sub"])
     near = (SHARE[1] * F.col("n") >= SHARE[0] * F.col("lo")) & (SHARE[1] * F.col("hi") >= SHARE[0] * F.col("n"))
-    sizes = F.col("n"), F.col("lo"), F.col("hi")
-    both = F.array_intersect("prefix", "g_prefix")
-    once = F.col("g_prefix").isNull() | ((F.get(both, F.lit(0)) == F.col("token")) & enough(F.size(both), *sizes))
-    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near & enough(F.least("k", "g_k"), *sizes) & once)
-    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.sum(F.when(F.col("g_prefix").isNull(), 1).otherwise(F.size(both))).alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near)
+    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = store.table(counted.where(roughly(*map(F.col, ("c", "n", "lo", "hi")))), "counted")
     return counted.where(enough(F.col("c"), F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "comp", "sub")
 
 
@@ -234,6 +239,12 @@ def join(docs: DataFrame) -> DataFrame:
     (any integer type, returned as bigint). Very long texts are read whole. Other
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    with store.batches_of(docs.sparkSession, BATCH):
+        return joined(docs)
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """The rows of ``join``."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = repeats.find(docs, "text", half_universe, "shingles", with_refs=False)
     info = repeats.info(found)

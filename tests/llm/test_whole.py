@@ -40,6 +40,26 @@ def test_first_shared_token_of_another_size(spark):
     assert sorted(map(tuple, ngram_join.candidates(tokens, members).collect())) == [(1, 2, 0)]
 
 
+def test_rough_need_never_shuts_a_group(spark):
+    """Whatever ``enough`` opens passes the short rule before it; the short rule shuts groups too."""
+    met = spark.range(0, 60).selectExpr("id * 3 as n").crossJoin(spark.range(1, 60).selectExpr("id * 3 as lo")).crossJoin(spark.range(0, 3).selectExpr("id * 25 as more")).crossJoin(spark.range(0, 12).selectExpr("id * 2 as c"))
+    each = met.select(ngram_join.enough(F.col("c"), F.col("n"), F.col("lo"), F.col("lo") + F.col("more")).alias("opens"), ngram_join.roughly(F.col("c"), F.col("n"), F.col("lo"), F.col("lo") + F.col("more")).alias("rough"))
+    got = {(r["opens"], r["rough"]): r["count"] for r in each.groupBy("opens", "rough").count().collect()}
+    assert (True, False) not in got and got[True, True] and got[False, False]
+
+
+def test_batches_of_sets_are_small(spark):
+    """Sets and unions cross to Python in small batches; the session keeps its own setting."""
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_join.candidates
+    before = spark.conf.get(key)
+    ngram_join.candidates = lambda *a: (seen.append(int(spark.conf.get(key))), plain(*a))[1]
+    try:
+        ngram_join.join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
+    finally:
+        ngram_join.candidates = plain
+    assert seen == [ngram_join.BATCH] and spark.conf.get(key) == before
+
+
 def test_least_need_of_inner_sizes(spark):
     """A group may be opened with as few shared prefix tokens as any size from lo to hi needs."""
     rest = lambda m: m - m // 4 - 1
