@@ -60,3 +60,12 @@ def test_model_stub(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "k long, p string")
     got = {r["k"]: r["answer"] for r in models.with_answers(df, "k", "p", models.StubModel()).collect()}
     assert got[1].startswith("a b #") and got[2] is None
+
+
+def test_sentences_by_abbreviation_beside_breaks(spark):
+    """Dots after a line break belong to no word, so they end nothing; long texts of many sentences are cut like short ones."""
+    cut = lambda t: one(spark, c.sentences_by_abbreviation(F.lit(t)))
+    assert cut("word\n.. next. end") == ["word\n.. next.", "end"]
+    assert cut("Św. Jan przyszedł. Był dr. Nowak! OK. a. (np. x) koniec.\" Dalej") == ["Św. Jan przyszedł.", "Był dr. Nowak!", "OK. a. (np. x) koniec.", "Dalej"]
+    assert cut("") == [""] and cut(" \n") == [""] and cut("a. ") == ["a."]
+    assert cut("One two. " * 3000) == ["One two."] * 3000
