@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, doc_id, n) for the rarest tokens of each set: two linked sets share at least one of them.
+    """(token, doc_id, n, at: its place from 0) for the rarest tokens of each set: two linked sets share at least one of them.
 
     A token's rarity is the number of sets that hold it, ties by its hash. Of n
     tokens the first n / 4 + 1 count; those that no other set holds come first
@@ -113,7 +113,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     held = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = each.join(held, "token").groupBy("doc_id", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))  # one set
     take = F.floor(F.col("n") * (SHARE[1] - SHARE[0]) / SHARE[1]) + 1 - (F.col("n") - F.size("met"))
-    return met.where(take > 0).select(F.explode(F.slice("met", F.lit(1), take.cast("int"))).alias("m"), "doc_id", "n").select("m.token", "doc_id", "n")
+    first = met.where(take > 0).select(F.posexplode(F.slice("met", F.lit(1), take.cast("int"))).alias("i", "m"), "doc_id", "n", (F.col("n") - F.size("met")).alias("alone"))
+    return first.select("m.token", "doc_id", "n", (F.col("alone") + F.col("i")).alias("at"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,20 +212,46 @@ def opened(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: D
     return verified(pairs, sets)
 
 
+def room(n, at):
+    """The size of the largest set that one of n tokens can link to, if the first token they share is at place ``at``: all they share is from there on."""
+    x, y = SHARE
+    return F.floor(((x + y) * (n - at) - x * n) / x)
+
+
+def meeting(tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """The distinct pairs (doc_id, comp, sub) of a document and a group of a later component that meet at a token which can be the first they share.
+
+    From that token on each side must hold what they have to share. In a family of texts that are alike, but not enough,
+    changed tokens come first and leave no room at those of the whole family, so its members don't meet there.
+    """
+    placed = tokens.withColumn("room", room(F.col("n"), F.col("at"))).join(members.drop("n"), "doc_id")
+    fit = placed.groupBy("token").agg(F.min("n").alias("least"), F.max("room").alias("most"))
+    fitting = store.table(placed.join(fit, "token").where("least <= room and n <= most").drop("least", "most"), "fitting")
+    mixed = fitting.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    open_tokens = store.table(fitting.join(mixed, "token", "left_semi"), "open")
+    matrix = open_tokens.groupBy("token", F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).agg(F.min("n").alias("g_lo"), F.max("room").alias("g_room"))
+    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & (F.col("g_lo") <= F.col("room")) & (F.col("n") <= F.col("g_room")))
+    return met.select("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).distinct()
+
+
 def candidates(tokens: DataFrame, members: DataFrame) -> DataFrame:
     """The groups of other components that a document may have a link into, (doc_id, comp, sub), by the matrix of prefix tokens and groups.
 
-    A pair is met at each shared token and counted there: adding one up costs a small part of comparing prefixes,
-    and families of texts that are alike, but not enough, meet as often as the square of their size.
+    What all shared prefix tokens allow is counted for the pairs that met only. Tokens without ``at`` count as first.
     """
-    placed = tokens.join(members.drop("n"), "doc_id")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_tokens = store.table(placed.join(mixed, "token", "left_semi"), "open")
-    sizes = members.groupBy(F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = open_tokens.select("token", F.col("comp").alias("g_comp"), F.col("sub").alias("g_sub")).distinct().join(sizes, ["g_comp", "g_sub"])
+    tokens = tokens if "at" in tokens.columns else tokens.withColumn("at", F.lit(0))
+    return allowed(store.table(meeting(tokens, members), "met"), tokens, members)
+
+
+def allowed(pairs: DataFrame, tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (doc_id, comp, sub) of a document and a group whose shared prefix tokens allow a link."""
+    own = tokens.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.collect_set("token").alias("own"))  # one set
+    groups = members.join(pairs.select("comp", "sub").distinct(), ["comp", "sub"], "left_semi")
+    sizes = groups.groupBy("comp", "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    held = tokens.drop("n").join(groups, "doc_id").groupBy("comp", "sub").agg(F.collect_set("token").alias("held"))  # about MEMBERS sets
+    both = pairs.join(own, "doc_id").join(sizes, ["comp", "sub"]).join(held, ["comp", "sub"])
     near = (SHARE[1] * F.col("n") >= SHARE[0] * F.col("lo")) & (SHARE[1] * F.col("hi") >= SHARE[0] * F.col("n"))
-    met = open_tokens.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & near)
-    counted = met.groupBy("doc_id", F.col("g_comp").alias("comp"), F.col("g_sub").alias("sub")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = both.where(near).select("doc_id", "comp", "sub", "n", "lo", "hi", F.size(F.array_intersect("own", "held")).alias("c"))
     counted = store.table(counted.where(roughly(*map(F.col, ("c", "n", "lo", "hi")))), "counted")
     return counted.where(enough(F.col("c"), F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "comp", "sub")
 

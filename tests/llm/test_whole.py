@@ -40,6 +40,20 @@ def test_first_shared_token_of_another_size(spark):
     assert sorted(map(tuple, ngram_join.candidates(tokens, members).collect())) == [(1, 2, 0)]
 
 
+def test_family_that_is_not_alike_enough(spark):
+    """Texts with many changed words each don't meet at the words of their family; those that are near enough do, and the result is that of the SQL."""
+    rng = random.Random(4)
+    base = words(rng, 104)
+    changed = lambda places: [f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(base)]
+    rows = [(i, " ".join(changed(range(4 + i % 3, 104, 24)))) for i in range(40)] + [(50, " ".join(base)), (51, " ".join(changed({3, 60})))]
+    tokens = ngram_join.prefixes(ngram_join.sets_of(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(60).toDF("doc_id"))).cache()
+    assert tokens.where("doc_id < 40").agg({"at": "min"}).first()[0] > 14, "the changed tokens come first"
+    members = tokens.selectExpr("doc_id", "n", "doc_id as comp", "0 as sub").distinct()
+    assert sorted(map(tuple, ngram_join.meeting(tokens, members).collect())) == [(50, 51, 0)]
+    joined = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, joined.collect())) == oracle(rows, ngram_join.ORACLE)
+
+
 def test_rough_need_never_shuts_a_group(spark):
     """Whatever ``enough`` opens passes the short rule before it; the short rule shuts groups too."""
     met = spark.range(0, 60).selectExpr("id * 3 as n").crossJoin(spark.range(1, 60).selectExpr("id * 3 as lo")).crossJoin(spark.range(0, 3).selectExpr("id * 25 as more")).crossJoin(spark.range(0, 12).selectExpr("id * 2 as c"))
