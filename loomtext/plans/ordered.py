@@ -71,8 +71,9 @@ case when row_no = n - 1 or gaps < 1 or spare <= 0 or spare > gaps then row else
 def wrap_justify(t):
     """Every line of a text wrapped and filled in both ways."""
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    both = lines.select("doc_id", "line_no", F.posexplode(F.arrays_zip(p.justified(F.col("line"), 80).alias("padded"), p.justified(F.col("line"), 80, p.doubled).alias("doubled"))).alias("row_no", "x"))
-    return both.select("doc_id", "line_no", "row_no", "x.padded", "x.doubled")
+    rows = lines.select("doc_id", "line_no", p.wrapped(F.col("line"), 80).alias("rows")).select("doc_id", "line_no", F.size("rows").alias("n"), F.posexplode("rows").alias("row_no", "row"))
+    filled = lambda fill: F.when(F.col("row_no") == F.col("n") - 1, F.col("row")).otherwise(fill(F.col("row"), 80))
+    return rows.select("doc_id", "line_no", "row_no", filled(p.padded).alias("padded"), filled(p.doubled).alias("doubled"))
 
 
 @query(rf"""with w as (select item_id, {WORD_LIST.format("text")} as w from benchmark), r as (select item_id, w, list_reduce(list_transform(w, lambda x: {{'c': len(regexp_extract_all(x, '[Ѐ-ӿ]')), 'o': length(x) - len(regexp_extract_all(x, '[Ѐ-ӿ]')), 'k': 0::bigint, 'open': true}}),

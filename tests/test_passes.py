@@ -2,6 +2,9 @@
 
 import math
 import random
+import re
+import textwrap
+import time
 
 from pyspark.sql import functions as F
 
@@ -52,6 +55,26 @@ def test_wrapping(spark):
     assert v(p.justified(F.lit("x" * 30 + " y"), 10)) == ["x" * 30, "y"]
 
 
+def test_long_line_is_wrapped_and_filled_as_by_hand(spark):
+    """Words of any length and any white space, all rests of a line; a line of 60,000 words takes time by its length, not its square."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "bb", "ccc", "\u2028e\U0001f600", "d" * rng.randrange(1, 30)]) + rng.choice([" ", "  ", "\t", "\r "]) for _ in range(60)) for _ in range(40)]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(p.wrapped(F.col("x"), 20).alias("w"), p.justified(F.col("x"), 20).alias("p"), p.justified(F.col("x"), 20, p.doubled).alias("d")).collect()
+    for x, r in zip(texts, got):
+        want = textwrap.wrap(" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)), 20, break_long_words=False, break_on_hyphens=False)
+        assert r["w"] == want
+        for i, line in enumerate(want):
+            words, spare = line.split(" "), 20 - len(line)
+            gaps = len(words) - 1
+            last = i == len(want) - 1 or gaps < 1
+            wide = {(2 * k + 1) * gaps // (2 * spare) for k in range(spare)} if 0 < spare <= gaps else set()
+            assert r["p"][i] == (line if last or spare < 0 else "".join(w + (" " * (1 + spare // gaps + (k < spare % gaps)) if k < gaps else "") for k, w in enumerate(words)))
+            assert r["d"][i] == (line if last else "".join(w + (" " * (1 + (k in wide)) if k < gaps else "") for k, w in enumerate(words)))
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.repeat(F.lit("w"), (i % 7 + 1).cast("int"))), " ").alias("x"))
+    began = time.time()
+    assert long.select(F.size(p.wrapped(F.col("x"), 80))).first()[0] > 3000 and time.time() - began < 10
+
+
 def plain_refined(sections, segments):
     spots = []
     for i, (start, end, text) in enumerate(segments):
