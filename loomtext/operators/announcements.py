@@ -58,8 +58,10 @@ def timed_sentences(segments: Column) -> Column:
 def own_words(headings: Column) -> Column:
     """For each heading its words of four Latin letters or more, without common ones, that at most a third of all headings use."""
     words = F.transform(headings, lambda h: F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(h, F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))), F.array(*map(F.lit, COMMON))))
-    most = lambda v: F.greatest(F.lit(1), F.floor(F.size(v) / 3))
-    rare = lambda v: F.transform(v, lambda ws: F.filter(ws, lambda w: F.size(F.filter(v, lambda other: F.array_contains(other, w))) <= most(v)))
+    most = lambda v: F.greatest(F.lit(1), F.floor(F.size(v) / 3)).cast("int")
+    # In order, a word of too many headings is met again that many places further on.
+    common = lambda v: p.once(F.struct(F.array_sort(F.flatten(v)).alias("all"), most(v).alias("most")), lambda k: F.filter(k["all"], lambda w, i: w == F.get(k["all"], i + k["most"])))
+    rare = lambda v: p.once(common(v), lambda often: F.transform(v, lambda ws: F.array_except(ws, often)))
     return p.once(words, rare)
 
 
@@ -78,24 +80,32 @@ def speaks_of(sentence: Column, english: Column, wanted: Column) -> Column:
 
 
 def announced(sentences: Column, english: Column, silences: Column, low: Column, boundary: Column, wanted: Column) -> Column:
-    """Where the last sentence that begins in [low, boundary - EDGE) begins, if it is short, follows a pause and speaks of what comes; else null."""
-    last = F.try_element_at(F.filter(sentences, lambda s: (s["start"] >= low) & (s["start"] < boundary - EDGE)), F.lit(-1))
+    """Where the last sentence that begins in [low, boundary - EDGE) begins, if it is short, follows a pause and speaks of what comes; else null.
+
+    The three arrays come in runs (``passes.chunked``).
+    """
+    last = F.try_element_at(F.filter(p.around(sentences, low, boundary), lambda s: (s["start"] >= low) & (s["start"] < boundary - EDGE)), F.lit(-1))
 
     def judged(s: Column) -> Column:
-        inside = F.array_join(F.transform(F.filter(english, lambda e: (e["start"] >= s["start"]) & (e["start"] < boundary)), lambda e: e["text"]), " ")
-        fits = (p.n_words(s["text"]) <= MOST_WORDS) & (pause_at(silences, s["start"]) >= PAUSE)
+        inside = F.array_join(F.transform(F.filter(p.around(english, s["start"], boundary), lambda e: (e["start"] >= s["start"]) & (e["start"] < boundary)), lambda e: e["text"]), " ")
+        quiet = pause_at(p.around(silences, s["start"] - 2 * TOLERANCE, s["start"] + 2 * TOLERANCE), s["start"])
+        fits = (p.n_words(s["text"]) <= MOST_WORDS) & (quiet >= PAUSE)
         return F.when(s.isNotNull() & fits & speaks_of(s["text"], inside, wanted), s["start"])
 
     return p.once(last, judged)
 
 
-def refined(sections: Column, segments: Column, english: Column, silences: Column) -> Column:
+def refined(sections: Column, segments: Column, english: Column, silences: Column, said: Column | None = None) -> Column:
     """Starts (start, moved) of sections (start, end, heading) by ``passes.refined``, then moved to their announcements.
 
-    ``english`` are the segments of the English track (the same ones where the
-    recording is English). Without silences nothing counts as announced.
+    ``english`` are the segments of the English track (the same column where the
+    recording is English), ``said`` the sentences of the segments if they are
+    known. Without silences nothing counts as announced.
     """
     wanted = own_words(F.transform(sections, lambda x: x["heading"]))
     marked = F.arrays_zip(F.transform(sections, lambda x: x["start"]).alias("start"), F.transform(sections, lambda x: x["end"]).alias("end"), wanted.alias("wanted"))
-    known = F.struct(marked.alias("c"), segments.alias("g"), timed_sentences(segments).alias("s"), timed_sentences(english).alias("e"), silences.alias("q"))
-    return p.once(known, lambda v: p.refined(v["c"], v["g"], lambda x, low, boundary: announced(v["s"], v["e"], v["q"], low, boundary, x["wanted"])))
+    runs = lambda sentences: p.chunked(sentences, lambda s: s["start"])
+    own = runs(timed_sentences(segments) if said is None else said)
+    other = [] if english is segments else [runs(timed_sentences(english)).alias("e")]
+    known = F.struct(marked.alias("c"), segments.alias("g"), own.alias("s"), p.chunked(silences, lambda q: q["start"], lambda q: q["end"]).alias("q"), *other)
+    return p.once(known, lambda v: p.refined(v["c"], v["g"], lambda x, low, boundary: announced(v["s"], v["e" if other else "s"], v["q"], low, boundary, x["wanted"])))

@@ -242,12 +242,13 @@ def announced_starts(t):
 
     Texts have no pauses, so the pause before a sentence comes from its length.
     """
-    rows = timed_documents(t)
+    rows = timed_documents(t).withColumn("said", announcements.timed_sentences(F.col("g")))
     heading = lambda j: F.array_join(F.slice("w", (j * 96 + 1).cast("int"), 8), " ")
     sections = F.transform(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 12)), lambda j: F.struct((j * 60.0).alias("start"), F.least((j + 1) * 60.0, F.size("g") * 5.0).alias("end"), heading(j).alias("heading")))
     long = lambda s: F.length(s["text"]) % 4 * 0.5
-    silences = F.filter(F.transform(announcements.timed_sentences(F.col("g")), lambda s: F.struct((s["start"] - long(s)).alias("start"), s["start"].alias("end"))), lambda q: q["end"] > q["start"])
-    moved = announcements.refined(sections, F.col("g"), F.col("g"), silences)
+    silences = F.filter(F.transform("said", lambda s: F.struct((s["start"] - long(s)).alias("start"), s["start"].alias("end"))), lambda q: q["end"] > q["start"])
+    segments = F.col("g")
+    moved = announcements.refined(sections, segments, segments, silences, F.col("said"))
     return rows.select("doc_id", F.posexplode(moved).alias("section", "x")).select("doc_id", "section", "x.start", "x.moved")
 
 

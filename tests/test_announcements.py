@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import announcements as a
+from loomtext.operators import passes as p
 
 SEGMENT, SECTION, SILENCE = "array<struct<start:double,end:double,text:string>>", "array<struct<start:double,end:double,heading:string>>", "array<struct<start:double,end:double>>"
 
@@ -57,3 +58,14 @@ def test_announced(spark, sentence, english, quiet, start):
     spoken = segments((0, 50, "Before."), (55, 59, english), (61, 70, "After mock."))
     got = one(spark, a.refined(sections, said, spoken, arr([(55 - quiet, 55)], SILENCE, "start", "end")))
     assert [r["start"] for r in got] == [0.0, start] and [r["moved"] for r in got] == [False, start != 60]
+
+
+def test_looks_pass_over_runs(spark):
+    """A look into a long array meets one or two of its runs, and finds what a look at every item would."""
+    items = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i * 2).cast("double"))
+    runs = p.chunked(items)
+    assert one(spark, F.size(runs)) == 32 and one(spark, F.size(p.chunked(F.array().cast("array<double>")))) == 1
+    assert one(spark, p.around(runs, F.lit(100.0), F.lit(110.0))) == [float(i) for i in range(64, 128, 2)]
+    assert one(spark, p.around(p.chunked(F.array().cast("array<double>")), F.lit(0.0), F.lit(1.0))) == []
+    headings = F.array(*[F.lit(f"same{'abcdefgh'[k % 8]} only{'ijklmnopq'[k]}") for k in range(9)])
+    assert one(spark, a.own_words(headings))[0] == ["samea", "onlyi"] and one(spark, p.stripped(F.lit(" a \u2028"))) == "a \u2028"
