@@ -4,9 +4,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import anchors, lemmas, naming, state_scan
+from loomtext.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_states_and_fills(spark):
@@ -131,3 +135,10 @@ def test_null_labels(spark, tmp_path):
     want = con.execute(catalog.ORACLES["merge_similar"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["merge_similar"](spark, str(tmp_path)).select("label", "vec_id", "grp").collect()), key=repr) == sorted(want, key=repr)
     assert max(r[2] for r in want if r[0] is None) > 3
+
+
+@pytest.mark.parametrize("name", ["rare_lemmas", "unknown_lemmas"])
+def test_lemmas_read_the_texts_once_more(spark, name):
+    """Words are counted once; after that one look at the texts is enough."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation\s?\[doc_id#\d+L?,text", plan)) == 1
