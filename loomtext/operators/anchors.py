@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators.frames import SMALL_ROWS, cut
 from loomtext.operators.passes import scan
 
 #: The least letters of a word that counts, hits that name a bullet, letters that make a word enough by itself, and words quoted.
@@ -19,11 +20,11 @@ def own_words(bullets: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     return each.groupBy("list", "word").agg(F.min("bullet").alias("bullet"), F.count("*").alias("n")).where("n = 1").select("list", "bullet", "word")
 
 
-def word_beginnings(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, word) for every wanted word that a token begins with: its beginnings meet the words by equality."""
+def word_beginnings(spoken: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``spoken`` (token, ...) with ``word``, in place of the token, for every wanted word that a token begins with: its beginnings meet the words by equality."""
     longest = F.least(F.length("token"), F.lit(64))
     heads = F.transform(F.sequence(F.lit(LETTERS), longest), lambda n: F.substr(F.col("token"), F.lit(1), n))
-    each = tokens.where(F.length("token") >= LETTERS).select("token", F.explode(heads).alias("word"))
+    each = spoken.where(F.length("token") >= LETTERS).select("*", F.explode(heads).alias("word")).drop("token")
     return each.join(wanted, "word", "left_semi")
 
 
@@ -44,12 +45,15 @@ def anchors(sentences: DataFrame, bullets: DataFrame, stop: tuple[str, ...] = ()
     ``sentences`` (key, sentence: number from 0, text) and ``bullets`` (list,
     bullet: number, text). A sentence names a bullet if words of it begin with two
     of the bullet's own words, or with one of LONG letters or more. Bullets that
-    are not found are left out and don't move the search.
+    are not found are left out and don't move the search. Sentences are dealt by
+    key once; where the bullets' words are few enough to be sent, all else is
+    counted where the sentences lie.
     """
-    own = own_words(bullets, stop)
-    spoken = sentences.select("key", "sentence", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("token"))
-    index = word_beginnings(spoken.select("token").distinct(), own.select("word").distinct())
-    said = spoken.join(index, "token").select("key", "sentence", "word").distinct()
+    own = cut(own_words(bullets, stop))
+    if own.count() <= SMALL_ROWS:
+        own = F.broadcast(own)
+    spoken = sentences.repartition("key").select("key", "sentence", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("token"))
+    said = word_beginnings(spoken, own.select("word")).select("key", "sentence", "word").distinct()
     hits = said.join(own, "word").groupBy("key", "list", "bullet", "sentence").agg(F.sum(F.when(F.length("word") >= LONG, HITS).otherwise(1)).alias("n")).where(F.col("n") >= HITS)
     each = hits.groupBy("key", "list", "bullet").agg(F.array_sort(F.collect_list("sentence")).alias("hits"))  # sentences of one text
     lists = each.groupBy("key", "list").agg(F.array_sort(F.collect_list(F.struct("bullet", "hits"))).alias("found"))  # one list and one text

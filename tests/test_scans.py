@@ -142,3 +142,14 @@ def test_lemmas_read_the_texts_once_more(spark, name):
     """Words are counted once; after that one look at the texts is enough."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation\s?\[doc_id#\d+L?,text", plan)) == 1
+
+
+def test_anchors_are_counted_where_sentences_lie(spark, monkeypatch):
+    """With few bullets the sentences are dealt once, by key; with more than may be sent the result is the same."""
+    sentences = spark.createDataFrame([(k, i, t) for k in range(3) for i, t in enumerate(["alphas betas", "nothing", "gamma-ray telescopes", "alpha beta gamma"])], "key long, sentence int, text string")
+    bullets = spark.createDataFrame([(0, 0, "Alpha beta"), (0, 1, "telescope"), (1, 0, "gamma alpha")], "list long, bullet int, text string")
+    few = anchors.anchors(sentences, bullets)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(anchors, "SMALL_ROWS", 0)
+    rows = sorted(map(tuple, few.collect()))
+    assert rows == sorted(map(tuple, anchors.anchors(sentences, bullets).collect())) and (0, 0, 1, 2) in rows and (2, 1, 0, 3) in rows
