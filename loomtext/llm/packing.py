@@ -14,6 +14,7 @@ powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,9 +38,9 @@ LEAST = 64
 #: Words, and parts of words, whose ids a Python worker remembers; the rest are encoded as they come.
 REMEMBERED = 200_000
 #: Texts are tokenised in groups of about so many bytes.
-GROUP = 1_000_000
-#: Rows of an Arrow batch that a worker turns into Python objects at once.
-SLICE = 500
+GROUP = 8_000_000
+#: Texts of an Arrow batch between the JVM and Python, held on both sides, outside the heap; rows that a worker turns into Python objects at once.
+BATCH, SLICE = 2_500, 500
 
 _known: dict[str, Words] = {}
 
@@ -52,6 +54,7 @@ def byte_letters() -> dict[int, int]:
 LETTERS = byte_letters()
 #: A word of letters, then punctuation: two pre-tokens. No apostrophe (contractions) and no bracket (special tokens).
 PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:|#$%&*\-]*)")
+PARTS = r"\A(?P<a>[A-Za-z]+)(?P<b>[.,!?;:|#$%&*\-]*)\z"
 SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|#$%&*\-]*)")
 #: What a tokenizer must encode alike by words and as a whole, and by the model's own parts, for the quick ways to be taken.
 PROBE = "  Ab, ba!? déjà-Vu É. x1 2y ... a.b it's <|x|> [y] 'Zz' Straße; ñandú:\t\nﬁn ωμέγα #tag $5 k*%& e\u0301a ab "
@@ -133,20 +136,45 @@ class Words:
             out.update((w, ids[cuts[k] : cuts[k + 1]]) for k, w in enumerate(odd[i : i + 2000]))
         return out
 
+    def of_parts(self, parts: pa.Array) -> pa.Array:
+        """The ids of pre-tokens (lower case), each distinct one looked up once."""
+        d, known = parts.dictionary_encode(), self.parts
+        ids = [known.get(p) or (self.part(p) if p else p) for p in d.dictionary.cast(pa.binary()).to_pylist()]
+        return pa.array(ids, pa.binary()).take(d.indices)
+
+    def of_distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words in their order: plain ones by their two parts, the others as ``of_words`` has them."""
+        found = pc.extract_regex(words, PARTS) if self.by_parts else pa.nulls(len(words), pa.struct([("a", pa.string()), ("b", pa.string())]))
+        plain = pc.is_valid(found)
+        a, b = found.filter(plain).flatten()
+        by_parts = pc.binary_join_element_wise(self.of_parts(pc.ascii_lower(a)), self.of_parts(b), pa.scalar(b"", pa.binary()))
+        rest, known = words.filter(pc.invert(plain)).cast(pa.binary()).to_pylist(), self.words
+        new = self.of_words([w for w in rest if w and w not in known])
+        others = [known.get(w) or (new[w] if w in new else b"") for w in rest]
+        known.update(itertools.islice(new.items(), max(0, REMEMBERED - len(known))))
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        place = np.empty(len(words), dtype=np.int64)
+        place[order] = np.arange(len(words))
+        return pa.concat_arrays([by_parts, pa.array(others, pa.binary())]).take(pa.array(place))
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text of a column, END added, as little-endian bytes of the id type.
+
+        A distinct word is looked up once for all the texts.
+        """
+        texts, end = texts.fill_null(""), self.raw([END])
+        if not self.by_words or not len(texts):
+            return pa.array([self.raw(self.made.encode(t, add_special_tokens=False).ids) + end for t in texts.to_pylist()], pa.binary())
+        split = pc.ascii_split_whitespace(texts)
+        coded, at = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        ids = pa.concat_arrays([self.of_distinct(coded.dictionary), pa.array([end], pa.binary())])
+        joined = ids.take(pa.array(np.insert(coded.indices.to_numpy(), at[1:], len(coded.dictionary))))
+        ends = np.frombuffer(joined.buffers()[1], dtype=np.int32)[at + np.arange(len(at))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), joined.buffers()[2]])
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text (UTF-8), END added, as little-endian bytes of the id type."""
-        end = self.raw([END])
-        if not self.by_words:
-            return [self.raw(self.made.encode((t or b"").decode(), add_special_tokens=False).ids) + end for t in texts]
-        split = [(t or b"").split() for t in texts]
-        words = self.words
-        new = self.of_words(set().union(*split).difference(words))
-        words.update(new)
-        out = [b"".join(map(words.__getitem__, ws)) + end for ws in split]
-        if len(words) > REMEMBERED:
-            for w in new:
-                del words[w]
-        return out
+        """The ids of each text (UTF-8), as ``encode_column`` has them."""
+        return self.encode_column(pa.array(texts, pa.binary()).view(pa.string())).to_pylist()
 
 
 def tokenizer(path: str) -> Words:
@@ -177,20 +205,22 @@ def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path)
         width = made.kind.itemsize
-        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            texts, done = b.column("text").cast(pa.binary()).to_pylist(), 0
-            sizes = np.cumsum([len(t or "") for t in texts])
+        for b in batches:
+            texts, done = b.column("text").cast(pa.string()), 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
             while done < len(texts):
                 upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + GROUP)))
-                ids = made.encode(texts[done:upto])
+                ids = made.encode_column(texts.slice(done, upto - done))
                 some = b.slice(done, len(ids))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
+                n = pc.cast(pc.divide(pc.binary_length(ids), width), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), n, ids, *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
                 done += len(ids)
 
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary" + ", uid bigint" * len(own)
     rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *[F.col(order).alias(c) for c in own]).mapInArrow(run, kinds)
     uid = F.col("uid") if own else F.monotonically_increasing_id()
-    return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
+    with store.batches_of(docs.sparkSession, BATCH):
+        return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
 
 
 def schedule(tokens: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW, least: int = LEAST) -> tuple[DataFrame, int]:

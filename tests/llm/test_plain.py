@@ -259,6 +259,26 @@ def test_any_tokenizer(name):
         assert np.frombuffer(raw, dtype=t.kind).tolist() == [*t.made.encode(text, add_special_tokens=False).ids, packing.END]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_column_of_texts(name, monkeypatch):
+    """A slice of a column with nulls and repeats has the tokenizer's ids, also when no more can be remembered; a word is encoded once for all its texts."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    t = packing.Words(public_tokenizers.path(name))
+    texts = ["left out", None, "", "  The cat, the CAT!\tthe naïve\x0bnaïve, x1 x1", "it's it's É. (cat) cat|| <|x|>", "\x1cpart\x85two\u2003three\n", "the cat", *[f"w{'abcdefg'[i % 7]} x{i} é{i % 5}" for i in range(40)], "left out"]
+    asked = []
+    monkeypatch.setattr(t, "of_words", lambda words, f=t.of_words: f([asked.append(w) or w for w in words]))
+    for _ in range(2):
+        got = t.encode_column(pa.array(texts, pa.string()).slice(1, len(texts) - 2)).to_pylist()
+        for text, raw in zip(texts[1:-1], got, strict=True):
+            assert np.frombuffer(raw, dtype=t.kind).tolist() == [*t.made.encode(text or "", add_special_tokens=False).ids, packing.END]
+    assert not t.by_words or max(map(asked.count, asked)) <= 2
+    assert not t.by_parts or b"cat" not in asked
+    assert t.encode_column(pa.array([], pa.string())).to_pylist() == []
+
+
 def plain_removed(rows):
     """Words lost of each document, by window texts in order of (doc_id, start)."""
     seen, lost = {}, {}
