@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtext.llm import line_dedup, mixing, ngram_join, packing, store, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of an Arrow batch between the JVM and Python: whole texts are held on both sides, outside the heap.
+BATCH = 500
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity chain does not reject."""
+    """Documents that the toxicity chain does not reject.
+
+    They are scored as they are written, after this function, so the session keeps the size of batches for the stages.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return toxicity.clean(docs, store.read(spark, sf_dir, "labels"))
 
 
@@ -55,6 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents table."""
     docs = store.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store.table(stage(spark, docs, sf_dir), name)
+    with store.batches_of(spark, BATCH):
+        for name, stage in STAGES:
+            docs = store.table(stage(spark, docs, sf_dir), name)
     return docs

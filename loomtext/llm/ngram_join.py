@@ -312,13 +312,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Columns stay as they are, whatever their names. Equal rows that share a doc_id are one document, so one of them stays.
     """
-    chosen = store.table(join(docs).where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct(), "chosen")
+    stays = F.coalesce((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0), F.lit(False))
+    each = join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
+    each = store.table(each.where("rows > 1 or not stays"), "doubtful")  # fewer than those that stay, so that texts seldom need a shuffle
     own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*own)
-    ids = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = store.table(ids, "again")
-    once = kept.join(again, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*own).unionByName(once).unionByName(docs.where("doc_id is null"))
+    kept = store.join_small(docs, each.select("doc_id"), "doc_id", "left_anti").select(*own)
+    again = store.table(each.where("stays").select("doc_id"), "again")
+    return kept.unionByName(store.join_small(docs, again, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id", "text"]))
 
 
 #: The same in DuckDB's SQL.

@@ -5,10 +5,11 @@ import math
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import mixing, ngram_join, packing, substring_dedup
+from loomtext.llm import mixing, ngram_join, packing, store, substring_dedup
 
 
 def oracle(rows, sql):
@@ -119,3 +120,27 @@ def test_training_order(spark, tmp_path):
 def test_null_ids_stay(spark):
     docs = spark.createDataFrame([(2, "one two"), (1, "one two"), (None, "no id"), (3, "")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in ngram_join.keep_one(docs).collect()) == [("1", "one two"), ("3", ""), ("None", "no id")]
+
+
+def test_keep_one_does_not_shuffle_texts(spark, tmp_path):
+    """Where few documents go, neither those that stay nor repeated rows are dealt out with their texts."""
+    rows = [(1, "one two"), (1, "one two"), (2, "one two"), (3, ""), (3, None), (4, "else"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        kept = ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "one two"), ("3", ""), ("3", "None"), ("4", "else"), ("None", "no id")]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_stages_have_small_arrow_batches(spark):
+    """The toxicity stage's texts are scored when its result is written, so its batches are bounded beyond the function."""
+    docs = spark.createDataFrame([(i, "some words of a text") for i in range(1200)], "doc_id long, text string").coalesce(1)
+    with store.batches_of(spark, 10_000):
+        kept = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001")
+        sizes = docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+        assert kept.count() == 1200 and max(r["n"] for r in sizes.collect()) <= 500
