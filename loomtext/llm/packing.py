@@ -215,6 +215,7 @@ def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | No
                 n = pc.cast(pc.divide(pc.binary_length(ids), width), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), n, ids, *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
                 done += len(ids)
+        pa.default_memory_pool().release_unused()  # the worker stays for the stages to come
 
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary" + ", uid bigint" * len(own)
     rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *[F.col(order).alias(c) for c in own]).mapInArrow(run, kinds)
@@ -304,6 +305,7 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _known.clear()  # a worker that has tokenised before needs its memory of words no longer
+        pa.default_memory_pool().release_unused()
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cols: list[list] = [[] for _ in range(7)]
             rows: list[int] = []
