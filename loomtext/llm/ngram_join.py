@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm import graph, repeats, store
+from loomtext.llm import graph, repeats, store, workers
 
 SHINGLE = 5
 #: Two documents link when SHARE[1] * intersection >= SHARE[0] * union.
@@ -91,7 +91,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())], ["doc_id", "n", "tokens"])
 
     picked = store.join_small(docs.select("doc_id", "text"), ids, "doc_id", "inner")
-    return store.table(picked.mapInArrow(run, "doc_id bigint, n bigint, tokens binary").distinct(), "sets")
+    return store.table(picked.mapInArrow(workers.tidy(run), "doc_id bigint, n bigint, tokens binary").distinct(), "sets")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
             same = b.select(["doc_id", "n", "sid"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else [], pa.int64()), *same.columns], ["token", "doc_id", "n", "sid"])
 
-    each = sets.select("doc_id", "n", "tokens", F.xxhash64("tokens").alias("sid")).mapInArrow(run, "token bigint, doc_id bigint, n bigint, sid bigint")
+    each = sets.select("doc_id", "n", "tokens", F.xxhash64("tokens").alias("sid")).mapInArrow(workers.tidy(run), "token bigint, doc_id bigint, n bigint, sid bigint")
     held = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = each.join(held, "token").groupBy("doc_id", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))  # one set
     take = F.floor(F.col("n") * (SHARE[1] - SHARE[0]) / SHARE[1]) + 1 - (F.col("n") - F.size("met"))
@@ -129,7 +129,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [i for i, (x, y) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())) if linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"))]
             yield b.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "ta", "tb").mapInArrow(workers.tidy(run), "a bigint, b bigint")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -191,7 +191,7 @@ def group_unions(sets: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("sub"), pa.array(union, pa.binary())], ["comp", "sub", "union"])
 
     lists = sets.select("doc_id", "tokens").join(members, "doc_id").groupBy("comp", "sub").agg(F.collect_list("tokens").alias("all"))  # about MEMBERS sets
-    return lists.mapInArrow(unite, "comp bigint, sub int, union binary")
+    return lists.mapInArrow(workers.tidy(unite), "comp bigint, sub int, union binary")
 
 
 def opened(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def opened(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: D
             yield b.select(["doc_id", "comp", "sub"]).take(pa.array(good, pa.int64()))
 
     met = candidates.join(sets.select("doc_id", "tokens"), "doc_id").join(unions, ["comp", "sub"])
-    qualified = store.table(met.select("doc_id", "comp", "sub", "tokens", "union").mapInArrow(bound, "doc_id bigint, comp bigint, sub int"), "qualified")
+    qualified = store.table(met.select("doc_id", "comp", "sub", "tokens", "union").mapInArrow(workers.tidy(bound), "doc_id bigint, comp bigint, sub int"), "qualified")
     pairs = qualified.withColumnRenamed("doc_id", "a").join(members.withColumnRenamed("doc_id", "b"), ["comp", "sub"]).select("a", "b")
     return verified(pairs, sets)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm import store
+from loomtext.llm import store, workers
 
 #: Tokens of a window and the id that ends a document.
 WINDOW = 4096
@@ -38,9 +38,9 @@ LEAST = 64
 #: Words, and parts of words, whose ids a Python worker remembers; the rest are encoded as they come.
 REMEMBERED = 200_000
 #: Texts are tokenised in groups of about so many bytes.
-GROUP = 8_000_000
+GROUP = 4_000_000
 #: Texts of an Arrow batch between the JVM and Python, held on both sides, outside the heap; rows that a worker turns into Python objects at once.
-BATCH, SLICE = 2_500, 500
+BATCH, SLICE = 1_000, 500
 
 _known: dict[str, Words] = {}
 
@@ -215,10 +215,11 @@ def tokenize(docs: DataFrame, path: str, source: str = "source", order: str | No
                 n = pc.cast(pc.divide(pc.binary_length(ids), width), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), n, ids, *[some.column(c) for c in own]], ["doc_id", "source", "n", "ids", *own])
                 done += len(ids)
-        pa.default_memory_pool().release_unused()  # the worker stays for the stages to come
+                del ids
+                pa.default_memory_pool().release_unused()  # groups take memory in other sizes than those before
 
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n bigint, ids binary" + ", uid bigint" * len(own)
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *[F.col(order).alias(c) for c in own]).mapInArrow(run, kinds)
+    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), "text", *[F.col(order).alias(c) for c in own]).mapInArrow(workers.tidy(run), kinds)
     uid = F.col("uid") if own else F.monotonically_increasing_id()
     with store.batches_of(docs.sparkSession, BATCH):
         return store.table(rows.withColumn("uid", uid).withColumn("part", F.shiftright("uid", 33).cast("int")), "tokens")
@@ -305,7 +306,7 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _known.clear()  # a worker that has tokenised before needs its memory of words no longer
-        pa.default_memory_pool().release_unused()
+        workers.give_back()
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cols: list[list] = [[] for _ in range(7)]
             rows: list[int] = []
@@ -325,8 +326,8 @@ def pack(docs: DataFrame, path: str, shares: dict[str, float] | None = None, sou
                         rows.append(i)
                         for c, v in zip(cols, (at + start, length, zlib.crc32(whole[at + start : at + start + length].tobytes()), n, seq, offset)):
                             c.append(v)
-            picked = b.take(pa.array(rows, pa.int32()))
+            picked = b.select(["doc_id", "source"]).take(pa.array(rows, pa.int32()))  # not the ids: each piece would copy those of its whole document
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:6]], picked.column("source")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     placed = tokens.select("uid", "doc_id", "source", "n", "ids").join(begins, "uid").select("doc_id", "source", "n", "ids", "pieces")
-    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
+    return placed.mapInArrow(workers.tidy(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
